@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from codeloom.llm.docpairs import find_documented, pair_documentation
 from codeloom.llm.packing import fill_report, pack_documents, split_documents
+from codeloom.llm.quality import find_unnatural, text_quality
 from codeloom.llm.tokens import encode_documents
 from codeloom.session import read_table
 
 
+def p2_found(spark, sf_dir):
+    return find_documented(read_table(spark, sf_dir, "symbols"), read_table(spark, sf_dir, "edges"))
+
+
+def p2_pairs(spark, sf_dir):
+    return pair_documentation(read_table(spark, sf_dir, "symbols"), read_table(spark, sf_dir, "edges"))
+
+
 def p6_ids(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"))
 
@@ -23,5 +33,13 @@ def p7_fill(spark, sf_dir):
     return fill_report(pack_documents(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill}
+def p8_stats(spark, sf_dir):
+    return text_quality(*[read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "common_words")])
+
+
+def p8_found(spark, sf_dir):
+    return find_unnatural(p8_stats(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
