@@ -140,3 +140,12 @@ def place_replicas(df: DataFrame, placement: Placement) -> DataFrame:
 def co_partition(df: DataFrame, placement: Placement) -> DataFrame:
     """One shuffle that puts each token's rows into a task of its own."""
     return df.repartition(placement.tasks, "_token")
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys, spread, how: str = "left") -> DataFrame:
+    """Join a side with hot keys to a side whose keys are unique: hot keys are cut into shards by
+    the columns ``spread``, and only their rows of the right side are replicated."""
+    keys = list(keys)
+    placement = plan_placement(left, keys)
+    one, other = place_fragments(left, placement, spread), place_replicas(right, placement)
+    return one.join(other, ["_token", *keys], how).drop("_token")
