@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codeloom.llm.docpairs import find_documented, pair_documentation
+from codeloom.llm.neighbours import nearest, similar_pairs
 from codeloom.llm.packing import fill_report, pack_documents, split_documents
 from codeloom.llm.quality import find_unnatural, text_quality
 from codeloom.llm.tokens import encode_documents
@@ -17,6 +18,16 @@ def p2_pairs(spark, sf_dir):
     return pair_documentation(read_table(spark, sf_dir, "symbols"), read_table(spark, sf_dir, "edges"))
 
 
+def p5_found(spark, sf_dir):
+    return similar_pairs(read_table(spark, sf_dir, "symbol_embeddings"), read_table(spark, sf_dir, "embedding_models"))
+
+
+def p5_nearest(spark, sf_dir):
+    """The stated query set (symbols whose id is divisible by 20) against all rows."""
+    tables = [read_table(spark, sf_dir, t) for t in ("symbol_embeddings", "embedding_models")]
+    return nearest(*tables, lambda c: c % 20 == 0)
+
+
 def p6_ids(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"))
 
@@ -41,5 +52,5 @@ def p8_found(spark, sf_dir):
     return find_unnatural(p8_stats(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
 SQL: dict[str, str] = {}
