@@ -35,13 +35,13 @@ def check_contracts(contracts: DataFrame, generated: DataFrame, fields: DataFram
     nothing about it."""
     by = ["scope", "service", "method"]
     servers = generated.filter("role = 'server' and overrides_base").select(*by).distinct()
-    none = contracts.join(servers, by, "left_anti").select("scope", F.col("rpc_key").alias("key"), F.lit("Grpc001").alias("rule"), F.lit("no implementation").alias("detail"))
+    none = contracts.join(servers, by, "left_anti").select("scope", F.col("rpc_key").cast("string").alias("key"), F.lit("Grpc001").alias("rule"), F.lit("no implementation").alias("detail"))
     old = baseline_fields.select("scope", "full_name", F.col("number").alias("was"))
     moved = fields.join(old, ["scope", "full_name"]).filter("number != was")
-    moved = moved.select("scope", F.col("full_name").alias("key"), F.lit("Grpc002").alias("rule"), F.concat_ws(" -> ", F.col("was").cast("string"), F.col("number").cast("string")).alias("detail"))
+    moved = moved.select("scope", F.col("full_name").cast("string").alias("key"), F.lit("Grpc002").alias("rule"), F.concat_ws(" -> ", F.col("was").cast("string"), F.col("number").cast("string")).alias("detail"))
     then = baseline_contracts.select("scope", "rpc_key", F.col("client_streaming").alias("c"), F.col("server_streaming").alias("s"))
     flipped = contracts.join(then, ["scope", "rpc_key"]).filter("client_streaming != c or server_streaming != s")
-    flipped = flipped.select("scope", F.col("rpc_key").alias("key"), F.lit("Grpc003").alias("rule"), F.lit("streaming changed").alias("detail"))
+    flipped = flipped.select("scope", F.col("rpc_key").cast("string").alias("key"), F.lit("Grpc003").alias("rule"), F.lit("streaming changed").alias("detail"))
     return none.unionByName(moved).unionByName(flipped)
 
 
@@ -51,7 +51,7 @@ def check_signatures(contracts: DataFrame, generated: DataFrame) -> DataFrame:
     by = ["scope", "service", "method"]
     unique = contracts.withColumn("_n", F.count("*").over(W.partitionBy(*by))).filter("_n = 1").select(*by, "rpc_key", F.col("input").alias("want_in"), F.col("output").alias("want_out"))
     rows = generated.join(unique, by).filter("input != want_in or output != want_out")
-    return rows.select("scope", F.col("rpc_key").alias("key"), F.lit("Grpc004").alias("rule"), F.concat_ws(", ", "input", "output").alias("detail")).distinct()
+    return rows.select("scope", F.col("rpc_key").cast("string").alias("key"), F.lit("Grpc004").alias("rule"), F.concat_ws(", ", "input", "output").alias("detail")).distinct()
 
 
 def check_stored_contracts(t: GraphTables, flavor: str = "proto-contract") -> DataFrame:

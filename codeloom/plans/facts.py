@@ -170,7 +170,7 @@ def _(spark, d):
     return rpc.link(*_rpc(from_driver(spark, d)))
 
 
-@query("check_proto_contract", "SELECT 'all' AS scope, rpc_key AS key, 'Grpc001' AS rule, 'no implementation' AS detail FROM contracts c WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.service = c.service AND m.method = c.method AND m.role = 'server') UNION ALL SELECT 'all', rpc_key, 'Grpc003', 'streaming changed' FROM contracts WHERE rpc_key % 5 = 0 UNION ALL SELECT 'all', id, 'Grpc002', (id % 8) || ' -> ' || (id % 8 + 1) FROM g_symbols WHERE kind_name = 'property' AND id % 6 = 0", _RPC)
+@query("check_proto_contract", "SELECT 'all' AS scope, rpc_key::VARCHAR AS key, 'Grpc001' AS rule, 'no implementation' AS detail FROM contracts c WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.service = c.service AND m.method = c.method AND m.role = 'server') UNION ALL SELECT 'all', rpc_key::VARCHAR, 'Grpc003', 'streaming changed' FROM contracts WHERE rpc_key % 5 = 0 UNION ALL SELECT 'all', id::VARCHAR, 'Grpc002', (id % 8) || ' -> ' || (id % 8 + 1) FROM g_symbols WHERE kind_name = 'property' AND id % 6 = 0", _RPC)
 def _(spark, d):
     t = from_driver(spark, d)
     contracts, made = _rpc(t)
