@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from codeloom.session import collect_bounded, shuffle_partitions
 
 BUCKETS = 1024
+#: A key with fewer rows than this is never split: a task takes them in its stride.
+LEAST_HEAVY = 10_000
 
 
 def _murmur3_int(value: int, seed: int = 42) -> int:
@@ -69,18 +71,19 @@ def bucket_of(keys) -> Column:
 
 
 def plan_placement(df: DataFrame, keys, tasks: int | None = None, grain: int = 2) -> Placement:
-    """Count loads and pack.  A key is heavy above 1/(grain * tasks) of all rows, so there are
-    at most grain * tasks heavy keys; null keys are rows like any others."""
+    """Count loads and pack.  A key is heavy above 1/(grain * tasks) of all rows (and LEAST_HEAVY
+    rows), so there are at most grain * tasks heavy keys; null keys are rows like any others.  The
+    second count runs only where a bucket is crowded, over the rows of such buckets."""
     keys = tuple(keys)
     tasks = tasks or shuffle_partitions(df.sparkSession)
     hashed = df.select(key_hash(keys).alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     sizes = {r["b"]: r["n"] for r in collect_bounded(hashed.groupBy("b").agg(F.count("*").alias("n")), BUCKETS)}
     target = max(1, sum(sizes.values()) // (grain * tasks))
-    crowded = [b for b, n in sizes.items() if n > target]
+    crowded = [b for b, n in sizes.items() if n > max(target, LEAST_HEAVY)]
     heavy: dict[int, int] = {}
     if crowded:
         counts = hashed.filter(F.col("b").isin(crowded)).groupBy("h").agg(F.count("*").alias("n"), F.first("b").alias("b"))
-        for r in collect_bounded(counts.filter(F.col("n") > target), grain * tasks + 1):
+        for r in collect_bounded(counts.filter(F.col("n") > max(target, LEAST_HEAVY)), grain * tasks + 1):
             heavy[r["h"]] = r["n"]
             sizes[r["b"]] -= r["n"]
     items = [(n, 0, b, 0) for b, n in sizes.items()]
@@ -147,5 +150,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys, spread, how: str = "left"
     the columns ``spread``, and only their rows of the right side are replicated."""
     keys = list(keys)
     placement = plan_placement(left, keys)
+    if not placement.heavy:
+        return left.join(right, keys, how)
     one, other = place_fragments(left, placement, spread), place_replicas(right, placement)
     return one.join(other, ["_token", *keys], how).drop("_token")

@@ -65,20 +65,20 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
     kinds = sorted({k for _, k, _ in automaton.transitions})
     moves = F.broadcast(spark.createDataFrame(list(automaton.transitions), "state string, kind_name string, next_state string"))
     place = located(t).select(F.col("id").alias("dst"), "path", "start_line", "start_col")
-    edges = cut(auditable(t, kinds).join(hop_confidence(t).select(*EDGE, "confidence"), EDGE).join(place, "dst", "left").drop("payload"))
+    edges = cut(auditable(t, kinds).select(*EDGE).join(place, "dst", "left"))
     order = ["kind_name", "path", "start_line", "start_col", "dst"]
     frontier = cut(sources.limit(max_nodes).select("id").distinct().select(
-        F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds"), F.lit(2).alias("confidence"), F.row_number().over(W.orderBy("id")).alias("place"),
+        F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds"), F.row_number().over(W.orderBy("id")).alias("place"),
     ))
     goal = None if targets is None else F.broadcast(targets.limit(max_nodes).select(F.col("id").alias("at")).distinct())
     found: list[DataFrame] = []
     expanded, truncated = frontier.count(), False
     for depth in range(1, max_depth + 1):
-        near = F.broadcast(frontier.select(F.col("at").alias("src"), "state", "path_ids", "kinds", F.col("confidence").alias("so_far"), F.col("place").alias("from_place")))
+        near = F.broadcast(frontier.select(F.col("at").alias("src"), "state", "path_ids", "kinds", F.col("place").alias("from_place")))
         steps = edges.join(near, "src").join(moves, ["state", "kind_name"]).filter(~F.array_contains("path_ids", F.col("dst")))
         grown = steps.select(
             F.col("dst").alias("at"), F.col("next_state").alias("state"), F.concat("path_ids", F.array("dst")).alias("path_ids"), F.concat("kinds", F.array("kind_name")).alias("kinds"),
-            F.least("so_far", "confidence").alias("confidence"), "from_place", *[F.col(c).alias(f"o_{c}") for c in order],
+            "from_place", *[F.col(c).alias(f"o_{c}") for c in order],
         )
         room = max_nodes - expanded
         ranked = grown.orderBy("from_place", *[f"o_{c}" for c in order]).limit(room + 1)
@@ -106,6 +106,17 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    rows = every.select("path_ids", "kinds", "confidence", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at"), "place")
-    rows = rows.dropDuplicates(["path_ids", "kinds"]).orderBy("n_hops", "place").limit(max_paths).drop("place")
-    return Trace(rows, truncated)
+    rows = every.select("path_ids", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at"), "place")
+    rows = cut(rows.dropDuplicates(["path_ids", "kinds"]).orderBy("n_hops", "place").limit(max_paths).drop("place"))
+    return Trace(_with_confidence(t, rows), truncated)
+
+
+def _with_confidence(t: GraphTables, paths: DataFrame) -> DataFrame:
+    """Weakest hop of each path; proofs are read for the hops of the found paths only."""
+    hop = F.struct(F.get("path_ids", F.col("k")).alias("src"), F.get("path_ids", F.col("k") + 1).alias("dst"), F.get("kinds", F.col("k")).alias("kind_name"))
+    hops = paths.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_hops") - 1))).select("path_ids", "kinds", hop.alias("h")).select("path_ids", "kinds", "h.*")
+    keys = ["src", "dst", "kind_name"]
+    proofs = t.edge_evidence.join(hops.select(*keys).distinct(), keys, "left_semi")
+    strength = hop_confidence(t.with_tables(edge_evidence=proofs)).groupBy(*keys).agg(F.max("confidence").alias("confidence"))
+    weakest = hops.join(strength, keys).groupBy("path_ids", "kinds").agg(F.min("confidence").alias("confidence"))
+    return paths.join(weakest, ["path_ids", "kinds"]).select("path_ids", "kinds", "confidence", "n_hops", "ends_at")

@@ -22,6 +22,13 @@ def auditable(t: GraphTables, kinds=None) -> DataFrame:
     return edges.join(t.edge_evidence.select(*EDGE).distinct(), EDGE, "left_semi")
 
 
+def with_confidence(t: GraphTables, few: DataFrame) -> DataFrame:
+    """Add ``confidence`` to a bounded set of edges: only their evidence is ranked."""
+    keys = F.broadcast(few.select(*EDGE).distinct())
+    proofs = t.edge_evidence.join(keys, EDGE, "left_semi")
+    return few.join(hop_confidence(t.with_tables(edge_evidence=proofs)).select(*EDGE, "confidence"), EDGE, "left")
+
+
 def _step(t: GraphTables, edges: DataFrame, nodes: DataFrame, inbound: bool) -> DataFrame:
     """Edges at the nodes (id) with the symbol on the other side."""
     near, far = ("dst", "src") if inbound else ("src", "dst")
@@ -93,7 +100,7 @@ def impact_of_change(t: GraphTables, nodes: DataFrame, kind: str | None = "calls
     """
     if not (1 <= max_depth <= 12 and 1 <= limit <= 1000):
         raise ValueError("max_depth must be 1 to 12, limit 1 to 1000")
-    edges = cut(auditable(t, None if kind is None else [kind]).join(hop_confidence(t).select(*EDGE, "confidence"), EDGE))
+    edges = cut(auditable(t, None if kind is None else [kind]).select(*EDGE))
     place = located(t).select(F.col("id").alias("src"), "path", "start_line", "start_col")
     start = nodes.limit(FRONTIER).select("id").distinct()
     frontier = cut(start.select("id", F.lit(0).alias("depth"), F.row_number().over(W.orderBy("id")).alias("place"), F.lit(None).cast("long").alias("predecessor"), F.array("id").alias("path_ids"), F.lit(2).alias("confidence")))
@@ -102,11 +109,13 @@ def impact_of_change(t: GraphTables, nodes: DataFrame, kind: str | None = "calls
         if left <= 0:
             break
         near = F.broadcast(frontier.select(F.col("id").alias("dst"), F.col("place").alias("from_place"), "path_ids", F.col("confidence").alias("so_far")))
+        # the few edges at the frontier are looked up first; proofs are read for the chosen ones only
         order = ["kind_name", "path", "start_line", "start_col", "src"]
         steps = edges.join(near, "dst").join(place, "src").withColumn("branch", F.row_number().over(W.partitionBy("dst").orderBy(*order))).filter(F.col("branch") <= limit + 1)
         fresh = steps.join(F.broadcast(done.select(F.col("id").alias("src"))), "src", "left_anti")
         first = fresh.withColumn("nth", F.row_number().over(W.partitionBy("src").orderBy("from_place", *order))).filter("nth = 1").orderBy("from_place", *order).limit(left)
         numbered = first.withColumn("place", F.row_number().over(W.orderBy("from_place", *order)))  # over at most ``limit`` rows
+        numbered = with_confidence(t, cut(numbered))
         frontier = cut(numbered.select(F.col("src").alias("id"), F.lit(depth).alias("depth"), "place", F.col("dst").alias("predecessor"), F.concat("path_ids", F.array("src")).alias("path_ids"), F.least("so_far", "confidence").alias("confidence")))
         n = frontier.count()
         if not n:

@@ -15,6 +15,11 @@ FILE = "scope_id string, id long, path string, added_at timestamp_ntz, deleted_a
 SHARED = "id long, name string"
 
 
+@pytest.fixture(autouse=True)
+def split_small_keys(monkeypatch):
+    monkeypatch.setattr(balance, "LEAST_HEAVY", 100)
+
+
 def frames(spark, refs=(), symbols=(), files=(), shared=()):
     return [spark.createDataFrame(list(r), s) for r, s in ((refs, REF), (symbols, SYM), (files, FILE), (shared, SHARED))]
 
