@@ -33,9 +33,14 @@ def lines_of(text: str) -> list[str]:
     return [s for s in map(str.strip, text.splitlines()) if s]
 
 
+#: Counts of a token or line, packed into one integer: words, frequent words, symbols, numbers.
+WORD, FREQUENT, SYMBOL, NUMBER = 1, 1 << 30, 1 << 60, 1 << 90
+_PART = (1 << 30) - 1
+
+
 class TokenTable(dict):
-    """What a raw token counts for: (weight, word, frequent, symbol, digits, name), worked out at its
-    first sight; ``bound`` keeps a worker's table from growing with the corpus."""
+    """What a raw token counts for: (weight, packed counts, name), worked out at its first sight;
+    ``bound`` keeps a worker's table from growing with the corpus."""
 
     bound = 200_000
 
@@ -49,31 +54,31 @@ class TokenTable(dict):
         low = token.lower()
         if token[0].isalpha():
             name = "§id" if _INNER_CASE.search(token) else low
-            row = (1, int(low in self.common), 0, 0, name)
+            counts = WORD + FREQUENT * (low in self.common)
         elif token[0].isdigit():
-            name, row = "§9", (0, 0, 0, 1, "§9")
+            name, counts = "§9", NUMBER
         else:
-            name, row = token, (0, 0, int(token not in ",.'’\"-"), 0, token)
-        self[token] = row = (self.weights.get("w:" + name, 0.0), *row)
+            name, counts = token, SYMBOL * (token not in ",.'’\"-")
+        self[token] = row = (self.weights.get("w:" + name, 0.0), counts, name)
         return row
 
 
-_NOTHING = ((), (), (), (), (), ())
-
-
 def read_line(line: str, table: TokenTable):
-    """Columns of the line's tokens (see TokenTable) and the body they were read from."""
+    """(token weights, packed counts of the line, token names) and the body they were read from."""
     quoted = _QUOTE.match(line)
     body = line[quoted.end() :] if quoted else line
     tokens = TOKEN.findall(body)
-    return (tuple(zip(*map(table.__getitem__, tokens))) if tokens else _NOTHING), body
+    if not tokens:
+        return ((), 0, ()), body
+    weights, counts, names = zip(*map(table.__getitem__, tokens))
+    return (weights, sum(counts), names), body
 
 
 def shape_features(columns, body: str) -> list[str]:
     """Names of the features of a line's shape."""
-    _, is_word, is_frequent, is_symbol, is_digits, names = columns
-    words, n = sum(is_word), max(1, len(names))
-    share, marks = sum(is_frequent) / max(1, words), sum(is_symbol) / n
+    _, counts, names = columns
+    words, n = counts & _PART, max(1, len(names))
+    share, marks = (counts >> 30 & _PART) / max(1, words), (counts >> 60 & _PART) / n
     out = [
         "bias",
         "words:3" if words < 5 else "words:5" if words < 9 else "words:9" if words < 16 else "words:16",
@@ -82,7 +87,7 @@ def shape_features(columns, body: str) -> list[str]:
     ]
     if _END.search(body[-8:]):
         out.append("ends")
-    if sum(is_digits) > 0.3 * n:
+    if counts >> 90 > 0.3 * n:
         out.append("digits")
     if len(body) > 12 * n:
         out.append("wide")
@@ -95,7 +100,7 @@ def shape_features(columns, body: str) -> list[str]:
 
 def is_no_sentence(columns, body: str) -> bool:
     """Lines that are none whatever they say: list items, headings, fragments of one or two words."""
-    return sum(columns[1]) < 3 or _BULLET.match(body) is not None or _HEADING.match(body) is not None
+    return columns[1] & _PART < 3 or _BULLET.match(body) is not None or _HEADING.match(body) is not None
 
 
 class LineModel:
@@ -127,10 +132,12 @@ def text_statistics(text: str, model: LineModel, table: TokenTable) -> tuple:
     seen: set[str] = set()
     for line in lines:
         columns, body = read_line(line, table)
-        seen.update(columns[5])
-        letters += sum(columns[1])
-        frequent += sum(columns[2])
-        symbols += len(columns[1]) - sum(columns[1]) - sum(columns[4])
+        _, counts, names = columns
+        seen.update(names)
+        words = counts & _PART
+        letters += words
+        frequent += counts >> 30 & _PART
+        symbols += len(names) - words - (counts >> 90)
         if line[-1] in ".!?:;…":
             ends += 1
         if model.is_sentence(columns, body):
@@ -152,7 +159,7 @@ def fit_lines(labelled: list[tuple[str, str]], common, rounds: int = 2, steps: i
             if is_no_sentence(columns, body):
                 continue
             rows.append(shape_features(columns, body))
-            tokens.append(["w:" + name for name in columns[5]])
+            tokens.append(["w:" + name for name in columns[2]])
             labels.append(label == "prose")
             weights.append(1 / len(lines))
     if len({*labels}) < 2:
