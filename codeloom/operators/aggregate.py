@@ -119,4 +119,4 @@ def fair_share(rows: DataFrame, order, limit: int, scopes: int) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("scope").orderBy(*order))
     names = rows.select("scope").distinct().withColumn("scope_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("scope")))
     share = F.lit(base) + (F.col("scope_no") <= rest).cast("int")
-    return rows.withColumn("nth", nth).join(F.broadcast(names.limit(10_000)), "scope").filter(F.col("nth") <= share).drop("scope_no")
+    return rows.withColumn("nth", nth).join(names, "scope").filter(F.col("nth") <= share).drop("scope_no")

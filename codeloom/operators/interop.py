@@ -190,6 +190,17 @@ def match_edges(imports: DataFrame, matches: DataFrame) -> DataFrame:
     return sure.select("scope", F.col("import_id").alias("src"), F.col("export_id").alias("dst"), F.lit("pinvoke-maps-to").alias("kind_name"), F.to_json(F.struct("outcome", "spelling")).alias("payload"))
 
 
+def publish_boundary(imports: DataFrame, matches: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(annotations, edges) that record an analysis: one match per import, one annotation per
+    finding, one pinvoke-maps-to edge per sure match.  Ids depend on the facts alone."""
+    row = lambda rows, flavor, args: rows.select(
+        "scope", F.col("import_id").alias("symbol_id"), F.lit(flavor).alias("name"), F.lit(flavor).alias("full_name"), F.lit(flavor).alias("flavor"), F.to_json(F.struct(*args)).alias("args_json"), F.lit(None).cast("long").alias("attribute_symbol_id")
+    )
+    rows = row(matches, FLAVORS["match"], ["outcome", "export_id", "spelling"]).unionByName(row(findings, FLAVORS["finding"], ["rule", "severity", "detail", "export_id"])).distinct()
+    marks = rows.withColumn("id", F.abs(F.xxhash64("scope", "symbol_id", "flavor", "args_json") % F.lit(1 << 62)))
+    return marks, match_edges(imports, matches)
+
+
 def _stored(t: GraphTables, symbol: str, flavor: str) -> DataFrame:
     few = top_match(t, symbol).select("scope", F.col("id").alias("symbol_id"))
     rows = t.annotations.filter(F.col("flavor") == flavor).join(F.broadcast(few), ["scope", "symbol_id"], "left_semi")

@@ -60,7 +60,7 @@ def list_symbols_in_file(t: GraphTables, path: str) -> DataFrame:
 
 def list_members(t: GraphTables, container: DataFrame, accessibility: str | None = None, limit: int = 100) -> DataFrame:
     """Direct children of the containers (scope, id)."""
-    rows = t.symbols.join(F.broadcast(container.limit(1000).select("scope", F.col("id").alias("container_id"))), ["scope", "container_id"], "left_semi")
+    rows = t.symbols.join(container.select("scope", F.col("id").alias("container_id")), ["scope", "container_id"], "left_semi")
     code = accessibility_code(accessibility)
     rows = rows if code is None else rows.filter(F.col("accessibility") == code)
     return rows.select("scope", "id", "name", "kind_name", "accessibility", "start_line", "container_id").orderBy("start_line", "name", "id").limit(limit)
@@ -68,7 +68,7 @@ def list_members(t: GraphTables, container: DataFrame, accessibility: str | None
 
 def find_references(t: GraphTables, target: DataFrame, include_generated: bool = False, limit: int = 50) -> DataFrame:
     """References to the targets (scope, id); a shared symbol is referred to from any scope."""
-    ids = F.broadcast(target.limit(1000).select(F.col("id").alias("symbol_id")))
+    ids = target.select(F.col("id").alias("symbol_id"))
     files = t.files if include_generated else t.files.filter("is_generated = 0")
     rows = t.refs.join(ids, "symbol_id", "left_semi").join(files.select("scope", F.col("id").alias("file_id"), "path"), ["scope", "file_id"])
     return rows.select("scope", "id", "symbol_id", "path", "line", "col", "kind").orderBy("path", "line", "col", "id").limit(limit)
@@ -80,7 +80,7 @@ def find_diagnostics(t: GraphTables, severity: str | None = "warning", code: str
     if code is not None:
         rows = rows.filter(F.col("code") == code)
     if symbol is not None:
-        rows = rows.join(F.broadcast(symbol.limit(1000).select("scope", F.col("id").alias("symbol_id"))), ["scope", "symbol_id"], "left_semi")
+        rows = rows.join(symbol.select("scope", F.col("id").alias("symbol_id")), ["scope", "symbol_id"], "left_semi")
     files = t.files.select("scope", F.col("id").alias("file_id"), "path")
     names = t.symbols.select("scope", F.col("id").alias("symbol_id"), "fqn")
     rows = rows.join(files, ["scope", "file_id"]).join(names, ["scope", "symbol_id"], "left")
@@ -109,7 +109,7 @@ def find_by_annotation(t: GraphTables, name: str, flavor: str | None = None, arg
 
 
 def annotations_of(t: GraphTables, symbol: DataFrame) -> DataFrame:
-    one = F.broadcast(symbol.limit(1000).select("scope", F.col("id").alias("symbol_id")))
+    one = symbol.select("scope", F.col("id").alias("symbol_id"))
     return t.annotations.join(one, ["scope", "symbol_id"], "left_semi").orderBy("id")
 
 
@@ -142,7 +142,7 @@ def outgoing_state(t: GraphTables) -> DataFrame:
 
 def list_tests_for(t: GraphTables, symbol: DataFrame, indirect: bool = False, limit: int = 50) -> DataFrame:
     """Sources of ``tests`` edges into the symbol; with ``indirect``, also tests that call it."""
-    one = F.broadcast(symbol.limit(1000).select(F.col("id").alias("dst")))
+    one = symbol.select(F.col("id").alias("dst"))
     kinds = ["tests", "calls"] if indirect else ["tests"]
     sources = t.edges.filter(F.col("kind_name").isin(kinds)).join(one, "dst", "left_semi").select("scope", F.col("src").alias("id"), (F.col("kind_name") == "tests").alias("direct"))
     sources = sources.groupBy("scope", "id").agg(F.max("direct").alias("direct"))
@@ -151,7 +151,7 @@ def list_tests_for(t: GraphTables, symbol: DataFrame, indirect: bool = False, li
 
 
 def who_authored(t: GraphTables, symbol: DataFrame) -> DataFrame:
-    one = F.broadcast(symbol.limit(1000).select("scope", F.col("id").alias("symbol_id")))
+    one = symbol.select("scope", F.col("id").alias("symbol_id"))
     return t.symbol_history.join(one, ["scope", "symbol_id"], "left_semi").select("scope", "symbol_id", "last_commit_sha", "last_author", "last_authored_at", "line_count")
 
 
@@ -190,7 +190,7 @@ def symbol_card(t: GraphTables, canonical_key: str) -> DataFrame:
     """One symbol with its numbers of callers, callees, references and members."""
     one = get_symbol(t, canonical_key=canonical_key).select("scope", "id", "canonical_key", "fqn", "kind_name", "signature", "path", "start_line")
     few = one.select("scope", "id")
-    count = lambda rows, key, name: rows.join(F.broadcast(few.limit(100).select(F.col("id").alias(key))), key, "left_semi").groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
+    count = lambda rows, key, name: rows.join(few.select(F.col("id").alias(key)), key, "left_semi").groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
     calls = t.edges.filter("kind_name = 'calls'")
     out = one
     for rows, key, name in ((calls, "dst", "n_callers"), (calls, "src", "n_callees"), (t.refs, "symbol_id", "n_references"), (t.symbols, "container_id", "n_members")):

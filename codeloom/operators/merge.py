@@ -188,6 +188,26 @@ def delete_files(t: GraphTables, files: DataFrame) -> GraphTables:
     )
 
 
+def purge_excluded(t: GraphTables, excluded) -> GraphTables:
+    """Remove files whose path an exclusion rule now covers (a function of the path column)."""
+    return delete_files(t, t.files.filter(excluded(F.col("path"))).select("scope", F.col("id").alias("file_id")))
+
+
+def replace_native_snapshot(t: GraphTables, producer: str, scopes: DataFrame, flavors, facts: DataFrame, annotations: DataFrame) -> GraphTables:
+    """Publish a whole candidate of native facts: everything the producer said before and all
+    annotations of the flavors in these scopes (scope) give way.  A candidate that names unknown
+    symbols, or annotations of other flavors or unknown symbols, is refused as a whole."""
+    ids = t.symbols.select("scope", F.col("id").alias("symbol_id"))
+    foreign = annotations.filter(~F.col("flavor").isin(list(flavors)))
+    if not foreign.limit(1).isEmpty() or not annotations.join(ids, ["scope", "symbol_id"], "left_anti").limit(1).isEmpty():
+        raise UnresolvedEndpoint("the candidate holds annotations of other flavors or of unknown symbols")
+    inside = scopes.select("scope").distinct()
+    files = t.files.join(inside, "scope", "left_semi").select("scope", F.col("id").alias("file_id"))
+    replaced = replace_producer(t, producer, facts, files)
+    old = t.annotations.join(inside.withColumn("_in", F.lit(True)), "scope", "left").filter(F.col("_in").isNull() | ~F.col("flavor").isin(list(flavors)))
+    return replaced.with_tables(annotations=old.select(*t.annotations.columns).unionByName(annotations.select(*t.annotations.columns)))
+
+
 def replace_diagnostics(t: GraphTables, files: DataFrame, new: DataFrame) -> DataFrame:
     kept = t.diagnostics.join(files.select("scope", "file_id").distinct(), ["scope", "file_id"], "left_anti").select(*t.diagnostics.columns)
     return kept.unionByName(new.select(*t.diagnostics.columns))

@@ -67,10 +67,13 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
     place = located(t).select(F.col("id").alias("dst"), "path", "start_line", "start_col")
     edges = cut(auditable(t, kinds).select(*EDGE).join(place, "dst", "left"))
     order = ["kind_name", "path", "start_line", "start_col", "dst"]
-    frontier = cut(sources.limit(max_nodes).select("id").distinct().select(
+    starts = sources.select("id").distinct()
+    if starts.limit(max_nodes + 1).count() > max_nodes:
+        raise ValueError(f"more than {max_nodes} sources")
+    frontier = cut(starts.select(
         F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds"), F.row_number().over(W.orderBy("id")).alias("place"),
     ))
-    goal = None if targets is None else F.broadcast(targets.limit(max_nodes).select(F.col("id").alias("at")).distinct())
+    goal = None if targets is None else cut(targets.select(F.col("id").alias("at")).distinct())
     found: list[DataFrame] = []
     expanded, truncated = frontier.count(), False
     for depth in range(1, max_depth + 1):

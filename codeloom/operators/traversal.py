@@ -12,7 +12,7 @@ from codeloom.session import cut
 from codeloom.tables import GraphTables
 
 EDGE = ["scope", "src", "dst", "kind_name"]
-#: Nodes that one call walks from at most; larger sets are an error in the caller.
+#: Symbols that one impact walk starts from at most; more are an error.
 FRONTIER = 5_000
 
 
@@ -22,17 +22,10 @@ def auditable(t: GraphTables, kinds=None) -> DataFrame:
     return edges.join(t.edge_evidence.select(*EDGE).distinct(), EDGE, "left_semi")
 
 
-def with_confidence(t: GraphTables, few: DataFrame) -> DataFrame:
-    """Add ``confidence`` to a bounded set of edges: only their evidence is ranked."""
-    keys = F.broadcast(few.select(*EDGE).distinct())
-    proofs = t.edge_evidence.join(keys, EDGE, "left_semi")
-    return few.join(hop_confidence(t.with_tables(edge_evidence=proofs)).select(*EDGE, "confidence"), EDGE, "left")
-
-
 def _step(t: GraphTables, edges: DataFrame, nodes: DataFrame, inbound: bool) -> DataFrame:
     """Edges at the nodes (id) with the symbol on the other side."""
     near, far = ("dst", "src") if inbound else ("src", "dst")
-    few = F.broadcast(nodes.limit(FRONTIER).select(F.col("id").alias(near)))
+    few = nodes.select(F.col("id").alias(near))
     other = located(t).select(F.col("id").alias(far), "fqn", "kind_name", "path", "start_line", "start_col").withColumnRenamed("kind_name", "symbol_kind")
     return edges.join(few, near, "left_semi").join(other, far)
 
@@ -100,30 +93,38 @@ def impact_of_change(t: GraphTables, nodes: DataFrame, kind: str | None = "calls
     """
     if not (1 <= max_depth <= 12 and 1 <= limit <= 1000):
         raise ValueError("max_depth must be 1 to 12, limit 1 to 1000")
-    edges = cut(auditable(t, None if kind is None else [kind]).select(*EDGE))
+    order = ["kind_name", "path", "start_line", "start_col", "src"]
     place = located(t).select(F.col("id").alias("src"), "path", "start_line", "start_col")
-    start = nodes.limit(FRONTIER).select("id").distinct()
-    frontier = cut(start.select("id", F.lit(0).alias("depth"), F.row_number().over(W.orderBy("id")).alias("place"), F.lit(None).cast("long").alias("predecessor"), F.array("id").alias("path_ids"), F.lit(2).alias("confidence")))
+    edges = cut(auditable(t, None if kind is None else [kind]).select(*EDGE).join(place, "src"))
+    start = nodes.select("id").distinct()
+    if start.limit(FRONTIER + 1).count() > FRONTIER:
+        raise ValueError(f"more than {FRONTIER} symbols to start from")
+    frontier = cut(start.select("id", F.lit(0).alias("depth"), F.row_number().over(W.orderBy("id")).alias("place"), F.lit(None).cast("long").alias("predecessor"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds")))
     done, left = frontier, limit
     for depth in range(1, max_depth + 1):
         if left <= 0:
             break
-        near = F.broadcast(frontier.select(F.col("id").alias("dst"), F.col("place").alias("from_place"), "path_ids", F.col("confidence").alias("so_far")))
-        # the few edges at the frontier are looked up first; proofs are read for the chosen ones only
-        order = ["kind_name", "path", "start_line", "start_col", "src"]
-        steps = edges.join(near, "dst").join(place, "src").withColumn("branch", F.row_number().over(W.partitionBy("dst").orderBy(*order))).filter(F.col("branch") <= limit + 1)
+        near = F.broadcast(frontier.select(F.col("id").alias("dst"), F.col("place").alias("from_place"), "path_ids", "kinds"))
+        steps = edges.join(near, "dst").withColumn("branch", F.row_number().over(W.partitionBy("dst").orderBy(*order))).filter(F.col("branch") <= limit + 1)
         fresh = steps.join(F.broadcast(done.select(F.col("id").alias("src"))), "src", "left_anti")
         first = fresh.withColumn("nth", F.row_number().over(W.partitionBy("src").orderBy("from_place", *order))).filter("nth = 1").orderBy("from_place", *order).limit(left)
         numbered = first.withColumn("place", F.row_number().over(W.orderBy("from_place", *order)))  # over at most ``limit`` rows
-        numbered = with_confidence(t, cut(numbered))
-        frontier = cut(numbered.select(F.col("src").alias("id"), F.lit(depth).alias("depth"), "place", F.col("dst").alias("predecessor"), F.concat("path_ids", F.array("src")).alias("path_ids"), F.least("so_far", "confidence").alias("confidence")))
+        frontier = cut(numbered.select(F.col("src").alias("id"), F.lit(depth).alias("depth"), "place", F.col("dst").alias("predecessor"), F.concat("path_ids", F.array("src")).alias("path_ids"), F.concat("kinds", F.array("kind_name")).alias("kinds")))
         n = frontier.count()
         if not n:
             break
         left -= n
         done = done.unionByName(frontier)
+    found = done.filter("depth > 0").drop("place")
+    # a hop leads from the later to the earlier symbol of the path; proofs are read for these hops only
+    hop = F.struct(F.get("path_ids", F.col("k") + 1).alias("src"), F.get("path_ids", F.col("k")).alias("dst"), F.get("kinds", F.col("k")).alias("kind_name"))
+    hops = found.select("id", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("k"), "path_ids", "kinds").select("id", hop.alias("h")).select("id", "h.*")
+    keys = ["src", "dst", "kind_name"]
+    proofs = t.edge_evidence.join(F.broadcast(hops.select(*keys).distinct()), keys, "left_semi")
+    strength = hop_confidence(t.with_tables(edge_evidence=proofs)).groupBy(*keys).agg(F.max("confidence").alias("confidence"))
+    weakest = hops.join(strength, keys).groupBy("id").agg(F.min("confidence").alias("confidence"))
     names = t.symbols.select("id", "fqn", "kind_name")
-    return done.filter("depth > 0").join(names, "id").select("id", "fqn", "kind_name", "depth", "predecessor", "path_ids", "confidence")
+    return found.join(weakest, "id").join(names, "id").select("id", "fqn", "kind_name", "depth", "predecessor", "path_ids", "confidence")
 
 
 def ancestors_by_relation(t: GraphTables, kind: str = "inherits", max_depth: int = 8) -> DataFrame:

@@ -63,6 +63,13 @@ def _(spark, d):
     return row_counts(merge.delete_files(t, files), ("files", "symbols", "refs", "annotations"))
 
 
+@query("purge_excluded", "SELECT 'files' AS table_name, count(*) AS n_rows FROM g_files WHERE path NOT ILIKE '%/text/%' UNION ALL SELECT 'symbols', count(*) FROM g_symbols s WHERE NOT EXISTS (SELECT 1 FROM g_files f WHERE f.scope = s.scope AND f.id = s.file_id AND f.path ILIKE '%/text/%')")
+def _(spark, d):
+    from codeloom.operators.aggregate import row_counts
+
+    return row_counts(merge.purge_excluded(from_driver(spark, d), lambda path: path.ilike("%/text/%")), ("files", "symbols"))
+
+
 @query("orphan_symbols", "SELECT scope, id, canonical_key FROM g_symbols s WHERE kind_name = 'field' AND NOT EXISTS (SELECT 1 FROM g_annotations a WHERE a.scope = s.scope AND a.symbol_id = s.id) AND NOT EXISTS (SELECT 1 FROM g_refs a WHERE a.scope = s.scope AND a.symbol_id = s.id) AND NOT EXISTS (SELECT 1 FROM g_edges a WHERE a.scope = s.scope AND (a.src = s.id OR a.dst = s.id)) AND NOT EXISTS (SELECT 1 FROM g_diagnostics a WHERE a.scope = s.scope AND a.symbol_id = s.id) AND NOT EXISTS (SELECT 1 FROM g_history a WHERE a.scope = s.scope AND a.symbol_id = s.id) AND NOT EXISTS (SELECT 1 FROM g_symbols a WHERE a.scope = s.scope AND a.container_id = s.id)")
 def _(spark, d):
     t = from_driver(spark, d)
@@ -131,6 +138,14 @@ def _(spark, d):
     return interop.boundary_findings(imports.withColumn("params", none), exports.withColumn("params", none))
 
 
+@query("publish_boundary", "SELECT 'interop-match' AS name, count(*) AS n FROM firsts WHERE nth = 1 UNION ALL SELECT 'pinvoke-maps-to', count(*) FROM firsts WHERE nth = 1 AND decision IN ('matched', 'source-matched')", _IMPORTS)
+def _(spark, d):
+    imports, exports = _facts(from_driver(spark, d))
+    matches = interop.match_imports(imports, exports)
+    marks, edges = interop.publish_boundary(imports, matches, interop.rule_convention(interop._pairs(imports, exports, matches)))
+    return marks.filter("flavor = 'interop-match'").groupBy(F.col("flavor").alias("name")).agg(F.count("*").alias("n")).union(edges.groupBy("kind_name").agg(F.count("*").alias("n")))
+
+
 _STRUCTS = """fields AS (SELECT c.id AS box, row_number() OVER (PARTITION BY c.id ORDER BY m.start_line, m.id) AS ord, m.id FROM g_symbols c JOIN g_symbols m ON m.scope = c.scope AND m.container_id = c.id WHERE m.kind_name = 'field' AND m.start_line IS NOT NULL)"""
 
 

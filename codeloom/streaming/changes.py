@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,16 @@ def apply_stream(changes: DataFrame, store: SnapshotStore, merge: Callable[[Grap
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
+def with_retry(run: Callable[[], object], waits=(1.0, 5.0, 25.0), sleep: Callable[[float], None] = time.sleep):
+    """Call until it succeeds, waiting longer each time; the last failure is raised."""
+    for wait in waits:
+        try:
+            return run()
+        except Exception:  # noqa: BLE001
+            sleep(wait)
+    return run()
+
+
 def embed_batch(t: GraphTables, texts: DataFrame, embed: Callable[[DataFrame], DataFrame], model_version: str) -> GraphTables:
     """Vectors for texts that are new or changed (embed: adds a column embedding)."""
     stale = to_embed(texts, t.embeddings, model_version)

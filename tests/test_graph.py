@@ -285,3 +285,16 @@ def test_hooks_and_tables(spark, tmp_path):
     assert aggregate.budget_rows(500) == 96 and aggregate.budget_rows(1500) == 32
     register_views(spark, t, "x_")
     assert spark.table("x_v_files").count() == 2
+
+
+def test_native_snapshot_is_refused_or_published_whole(spark):
+    t, ids = seed(spark, CALLS)
+    facts_of = spark.createDataFrame([("s", "csharp:M:A", "csharp:M:C", "pinvoke-maps-to", 1, "/a.cs", 7, 1, 7, 9, 2, "x")], "scope string, src_key string, dst_key string, kind_name string, producing_file_id long, file_path string, start_line int, start_col int, end_line int, end_col int, confidence int, payload string")
+    scopes = spark.createDataFrame([("s",)], "scope string")
+    mark = lambda flavor, symbol: spark.createDataFrame([("s", 5, symbol, "n", "n", flavor, "{}", None)], SCHEMAS["annotations"])
+    new = merge.replace_native_snapshot(t, "native", scopes, ["interop-match"], facts_of, mark("interop-match", ids["A"]))
+    again = merge.replace_native_snapshot(new, "native", scopes, ["interop-match"], facts_of, mark("interop-match", ids["A"]))
+    assert new.annotations.count() == again.annotations.count() == 1 and again.edges.count() == len(CALLS) + 1
+    for bad in (mark("other", ids["A"]), mark("interop-match", 99)):
+        with pytest.raises(merge.UnresolvedEndpoint):
+            merge.replace_native_snapshot(t, "native", scopes, ["interop-match"], facts_of, bad)

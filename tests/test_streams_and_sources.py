@@ -109,3 +109,15 @@ def test_scope_file_and_xaml(spark, tmp_path):
     rows = readers.read_xaml(spark.createDataFrame([("s", "/p", text), ("s", "/q", "<broken"), ("s", "/n", None)], "scope string, path string, text string")).collect()
     assert [(r.element, r.name, r.attribute, r.extension) for r in rows] == [("Button", "Go", "Content", "Binding")]
     assert rows[0].payload == {"path": "A.B", "converter": "{StaticResource C, Key=1}", "mode": "TwoWay"}
+
+
+def test_retry_waits_longer():
+    waited, calls = [], []
+
+    def run():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "done"
+
+    assert changes.with_retry(run, sleep=waited.append) == "done" and waited == [1.0, 5.0]
