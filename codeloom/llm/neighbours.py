@@ -50,7 +50,7 @@ def usable(embeddings: DataFrame, models: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = embeddings.filter(F.col("symbol_id").isNotNull() & fine).select("model_version", "symbol_id", "embedding", "embedded_at")
-    rows = rows.join(F.broadcast(size.limit(MODELS)), "model_version").filter(F.size("embedding") == F.col("dimension"))
+    rows = rows.join(size, "model_version").filter(F.size("embedding") == F.col("dimension"))
     order = F.struct(F.col("embedded_at").isNotNull(), "embedded_at", "embedding")
     return rows.groupBy("model_version", "symbol_id").agg(F.max_by("embedding", order).alias("embedding"))
 
@@ -297,7 +297,7 @@ def nearest(embeddings: DataFrame, models: DataFrame, chosen) -> DataFrame:
         model, blocks = row["model_version"], -(-row["count"] // (BLOCK_QUERIES * 3 // 4))
         for k in range(blocks):
             mine = (F.col("model_version") == model) & (F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == k)
-            block = queries.filter(mine).select("class_id", "unit").limit(2 * BLOCK_QUERIES).toArrow()
+            block = queries.filter(mine).select("class_id", "unit").toArrow()
             if not block.num_rows:
                 continue
             ids, units = spark.sparkContext.broadcast(block["class_id"].to_numpy()), spark.sparkContext.broadcast(_matrix(block["unit"], np.float32))

@@ -53,4 +53,16 @@ def p8_found(spark, sf_dir):
 
 
 QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_stats": p8_stats}
-SQL: dict[str, str] = {}
+#: Brute force over all pairs of one model; the other queries have no counterpart in SQL.
+SQL: dict[str, str] = {
+    "p5_found": """
+WITH usable AS (
+  SELECT e.model_version, e.symbol_id, arg_max(e.embedding, e.embedded_at)::DOUBLE[] AS v FROM symbol_embeddings e JOIN embedding_models m ON m.version = e.model_version
+  WHERE e.symbol_id IS NOT NULL AND len(e.embedding) = m.dimension AND len(list_filter(e.embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(e.embedding, lambda x: x <> 0)) > 0
+  GROUP BY e.model_version, e.symbol_id
+), ranked AS (
+  SELECT a, b, c, row_number() OVER (PARTITION BY model_version, a ORDER BY c DESC, b) AS nth
+  FROM (SELECT x.model_version, x.symbol_id AS a, y.symbol_id AS b, list_cosine_similarity(x.v, y.v) AS c FROM usable x JOIN usable y ON x.model_version = y.model_version AND x.symbol_id <> y.symbol_id)
+)
+SELECT DISTINCT least(a, b) AS symbol_id_a, greatest(a, b) AS symbol_id_b FROM ranked WHERE nth <= 10 AND c >= 0.9"""
+}
