@@ -107,7 +107,7 @@ def test_inherited_documentation(spark):
     good = "Waits until the lease expires."
     rows = [
         sym(11, "Run", 1, good), sym(12, "Run", 2, "<inheritdoc/>"), sym(13, "Run", 3, "{@inheritDoc}"), sym(21, "Stop", 1, ""), sym(22, "Stop", 2, "<inheritdoc/>"), sym(31, "Spin", 4, "<inheritdoc/>"), sym(32, "Spin", 5, "<inheritdoc/>"),
-        sym(41, "Own", 1, good, None), sym(42, "Own", 2, good, "  "), sym(43, "Named", 9, '<inheritdoc cref="M:T1.Run"/>'), sym(44, "Dead", 1, good, dead=now), sym(45, "Prop", 1, good, kind="property"), sym(46, "Two", 1, "TODO"), sym(46, "Two", 1, good),
+        sym(41, "Own", 1, good, None), sym(42, "Own", 2, good, "  "), sym(47, "Own", 2, good, "\n\t"), sym(43, "Named", 9, '<inheritdoc cref="M:T1.Run"/>'), sym(44, "Dead", 1, good, dead=now), sym(45, "Prop", 1, good, kind="property"), sym(46, "Two", 1, "TODO"), sym(46, "Two", 1, good),
     ]
     edges = [("s", 2, 1, "Inherits", None), ("s", 2, 1, "inherits", "{}"), ("s", 3, 2, "inherits ", None), ("s", 4, 5, "inherits", None), ("s", 5, 4, "inherits", None), ("s", None, 1, None, None)]
     symbols, links = spark.createDataFrame(rows, shape), spark.createDataFrame(edges, "scope_id string, src long, dst long, kind_name string, payload string")
