@@ -302,28 +302,36 @@ class SnapshotStore:
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _pointer(self) -> dict:
+        if not self._fs.exists(self._p(f"{self.path}/CURRENT")):
+            return {"version": 0, "batches": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+
     def current(self) -> int:
-        at = self._p(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return 0
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])["version"]
+        return self._pointer()["version"]
+
+    def last_batch(self, stream: str) -> int:
+        """Number of the last micro-batch of a stream that was published; -1 if none was."""
+        return self._pointer()["batches"].get(stream, -1)
 
     def read(self, version: int | None = None) -> GraphTables:
         return load_tables(self.spark, f"{self.path}/v={version or self.current()}")
 
-    def publish(self, tables: GraphTables, expected: int | None = None) -> int:
-        """Write a new version, then move the pointer; refuses if another writer moved it first."""
-        now = self.current()
+    def publish(self, tables: GraphTables, expected: int | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Write a new version, then move the pointer; refuses if another writer moved it first.
+        The number of a stream's micro-batch is kept in the pointer, so both change at once."""
+        pointer = self._pointer()
+        now = pointer["version"]
         if expected is not None and expected != now:
             raise RuntimeError(f"version {now} is current, not {expected}")
         save_tables(tables, f"{self.path}/v={now + 1}")
-        self._point(now + 1)
+        self._point(now + 1, pointer["batches"] | dict([batch] if batch else []))
         return now + 1
 
-    def _point(self, version: int) -> None:
+    def _point(self, version: int, batches: dict) -> None:
         fresh = self._p(f"{self.path}/.CURRENT.{version}")
         out = self._fs.create(fresh, True)
-        out.write(json.dumps({"version": version}).encode())
+        out.write(json.dumps({"version": version, "batches": batches}).encode())
         out.close()
         target = self._p(f"{self.path}/CURRENT")
         self._fs.delete(target, False)
@@ -333,7 +341,7 @@ class SnapshotStore:
     def rollback(self, version: int) -> None:
         if not self._fs.exists(self._p(f"{self.path}/v={version}")):
             raise ValueError(f"no version {version}")
-        self._point(version)
+        self._point(version, self._pointer()["batches"])
 
 
 def integrity(t: GraphTables) -> DataFrame:

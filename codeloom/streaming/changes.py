@@ -38,14 +38,13 @@ def hourly_changes(changes: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def apply_stream(changes: DataFrame, store: SnapshotStore, merge: Callable[[GraphTables, DataFrame], GraphTables], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Merge each micro-batch into the store.  The version that a batch made is remembered by its
-    number, so a batch that is delivered again after a failure isn't merged twice."""
-    done: dict[int, int] = {}
+    """Merge each micro-batch into the store.  The store's pointer remembers the number of the last
+    batch of this stream (named by its checkpoint folder), so a batch that is delivered again, also
+    after the driver was lost, isn't merged twice."""
 
     def one(batch: DataFrame, number: int) -> None:
-        if number in done or batch.isEmpty():
-            return
-        done[number] = store.publish(merge(store.read(), batch))
+        if number > store.last_batch(checkpoint) and not batch.isEmpty():
+            store.publish(merge(store.read(), batch), batch=(checkpoint, number))
 
     writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()

@@ -43,6 +43,7 @@ def test_batches_are_merged_into_versions(spark, tmp_path):
     stream = changes.read_changes(spark, str(tmp_path / "in"), files_per_trigger=1)
     changes.apply_stream(stream, store, apply, str(tmp_path / "cp")).awaitTermination(240)
     assert store.current() == 4 and sorted(r.path for r in store.read().files.collect()) == ["/x", "/y"]
+    assert store.last_batch(str(tmp_path / "cp")) == 2 and store.last_batch("other") == -1
 
 
 def test_embedding_and_blame_batches(spark):
