@@ -57,9 +57,10 @@ def _local_order(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(peeled[::-1], np.int64), label
 
 
-def _contract(ids, parents, seg_ids, seg_names, seg_min, size, pid: int, full: bool) -> pa.RecordBatch:
+def _contract(ids, parents, seg_ids, seg_names, seg_min, size, known, pid: int, full: bool) -> pa.RecordBatch:
     """Follow parents inside one partition.  A node without a parent is its own exit's end: exit
-    is null.  ``circle`` is the least id on the circle that a node's chain runs into, if local."""
+    is null.  ``circle`` is the least id on the circle that a node's chain runs into, if it is found
+    here or ``known`` from a level below."""
     order = np.argsort(ids, kind="stable")
     at = np.searchsorted(ids[order], parents)
     at = np.where(at < len(ids), at, 0)
@@ -69,7 +70,7 @@ def _contract(ids, parents, seg_ids, seg_names, seg_min, size, pid: int, full: b
     parent = np.where(inside, local, -1)
     down, label = _local_order(parent)
     exits = np.where(has & ~inside, parents, _NONE)
-    circle = np.full(len(ids), _NONE, np.int64)
+    circle = known.copy()
     least, total = seg_min.copy(), size.copy()
     chains_ids = list(seg_ids) if full else None
     chains_names = list(seg_names) if full else None
@@ -116,7 +117,7 @@ def _contractor(full: bool):
         if full:
             ids = [np.array(x, np.int64) for x in table["seg_ids"].to_pylist()]
             names = [np.array(x, object) for x in table["seg_names"].to_pylist()]
-        done = _contract(longs("id"), longs("parent"), ids, names, longs("seg_min"), longs("size"), TaskContext.get().partitionId(), full)
+        done = _contract(longs("id"), longs("parent"), ids, names, longs("seg_min"), longs("size"), longs("circle"), TaskContext.get().partitionId(), full)
         for start in range(0, done.num_rows, 20_000):
             yield done.slice(start, 20_000)
 
@@ -124,7 +125,7 @@ def _contractor(full: bool):
 
 
 def _level(nodes: DataFrame, parts: int, full: bool, by_coin: int | None) -> DataFrame:
-    """One contraction of (id, parent, seg_ids, seg_names, seg_min, size)."""
+    """One contraction of (id, parent, seg_ids, seg_names, seg_min, size, circle)."""
     if parts == 1:
         placed = nodes.coalesce(1)
     elif by_coin is None:
@@ -149,15 +150,12 @@ def _solve(nodes: DataFrame, count: int, full: bool, by_coin: int | None = None,
     if parts == 1:
         return level.select("id", *lists, "size", "circle")
     exits = level.select(F.col("exit").alias("id")).filter("id is not null").distinct()
-    own = [F.col(c) for c in ("id", *lists, "seg_min", "size")]
-    # an exit without a row of its own finds no answer below, which makes its fragment a tree
-    quotient = cut(exits.join(level.filter("circle is null").select(*own, F.col("exit").alias("parent")), "id"))
-    ends = cut(exits.join(level.filter("circle is not null").select("id", *lists, "size", "circle"), "id"))
+    # an exit without a row of its own finds no answer below, which makes its fragment a tree; one that
+    # runs into a circle of its partition stays in the quotient, so that what hangs below learns it
+    quotient = cut(exits.join(level.select("id", *lists, "seg_min", "size", "circle", F.col("exit").alias("parent")), "id"))
     left = quotient.count()
     slow = left > 0.75 * count
-    solved = ends
-    if left:
-        solved = _solve(quotient, left, full, (by_coin or 0) + 1 if slow else None, task_rows).unionByName(ends)
+    solved = _solve(quotient, left, full, (by_coin or 0) + 1 if slow else None, task_rows)
     # each partition asks for its own exits, so that no key holds more rows than one partition
     wanted = level.select("pid", "exit").filter("exit is not null").distinct()
     renamed = [F.col(c).alias(f"top_{c}") for c in (*lists, "size", "circle")]
@@ -191,6 +189,7 @@ def resolve_hierarchy(nodes: DataFrame, full: bool = True, task_rows: int = TASK
         *([F.array("id").alias("seg_ids"), F.array("name").alias("seg_names")] if full else []),
         F.col("id").alias("seg_min"),
         F.lit(1).cast("long").alias("size"),
+        F.lit(None).cast("long").alias("circle"),
     )
     base = cut(base)
     solved = _solve(base, base.count(), full, task_rows=task_rows)
