@@ -38,6 +38,9 @@ def relation(kind: str) -> Automaton:
     return Automaton("path", "path", (("path", kind, "path"),))
 
 
+PATHS = "path_ids array<long>, kinds array<string>, confidence int, n_hops int, ends_at long"
+
+
 @dataclass(frozen=True)
 class Trace:
     """paths: path_ids, kinds, confidence, n_hops, ends_at.  ``truncated`` is set when a cap cut the
@@ -103,9 +106,8 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
             frontier = level
         if truncated:
             break
-    schema = "path_ids array<long>, kinds array<string>, confidence int, n_hops int, ends_at long"
     if not found:
-        return Trace(spark.createDataFrame([], schema), truncated)
+        return Trace(spark.createDataFrame([], PATHS), truncated)
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -114,6 +116,35 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
     return Trace(_with_confidence(t, rows), truncated)
 
 
+def paths_into(t: GraphTables, sources: DataFrame, targets: DataFrame, kind: str = "calls", max_depth: int = 8) -> DataFrame:
+    """All simple paths of one relation from the sources to their first target, over auditable edges
+    and without caps (columns as in ``Trace.paths``).
+
+    Paths grow backwards from the targets, so steps that lead to no target are never walked and every
+    symbol may be a source.  A path that has come to another target is kept, if that is a source, but
+    grows no further.  Each level is a join of two distributed sides and is written.
+    """
+    if max_depth < 1:
+        raise ValueError("max_depth must be 1 at least")
+    hops = cut(auditable(t, [kind]).filter(F.col("src") != F.col("dst")).select("src", F.col("dst").alias("at")).distinct())
+    goal = cut(targets.select(F.col("id").alias("at")).distinct())
+    begin = cut(sources.select(F.col("id").alias("at")).distinct())
+    frontier, found = goal.withColumn("path_ids", F.array("at")), None
+    for _ in range(max_depth):
+        grown = hops.join(frontier, "at").filter(~F.array_contains("path_ids", F.col("src")))
+        level = cut(grown.select(F.col("src").alias("at"), F.concat(F.array("src"), "path_ids").alias("path_ids")))
+        if level.isEmpty():
+            break
+        begun = level.join(begin, "at", "left_semi")
+        found = begun if found is None else found.unionByName(begun)
+        frontier = level.join(goal, "at", "left_anti")
+    if found is None:
+        return t.edges.sparkSession.createDataFrame([], PATHS)
+    n_hops = F.size("path_ids") - 1
+    rows = found.select("path_ids", F.array_repeat(F.lit(kind), n_hops).alias("kinds"), n_hops.alias("n_hops"), F.element_at("path_ids", -1).alias("ends_at"))
+    return _with_confidence(t, cut(rows))
+
+
 def _with_confidence(t: GraphTables, paths: DataFrame) -> DataFrame:
     """Weakest hop of each path; proofs are read for the hops of the found paths only."""
     hop = F.struct(F.get("path_ids", F.col("k")).alias("src"), F.get("path_ids", F.col("k") + 1).alias("dst"), F.get("kinds", F.col("k")).alias("kind_name"))

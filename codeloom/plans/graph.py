@@ -388,6 +388,16 @@ def _(t, a):
     return done.paths.select(*_shown())
 
 
+_INTO = _HOPS + """, back(head, path_ids, kinds, confidence, n) AS (SELECT src, [src, dst], [kind_name], confidence, 1 FROM hops WHERE kind_name = 'calls' AND src <> dst AND dst = (SELECT id FROM anchor)
+UNION ALL SELECT h.src, list_prepend(h.src, b.path_ids), list_prepend(h.kind_name, b.kinds), least(b.confidence, h.confidence), b.n + 1 FROM back b JOIN hops h ON h.dst = b.head WHERE h.kind_name = 'calls' AND b.n < 8 AND NOT list_contains(b.path_ids, h.src))"""
+
+
+@query("trace_call_path_all", "SELECT list_aggregate(path_ids, 'string_agg', '>') AS path, list_aggregate(kinds, 'string_agg', '>') AS kinds, confidence, n AS n_hops, (SELECT id FROM anchor) AS ends_at FROM back", _INTO, recursive=True)
+def _(t, a):
+    callers = traversal.auditable(t, ["calls"]).select(F.col("src").alias("id"))
+    return trace.paths_into(t, callers, node(t, a), "calls").select(*_shown())
+
+
 _FLOW = trace.Automaton("bound", "typed", (("bound", "binds-path", "entry"), ("entry", "calls", "code"), ("code", "calls", "code"), ("code", "uses-type", "typed")))
 _FLOW_SQL = _HOPS + """, moves(state, kind_name, next_state) AS (VALUES ('bound', 'binds-path', 'entry'), ('entry', 'calls', 'code'), ('code', 'calls', 'code'), ('code', 'uses-type', 'typed')),
 begin AS (SELECT DISTINCT src FROM audit WHERE kind_name = 'binds-path'),

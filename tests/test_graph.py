@@ -42,6 +42,30 @@ def test_trace_finds_simple_paths_in_a_circle(spark):
     assert cut.truncated and not cut.absence_authoritative
 
 
+def simple_paths(edges, goals, depth):
+    """Simple paths of up to ``depth`` hops that meet a goal at their end and, but for the start, only there."""
+    out, level = set(), [(a,) for a in {e[0] for e in edges}]
+    for _ in range(depth):
+        level = [p + (b,) for p in level for a, b in {e[:2] for e in edges} if a == p[-1] and b not in p]
+        out |= {p for p in level if p[-1] in goals}
+        level = [p for p in level if p[-1] not in goals]
+    return out
+
+
+def test_paths_into_targets_come_from_every_source(spark):
+    many = [(f"K{k}", "A", 10 + k, 2, "calls") for k in range(45)] + [("X", "X", 90, 2, "calls"), ("X", "K7", 91, 2, "calls"), ("Y", "C", 92, 2, "tests")]
+    chain = [(f"L{k}", f"L{k + 1}", 100 + k, 2, "calls") for k in range(9)] + [("L9", "C", 110, 2, "calls")]
+    t, ids = seed(spark, CALLS + many + chain, no_evidence={("K3", "A")})
+    calls = [e for e in CALLS + many + chain if e[4] == "calls" and e[:2] != ("K3", "A")]
+    for goals in ({"C"}, {"C", "K7"}):
+        found = trace.paths_into(t, t.symbols.select("id"), at(spark, *[ids[g] for g in goals])).collect()
+        assert sorted(tuple(r.path_ids) for r in found) == sorted(tuple(ids[x] for x in p) for p in simple_paths(calls, goals, 8))
+        assert all(r.n_hops == len(r.kinds) == len(r.path_ids) - 1 and r.ends_at == r.path_ids[-1] for r in found)
+        weak = (ids["B"], ids["C"])
+        assert all(r.confidence == (1 if weak in zip(r.path_ids, r.path_ids[1:]) else 2) for r in found)
+    assert trace.paths_into(t, at(spark, ids["C"]), at(spark, ids["X"])).count() == 0
+
+
 def test_edges_without_evidence_leave_before_the_cap(spark):
     t, ids = seed(spark, [("S", "A", 1, 2, "calls"), ("S", "Z", 2, 2, "calls")], no_evidence={("S", "A")})
     assert [r.dst for r in traversal.adjacent(t, at(spark, ids["S"]), "calls", False, True, 1).collect()] == [ids["Z"]]
