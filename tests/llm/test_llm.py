@@ -117,6 +117,30 @@ def test_inherited_documentation(spark):
     assert docpairs.find_documented(symbols.limit(0), links).count() == 0 and docpairs.find_documented(symbols, links.limit(0)).count() == 2
 
 
+FUNCTION = "scope_id string, id long, canonical_key string, name string, fqn string, kind_name string, file_id long, signature string, container_id long, xml_summary string, added_at timestamp_ntz, deleted_at timestamp_ntz, state string, base string"
+
+
+def function(i, name, box, doc, fqn=None):
+    return ("s", i, f"csharp:M:T{box}.{name}", name, fqn or f"T{box}.{name}", "method", 1, "void f()", box, doc, None, None, "x", "y")
+
+
+def test_documentation_comes_from_any_documented_base(spark):
+    good, better, tag = "Waits until the lease expires.", "Blocks until the peer answers.", "<inheritdoc/>"
+    rows = [
+        function(11, "Run", 1, None), function(12, "Run", 2, good), function(13, "Run", 3, tag),  # the least base has no text, the second has
+        function(21, "Go", 1, ""), function(22, "Go", 1, good), function(23, "Go", 3, tag),  # the least overload has none
+        function(31, "Far", 5, good), function(33, "Far", 3, tag),  # two types up
+        function(41, "Near", 5, better), function(42, "Near", 1, good), function(43, "Near", 3, tag),  # the near one of two, though its id is greater
+        function(51, "Target", 9, None, "X.T"), function(52, "Target", 9, tag, "X.T"), function(50, "Target", 10, better), function(53, "Named", 8, '<inheritdoc cref="M:X.T(int)"/>'),  # a target that inherits itself
+        function(61, "One", 8, '<inheritdoc cref="M:T8.Two"/>'), function(62, "Two", 8, '<inheritdoc cref="M:T8.Three"/>'), function(63, "Three", 8, '<inheritdoc cref="M:T8.One"/>'), function(60, "Three", 7, good),  # a circle with a way out
+        function(71, "Into", 8, '<inheritdoc cref="M:T8.One"/>'), function(81, "Lost", 3, tag), function(82, "Lost", 1, tag),
+    ]
+    edges = [("s", a, b, "inherits", None) for a, b in ((3, 1), (3, 2), (1, 5), (5, 1), (9, 10), (8, 7))]
+    symbols, links = spark.createDataFrame(rows, FUNCTION), spark.createDataFrame(edges, "scope_id string, src long, dst long, kind_name string, payload string")
+    got = {r.id: (r.documented_by, r.documentation) for r in docpairs.pair_documentation(symbols, links).collect() if r.source == "inherited"}
+    assert got == {13: (12, good), 23: (22, good), 33: (31, good), 43: (42, good), 52: (50, better), 53: (50, better), 61: (60, good), 62: (60, good), 63: (60, good), 71: (60, good)}
+
+
 def brute_nearest(vectors, k):
     out = {}
     for a, v in vectors.items():
