@@ -141,6 +141,12 @@ def test_documentation_comes_from_any_documented_base(spark):
     assert got == {13: (12, good), 23: (22, good), 33: (31, good), 43: (42, good), 52: (50, better), 53: (50, better), 61: (60, good), 62: (60, good), 63: (60, good), 71: (60, good)}
 
 
+def test_documentation_from_far_above(spark):
+    rows = [function(1, "Run", 1, "Waits until the lease expires.")] + [function(k, "Run", k, f'<inheritdoc cref="M:T{k - 1}.Run"/>') for k in range(2, 29)]
+    links = spark.createDataFrame([], "scope_id string, src long, dst long, kind_name string, payload string")
+    assert {r.id: r.documented_by for r in docpairs.pair_documentation(spark.createDataFrame(rows, FUNCTION), links).collect()} == {k: 1 for k in range(1, 29)}
+
+
 def brute_nearest(vectors, k):
     out = {}
     for a, v in vectors.items():
