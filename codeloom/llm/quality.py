@@ -20,6 +20,8 @@ LABEL_CHARS = 100_000
 COMMON_WORDS = 50_000
 STATS = ("n_words", "mean_word_length", "symbol_share", "punctuated_share", "common_share", "sentence_share")
 CUTS = tuple(round(k / 100, 2) for k in (1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 85, 90, 95, 99))
+#: The cuts and both ends.
+POINTS = (0.0, *CUTS, 1.0)
 TAIL_Z = 3.5
 _SCHEMA = "doc_id long, language string, n_words long, mean_word_length double, symbol_share double, punctuated_share double, common_share double, sentence_share double"
 
@@ -73,28 +75,33 @@ def measure(documents: DataFrame, model: LineModel, words: dict[str, frozenset])
 def sketch(stats: DataFrame, accuracy: int = 2000) -> DataFrame:
     """Quantile sketches of every statistic per language: partial sketches are merged, so a language
     with most of the documents costs no more than another."""
-    points = F.array(*[F.lit(c) for c in CUTS])
+    points = F.array(*[F.lit(c) for c in POINTS])
     return stats.groupBy("language").agg(*[F.percentile_approx(F.col(s).cast("double"), points, accuracy).alias(f"q_{s}") for s in STATS])
 
 
 def rate(stats: DataFrame, sketches: DataFrame, languages: int) -> DataFrame:
-    """Percentile (share of cut points not above the value) and robust z-score (distance from the
-    median over the quartiles' spread) of each statistic, and the names of those in the tails.
-    There are at most ``languages`` sketches, so they are collected and broadcast."""
+    """Percentile (share of a language's values not above the value, interpolated between the cut
+    points) and robust z-score (distance from the median over the quartiles' spread) of each
+    statistic, and the names of those in the tails: |z| above TAIL_Z, or a value at or beyond the 1 %
+    or 99 % cut.  A cut that equals its neighbour is a value that many texts share, so only values
+    beyond it are a tail.  There are at most ``languages`` sketches, so they are collected and broadcast."""
     rows = collect_bounded(sketches, languages)
     schema = T.StructType([T.StructField("language", T.StringType())] + [T.StructField(f"q_{s}", T.ArrayType(T.DoubleType())) for s in STATS])
     table = stats.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
     joined = stats.join(F.broadcast(table), "language", "left")
-    low, mid, high = CUTS.index(0.25), CUTS.index(0.5), CUTS.index(0.75)
+    probabilities = F.array(*[F.lit(c) for c in POINTS])
     out, tails = [], []
     for s in STATS:
         value, q = F.col(s).cast("double"), F.col(f"q_{s}")
-        below = functools.reduce(lambda a, k: a + (F.get(q, F.lit(k)) <= value).cast("int"), range(len(CUTS)), F.lit(0))
-        spread = F.greatest((F.get(q, F.lit(high)) - F.get(q, F.lit(low))) / 1.349, F.lit(1e-9) + F.abs(F.get(q, F.lit(mid))) * 0.01)
-        z = (value - F.get(q, F.lit(mid))) / spread
-        out += [F.round(below / len(CUTS), 4).alias(f"pct_{s}"), F.round(z, 4).alias(f"z_{s}")]
-        outside = (value < F.get(q, F.lit(0))) | (value > F.get(q, F.lit(len(CUTS) - 1)))
-        tails.append(F.when(outside & (F.abs(z) > TAIL_Z), F.lit(s)))
+        at = {c: F.get(q, F.lit(k)) for k, c in enumerate(POINTS)}
+        k = functools.reduce(lambda a, c: a + (c <= value).cast("int"), at.values(), F.lit(0)) - 1
+        low, high, p = F.get(q, k), F.get(q, k + 1), F.get(probabilities, k)
+        percentile = F.when(k < 0, 0.0).when(k >= len(POINTS) - 1, 1.0).otherwise(p + (F.get(probabilities, k + 1) - p) * (value - low) / (high - low))
+        spread = F.greatest((at[0.75] - at[0.25]) / 1.349, F.lit(1e-9) + F.abs(at[0.5]) * 0.01)
+        z = (value - at[0.5]) / spread
+        out += [F.round(percentile, 4).alias(f"pct_{s}"), F.round(z, 4).alias(f"z_{s}")]
+        outside = (value < at[0.01]) | (value > at[0.99]) | ((value == at[0.01]) & (at[0.01] < at[0.05])) | ((value == at[0.99]) & (at[0.99] > at[0.95]))
+        tails.append(F.when(outside | (F.abs(z) > TAIL_Z), F.lit(s)))
     natural = (F.col("sentence_share") >= 0.5).alias("natural")
     return joined.select("doc_id", "language", *STATS, *out, F.array_compact(F.array(*tails)).alias("tails"), natural)
 

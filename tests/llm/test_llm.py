@@ -258,3 +258,15 @@ def test_quality_of_documents(spark):
     assert {903, 904} <= found and len(found & set(range(0, 120, 2))) >= 55 and len(found & set(range(1, 120, 2))) <= 4
     empty = [a.limit(0) for a in args]
     assert quality.text_quality(*empty).count() == 0 and quality.text_quality(args[0], empty[1], empty[2]).count() == 123
+
+
+def test_tails_and_percentiles(spark):
+    # a tenth of the texts is junk of one value; half of punctuated_share stands at each end; n_words is 1 to 1000
+    rows = [(k, "en", k, 4.0 + k % 7 / 10, 1.0 if k % 10 == 0 else 0.1 + k % 5 / 100, float(k % 2), 0.5, 0.5) for k in range(1, 1001)] + [(2000, "fr", 5, 4.0, 0.1, 0.5, 0.5, 0.5)]
+    stats = spark.createDataFrame(rows, quality._SCHEMA)
+    rated = {r.doc_id: r for r in quality.rate(stats, quality.sketch(stats), 2).collect()}
+    flagged = {s: {i for i, r in rated.items() if s in r.tails} for s in quality.STATS}
+    assert flagged["symbol_share"] == {k for k in range(1, 1001) if k % 10 == 0}
+    assert flagged["n_words"] == {*range(1, 11), *range(990, 1001)} and not flagged["punctuated_share"] and not rated[2000].tails
+    assert all(abs(rated[k].pct_n_words - k / 1000) <= 0.002 for k in range(1, 1001))
+    assert {(r.punctuated_share, r.pct_punctuated_share) for i, r in rated.items() if i < 2000} == {(0.0, 0.5), (1.0, 1.0)}
