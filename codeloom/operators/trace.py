@@ -112,8 +112,37 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
     for f in found[1:]:
         every = every.unionByName(f)
     rows = every.select("path_ids", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at"), "place")
-    rows = cut(rows.dropDuplicates(["path_ids", "kinds"]).orderBy("n_hops", "place").limit(max_paths).drop("place"))
-    return Trace(_with_confidence(t, rows), truncated)
+    rows = cut(rows.dropDuplicates(["path_ids", "kinds"]).orderBy("n_hops", "place").limit(max_paths + 1))
+    if rows.count() > max_paths:
+        truncated = True
+        rows = cut(rows.orderBy("n_hops", "place").limit(max_paths))
+    return Trace(_with_confidence(t, rows.drop("place")), truncated)
+
+
+def every_path(t: GraphTables, sources: DataFrame, automaton: Automaton, max_depth: int = 8) -> DataFrame:
+    """All simple paths of an automaton from the sources to where it ends (a node in the terminal
+    state without a further auditable edge of the automaton), without caps (columns as in
+    ``Trace.paths``).  Each level is a join of two distributed sides and is written."""
+    if max_depth < 1:
+        raise ValueError("max_depth must be 1 at least")
+    moves = F.broadcast(t.edges.sparkSession.createDataFrame(list(automaton.transitions), "state string, kind_name string, next_state string"))
+    hops = cut(auditable(t, sorted({k for _, k, _ in automaton.transitions})).select("src", "dst", "kind_name").distinct())
+    exits = cut(hops.join(moves.filter(F.col("state") == automaton.terminal).select("kind_name"), "kind_name", "left_semi").select(F.col("src").alias("at")).distinct())
+    frontier = sources.select(F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds")).distinct()
+    found = None
+    for _ in range(max_depth):
+        steps = hops.join(frontier.withColumnRenamed("at", "src"), "src").join(moves, ["state", "kind_name"]).filter(~F.array_contains("path_ids", F.col("dst")))
+        frontier = cut(steps.select(
+            F.col("dst").alias("at"), F.col("next_state").alias("state"), F.concat("path_ids", F.array("dst")).alias("path_ids"), F.concat("kinds", F.array("kind_name")).alias("kinds"),
+        ))
+        if frontier.isEmpty():
+            break
+        ended = frontier.filter(F.col("state") == automaton.terminal).join(exits, "at", "left_anti")
+        found = ended if found is None else found.unionByName(ended)
+    if found is None:
+        return t.edges.sparkSession.createDataFrame([], PATHS)
+    rows = found.select("path_ids", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at")).dropDuplicates(["path_ids", "kinds"])
+    return _with_confidence(t, cut(rows))
 
 
 def paths_into(t: GraphTables, sources: DataFrame, targets: DataFrame, kind: str = "calls", max_depth: int = 8) -> DataFrame:

@@ -408,4 +408,4 @@ UNION ALL SELECT h.dst, m.next_state, list_append(w.path_ids, h.dst), list_appen
 @query("trace_automaton", "SELECT list_aggregate(path_ids, 'string_agg', '>') AS path, list_aggregate(kinds, 'string_agg', '>') AS kinds, confidence, n AS n_hops, spot AS ends_at FROM walk WHERE state = 'typed'", _FLOW_SQL, recursive=True)
 def _(t):
     starts = traversal.auditable(t, ["binds-path"]).select(F.col("src").alias("id")).distinct()
-    return trace.trace_paths(t, starts, None, _FLOW, max_depth=4, max_paths=25_000, max_nodes=1_000_000).paths.select(*_shown())
+    return trace.every_path(t, starts, _FLOW, max_depth=4).select(*_shown())

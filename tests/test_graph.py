@@ -42,6 +42,16 @@ def test_trace_finds_simple_paths_in_a_circle(spark):
     assert cut.truncated and not cut.absence_authoritative
 
 
+def test_trace_reports_paths_that_a_cap_cuts(spark):
+    t, ids = seed(spark, CALLS)
+    ends = at(spark, ids["A"]), at(spark, ids["C"]), trace.relation("calls")
+    done = trace.trace_paths(t, *ends, max_paths=1)
+    assert done.paths.count() == 1 and done.truncated and not done.absence_authoritative
+    t, ids = seed(spark, CALLS + [("C", "T", 9, 2, "tests"), ("D", "T", 9, 2, "uses-type")])
+    whole = trace.every_path(t, at(spark, ids["A"]), trace.Automaton("p", "q", (("p", "calls", "p"), ("p", "tests", "q")))).collect()
+    assert {("".join(sorted(ids)[i - 1] for i in r.path_ids), r.confidence, r.n_hops, r.kinds[-1]) for r in whole} == {("ABCT", 1, 3, "tests"), ("ADCT", 2, 3, "tests")}
+
+
 def simple_paths(edges, goals, depth):
     """Simple paths of up to ``depth`` hops that meet a goal at their end and, but for the start, only there."""
     out, level = set(), [(a,) for a in {e[0] for e in edges}]
