@@ -33,52 +33,76 @@ def lines_of(text: str) -> list[str]:
     return [s for s in map(str.strip, text.splitlines()) if s]
 
 
-#: Counts of a token or line, packed into one integer: words, frequent words, symbols, numbers.
-WORD, FREQUENT, SYMBOL, NUMBER = 1, 1 << 30, 1 << 60, 1 << 90
-_PART = (1 << 30) - 1
+#: Counts of tokens, packed into one integer that still fits a machine word for PACKED tokens.
+WORD, FREQUENT, SYMBOL, NUMBER = 1, 1 << 15, 1 << 30, 1 << 45
+PACKED = (1 << 15) - 1
 
 
-class TokenTable(dict):
-    """What a raw token counts for: (weight, packed counts, name), worked out at its first sight;
-    ``bound`` keeps a worker's table from growing with the corpus."""
+class _Lazy(dict):
+    """Values worked out at a key's first sight; ``bound`` keeps a worker's table from growing with
+    the corpus."""
 
     bound = 200_000
 
-    def __init__(self, common, weights=None):
+    def __init__(self, make):
         super().__init__()
-        self.common, self.weights = common, weights or {}
+        self.make = make
 
     def __missing__(self, token):
         if len(self) > self.bound:
             self.clear()
-        low = token.lower()
+        self[token] = value = self.make(token)
+        return value
+
+
+class TokenTable:
+    """What a raw token counts for: its packed counts, its weight and its name."""
+
+    def __init__(self, common, weights=None):
+        self.common, weights = common, weights or {}
+        self.counts = _Lazy(self._count)
+        self.weights = _Lazy(lambda token: weights.get("w:" + token_name(token), 0.0))
+        self.names = _Lazy(token_name)
+
+    def _count(self, token: str) -> int:
         if token[0].isalpha():
-            name = "§id" if _INNER_CASE.search(token) else low
-            counts = WORD + FREQUENT * (low in self.common)
-        elif token[0].isdigit():
-            name, counts = "§9", NUMBER
-        else:
-            name, counts = token, SYMBOL * (token not in ",.'’\"-")
-        self[token] = row = (self.weights.get("w:" + name, 0.0), counts, name)
-        return row
-
-
-def read_line(line: str, table: TokenTable):
-    """(token weights, packed counts of the line, token names) and the body they were read from."""
+            return WORD + FREQUENT * (token.lower() in self.common)
+        return NUMBER if token[0].isdigit() else SYMBOL * (token not in ",.'’\"-")
+
+    def count(self, tokens: list[str]) -> tuple[int, int, int, int]:
+        """(words, frequent words, symbols, numbers)."""
+        if len(tokens) <= PACKED:
+            c = sum(map(self.counts.__getitem__, tokens))
+            return c & PACKED, c >> 15 & PACKED, c >> 30 & PACKED, c >> 45
+        total = [0, 0, 0, 0]
+        for k in range(0, len(tokens), PACKED):
+            c = sum(map(self.counts.__getitem__, tokens[k : k + PACKED]))
+            total[0] += c & PACKED
+            total[1] += c >> 15 & PACKED
+            total[2] += c >> 30 & PACKED
+            total[3] += c >> 45
+        return tuple(total)
+
+
+def token_name(token: str) -> str:
+    """The token as the model knows it: words in lower case, identifiers and numbers each as one."""
+    if token[0].isalpha():
+        return "§id" if _INNER_CASE.search(token) else token.lower()
+    return "§9" if token[0].isdigit() else token
+
+
+def read_line(line: str) -> tuple[list[str], str]:
+    """Tokens of a line without quotation marks, and the body they were read from."""
     quoted = _QUOTE.match(line)
     body = line[quoted.end() :] if quoted else line
-    tokens = TOKEN.findall(body)
-    if not tokens:
-        return ((), 0, ()), body
-    weights, counts, names = zip(*map(table.__getitem__, tokens))
-    return (weights, sum(counts), names), body
+    return TOKEN.findall(body), body
 
 
-def shape_features(columns, body: str) -> list[str]:
+def shape_features(tokens: list[str], counts, body: str, table: TokenTable) -> list[str]:
     """Names of the features of a line's shape."""
-    _, counts, names = columns
-    words, n = counts & _PART, max(1, len(names))
-    share, marks = (counts >> 30 & _PART) / max(1, words), (counts >> 60 & _PART) / n
+    words, frequent, symbols, numbers = counts
+    n = max(1, len(tokens))
+    share, marks = frequent / max(1, words), symbols / n
     out = [
         "bias",
         "words:3" if words < 5 else "words:5" if words < 9 else "words:9" if words < 16 else "words:16",
@@ -87,20 +111,20 @@ def shape_features(columns, body: str) -> list[str]:
     ]
     if _END.search(body[-8:]):
         out.append("ends")
-    if counts >> 90 > 0.3 * n:
+    if numbers > 0.3 * n:
         out.append("digits")
     if len(body) > 12 * n:
         out.append("wide")
     if body.count(",") > 0.3 * max(1, words):
         out.append("comma list")
-    if n >= 12 and len(set(names)) < 0.25 * n:
+    if n >= 12 and len(set(map(table.names.__getitem__, set(tokens)))) < 0.25 * n:
         out.append("repeats")
     return out
 
 
-def is_no_sentence(columns, body: str) -> bool:
+def is_no_sentence(counts, body: str) -> bool:
     """Lines that are none whatever they say: list items, headings, fragments of one or two words."""
-    return columns[1] & _PART < 3 or _BULLET.match(body) is not None or _HEADING.match(body) is not None
+    return counts[0] < 3 or _BULLET.match(body) is not None or _HEADING.match(body) is not None
 
 
 class LineModel:
@@ -113,16 +137,16 @@ class LineModel:
     def table(self, common) -> TokenTable:
         return TokenTable(common, self.weights)
 
-    def is_sentence(self, columns, body: str) -> bool:
-        if is_no_sentence(columns, body):
+    def is_sentence(self, tokens: list[str], counts, body: str, table: TokenTable) -> bool:
+        if is_no_sentence(counts, body):
             return False
-        shape = sum(self.weights.get(f, 0.0) for f in shape_features(columns, body))
-        return shape + sum(columns[0]) / len(columns[0]) ** 0.5 > 0
+        shape = sum(self.weights.get(f, 0.0) for f in shape_features(tokens, counts, body, table))
+        return shape + sum(map(table.weights.__getitem__, tokens)) / len(tokens) ** 0.5 > 0
 
 
 def text_statistics(text: str, model: LineModel, table: TokenTable) -> tuple:
     """(words, mean word length, symbol share, punctuated lines' share, frequent words' share,
-    sentence share, lower-case words) of a text that isn't blank.  Words are runs without white space; symbols are
+    sentence share, raw tokens) of a text that isn't blank.  Words are runs without white space; symbols are
     characters that are no letter, digit or white space, as a share of those other than white
     space; the last two are shares of the letters' words and of characters other than white space."""
     pieces = text.split()
@@ -131,16 +155,15 @@ def text_statistics(text: str, model: LineModel, table: TokenTable) -> tuple:
     ends = good = letters = frequent = symbols = 0
     seen: set[str] = set()
     for line in lines:
-        columns, body = read_line(line, table)
-        _, counts, names = columns
-        seen.update(names)
-        words = counts & _PART
-        letters += words
-        frequent += counts >> 30 & _PART
-        symbols += len(names) - words - (counts >> 90)
+        tokens, body = read_line(line)
+        counts = table.count(tokens)
+        seen.update(tokens)
+        letters += counts[0]
+        frequent += counts[1]
+        symbols += len(tokens) - counts[0] - counts[3]
         if line[-1] in ".!?:;…":
             ends += 1
-        if model.is_sentence(columns, body):
+        if model.is_sentence(tokens, counts, body, table):
             good += sum(map(len, line.split()))
     symbols += sum(len(x) - len(y) for x, y in ((line, _QUOTE.sub("", line, count=1)) for line in lines if line[0] == ">"))
     return len(pieces), solid / len(pieces), symbols / solid, ends / len(lines), frequent / max(1, letters), min(1.0, good / solid), seen
@@ -155,11 +178,12 @@ def fit_lines(labelled: list[tuple[str, str]], common, rounds: int = 2, steps: i
     for text, label in labelled:
         lines = list(dict.fromkeys(lines_of(text or "")))
         for line in lines:
-            columns, body = read_line(line, table)
-            if is_no_sentence(columns, body):
+            read, body = read_line(line)
+            line_counts = table.count(read)
+            if is_no_sentence(line_counts, body):
                 continue
-            rows.append(shape_features(columns, body))
-            tokens.append(["w:" + name for name in columns[2]])
+            rows.append(shape_features(read, line_counts, body, table))
+            tokens.append(["w:" + token_name(token) for token in read])
             labels.append(label == "prose")
             weights.append(1 / len(lines))
     if len({*labels}) < 2:

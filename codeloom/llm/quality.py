@@ -1,4 +1,11 @@
-"""Per-document text statistics, their sketches per language, percentiles, and natural prose."""
+"""Per-document text statistics, their quantile sketches per language, percentiles, robust z-scores,
+distribution tails, and the texts that aren't natural prose.
+
+Each statistic has a KLL sketch per language.  Sketches are values that merge: partial ones of the
+tasks to one per language, those of all languages to a pooled one.  A text is suspected where one of
+its statistics lies in a tail of its language; only suspected texts can be called unnatural, which an
+exact check of their share of running sentences then confirms.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +30,10 @@ CUTS = tuple(round(k / 100, 2) for k in (1, 5, 10, 15, 20, 25, 30, 35, 40, 45, 5
 #: The cuts and both ends.
 POINTS = (0.0, *CUTS, 1.0)
 TAIL_Z = 3.5
+#: Size of a sketch: ranks are exact up to so many values and within about 0.2 % beyond.
+SKETCH_K = 2048
+#: A text is natural prose from this share of running sentences on (as the problem states it).
+NATURAL = 0.5
 _SCHEMA = "doc_id long, language string, n_words long, mean_word_length double, symbol_share double, punctuated_share double, common_share double, sentence_share double"
 
 
@@ -62,7 +73,8 @@ def measure(documents: DataFrame, model: LineModel, words: dict[str, frozenset])
                 if text is None or not text.strip():
                     continue
                 *stats, seen = text_statistics(text, line_model, table)
-                best = max(((len(seen & w), k) for k, w in words.items()), default=(0, ""))
+                frequent = {low for token in seen if (low := token.lower()) in common}
+                best = max(((len(frequent & w), k) for k, w in words.items()), default=(0, ""))
                 declared = (lang or "").strip().lower()
                 rows.append((doc_id, best[1] if best[0] >= 2 else declared if declared in words else "und", *stats))
             columns = list(zip(*rows)) if rows else [()] * 8
@@ -72,11 +84,36 @@ def measure(documents: DataFrame, model: LineModel, words: dict[str, frozenset])
     return documents.select("doc_id", "text", "lang").mapInArrow(run, _SCHEMA)
 
 
-def sketch(stats: DataFrame, accuracy: int = 2000) -> DataFrame:
-    """Quantile sketches of every statistic per language: partial sketches are merged, so a language
-    with most of the documents costs no more than another."""
+def sketch(stats: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """(language, k_<statistic>, ...): a mergeable quantile sketch of every statistic per language.
+    Partial sketches are merged, so a language with most of the documents costs no more than another."""
+    return stats.groupBy("language").agg(*[F.kll_sketch_agg_double(F.col(s).cast("double"), k).alias(f"k_{s}") for s in STATS])
+
+
+def pooled(sketches: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """A row like those of ``sketch`` for all languages together, merged from their sketches alone; no
+    row if there is none."""
+    merged = sketches.agg(F.count("*").alias("n"), *[F.kll_merge_agg_double(f"k_{s}", k).alias(f"k_{s}") for s in STATS])
+    return merged.filter("n > 0").select(F.lit(None).cast("string").alias("language"), *[f"k_{s}" for s in STATS])
+
+
+def _quantiles(sketches: DataFrame, most: int) -> dict:
+    """Quantiles at POINTS of each statistic by language; the pooled ones under None."""
     points = F.array(*[F.lit(c) for c in POINTS])
-    return stats.groupBy("language").agg(*[F.percentile_approx(F.col(s).cast("double"), points, accuracy).alias(f"q_{s}") for s in STATS])
+    every = sketches.unionByName(pooled(sketches))
+    rows = collect_bounded(every.select("language", *[F.kll_sketch_get_quantile_double(f"k_{s}", points).alias(s) for s in STATS]), most + 1)
+    return {r["language"]: {s: list(r[s]) for s in STATS} for r in rows}
+
+
+def _reference(own: list[float], pool: list[float]) -> tuple[float | None, float | None]:
+    """Median and spread of the share of running sentences among natural texts.  Junk pulls only
+    downwards, so the spread is that of the upper half.  A language that is mostly junk takes the
+    pooled sketch; if that is mostly junk too, there is no reference."""
+    for q in (own, pool):
+        middle, upper = q[POINTS.index(0.5)], q[POINTS.index(0.75)]
+        if middle >= NATURAL:
+            return middle, max((upper - middle) / 0.6745, 0.01 * middle)
+    return None, None
 
 
 def rate(stats: DataFrame, sketches: DataFrame, languages: int) -> DataFrame:
@@ -84,12 +121,17 @@ def rate(stats: DataFrame, sketches: DataFrame, languages: int) -> DataFrame:
     points) and robust z-score (distance from the median over the quartiles' spread) of each
     statistic, and the names of those in the tails: |z| above TAIL_Z, or a value at or beyond the 1 %
     or 99 % cut.  A cut that equals its neighbour is a value that many texts share, so only values
-    beyond it are a tail.  There are at most ``languages`` sketches, so they are collected and broadcast."""
-    rows = collect_bounded(sketches, languages)
-    schema = T.StructType([T.StructField("language", T.StringType())] + [T.StructField(f"q_{s}", T.ArrayType(T.DoubleType())) for s in STATS])
-    table = stats.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
-    joined = stats.join(F.broadcast(table), "language", "left")
+    beyond it are a tail.  sentence_share is in a tail as well where it is more than TAIL_Z spreads
+    below the natural texts' median (see ``_reference``); without such a reference every text of the
+    language is suspected.  ``natural`` is false for suspected texts whose sentence_share is below
+    NATURAL.  There are at most ``languages`` sketches, so their quantiles are collected and broadcast."""
+    found = _quantiles(sketches, languages)
+    pool = found.pop(None, None)
+    schema = T.StructType([T.StructField("language", T.StringType())] + [T.StructField(f"q_{s}", T.ArrayType(T.DoubleType())) for s in STATS] + [T.StructField(c, T.DoubleType()) for c in ("natural_median", "natural_spread")])
+    rows = [(k, *[q[s] for s in STATS], *_reference(q["sentence_share"], pool["sentence_share"])) for k, q in sorted(found.items())]
+    joined = stats.join(F.broadcast(stats.sparkSession.createDataFrame(rows, schema)), "language", "left")
     probabilities = F.array(*[F.lit(c) for c in POINTS])
+    low_share = (F.col("sentence_share") - F.col("natural_median")) / F.col("natural_spread") < -TAIL_Z
     out, tails = [], []
     for s in STATS:
         value, q = F.col(s).cast("double"), F.col(f"q_{s}")
@@ -101,15 +143,18 @@ def rate(stats: DataFrame, sketches: DataFrame, languages: int) -> DataFrame:
         z = (value - at[0.5]) / spread
         out += [F.round(percentile, 4).alias(f"pct_{s}"), F.round(z, 4).alias(f"z_{s}")]
         outside = (value < at[0.01]) | (value > at[0.99]) | ((value == at[0.01]) & (at[0.01] < at[0.05])) | ((value == at[0.99]) & (at[0.99] > at[0.95]))
-        tails.append(F.when(outside | (F.abs(z) > TAIL_Z), F.lit(s)))
-    natural = (F.col("sentence_share") >= 0.5).alias("natural")
-    return joined.select("doc_id", "language", *STATS, *out, F.array_compact(F.array(*tails)).alias("tails"), natural)
+        tail = outside | (F.abs(z) > TAIL_Z)
+        tails.append(F.when(tail | F.coalesce(low_share, F.lit(False)) if s == "sentence_share" else tail, F.lit(s)))
+    named = F.array_compact(F.array(*tails))
+    suspected = F.col("natural_median").isNull() | (F.size("tails") > 0)
+    rated = joined.select("doc_id", "language", *STATS, *out, named.alias("tails"), "natural_median")
+    return rated.withColumn("natural", ~(suspected & (F.col("sentence_share") < NATURAL))).drop("natural_median")
 
 
 def text_quality(documents: DataFrame, labels: DataFrame, words: DataFrame, most: int = LABELLED) -> DataFrame:
     """Statistics, percentiles, z-scores, tails and ``natural`` of every document that is neither
-    null nor blank (those have no statistics and no row).  A text is natural prose if half of its
-    characters other than white space stand in running sentences.  Repeated rows stay, null doc_ids
+    null nor blank (those have no statistics and no row).  A text is unnatural if it lies in a tail
+    and less than half of its characters other than white space stand in running sentences.  Repeated rows stay, null doc_ids
     too; without labels the line model's prior decides."""
     by_language = common_words(words)
     common = frozenset().union(*by_language.values()) if by_language else frozenset()
