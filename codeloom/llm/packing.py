@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.tokens import TOKENIZER, slices, worker_encoder
+from codeloom.llm.tokens import TOKENIZER, ChunkEncoder, slices
 from codeloom.session import cut
 
 CAPACITY = 2048
@@ -78,11 +78,10 @@ def _packing(column: str, sizes: Callable, capacity: int, windows: int):
 
 def _token_sizes(path: str):
     def sizes(batches, column):
-        encoder = worker_encoder(path)
+        encoder = ChunkEncoder(path)
         for whole in batches:
             for batch in slices(whole, column):
-                _, ends = encoder.encode(batch[column])
-                yield batch["item"].to_pylist(), (ends[1:] - ends[:-1]).tolist()
+                yield batch["item"].to_pylist(), encoder.lengths(batch[column])
 
     return sizes
 
