@@ -7,37 +7,68 @@ import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codeloom.llm import docpairs, doctext, neighbours, packing, prose, quality, tokens
 
 DOC = "doc_id long, text string, lang string, source string, ids string"
 
 
-@pytest.fixture(scope="module")
-def encoder():
-    return tokens.ChunkEncoder(tokens.TOKENIZER, 8, 50)
-
-
-PIECES = st.sampled_from(["the ", "Lock", " ", "  ", "\n", "\r\n", "\t", "it's", "'ll", "é", "ß ", "Дом ", "字", " ", "　", "  ", "12", "...", "<|endoftext|>", "🙂", "a" * 70, "x_y", "\x1f", "\x85"])
+PIECES = st.sampled_from(["the ", "Lock", " ", "  ", "\n", "\r\n", "\t", "it's", "'ll", "'", "é", "ß ", "Дом ", "字", "\u00a0", "\u3000", "\u2003 ", "12", "...", "<|endoftext|>", "🙂", "a" * 70, "x_y", "\x1f", "\x85", " (", " \x7f"])
+TEXTS = st.lists(PIECES, max_size=40).map("".join)
 
 
 @settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(texts=st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=40).map("".join), st.text(max_size=60).filter(lambda t: t.isprintable())), max_size=6))
-def test_chunks_encode_as_whole_texts(encoder, texts):
-    ids, ends = encoder.encode(pa.array(texts, pa.string()))
+@given(texts=st.lists(st.one_of(st.none(), TEXTS, st.text(max_size=60).filter(lambda t: t.isprintable())), max_size=6), keep=st.integers(0, 3))
+def test_chunks_encode_as_whole_texts(texts, keep):
+    plain = tokens.load_encoding(tokens.TOKENIZER).encode_ordinary
+    whole, offsets = tokens.text_bytes(pa.array(texts, pa.string()))
+    starts = [*tokens.chunk_starts(whole, offsets, 8, 4), len(whole)]
+    chunks = [whole[a:z] for a, z in zip(starts, starts[1:])]
+    assert b"".join(chunks) == whole and all(c.decode() for c in chunks)
+    shared = {c: plain(c.decode()) for k, c in enumerate(chunks) if k % 4 <= keep}  # a quarter of the chunks up to all
+    ids, ends = tokens.ChunkEncoder(tokens.TOKENIZER, shared, 8, 4).encode(pa.array(texts, pa.string()))
     for k, text in enumerate(texts):
-        assert ids[ends[k] : ends[k + 1]].tolist() == encoder.encoding.encode_ordinary(text or "")
+        assert ids[ends[k] : ends[k + 1]].tolist() == plain(text or "")
 
 
-def test_every_safe_cut_agrees(encoder):
-    text = "It's late.\n\nДом стоит  там;  12 locks\tand é 　x — y's  \r\n  end "
-    data = np.frombuffer(text.encode(), np.uint8)
-    whole = encoder.encoding.encode_ordinary(text)
-    cuts = tokens.safe_cuts(data)
-    assert len(cuts) > 8
-    for c in cuts:
-        left, right = text.encode()[:c].decode(), text.encode()[c:].decode()
-        assert encoder.encoding.encode_ordinary(left) + encoder.encoding.encode_ordinary(right) == whole
+@settings(max_examples=150, deadline=None)
+@given(text=TEXTS, cuts=st.lists(st.integers(0, 200), max_size=8))
+def test_joins_are_repaired_wherever_a_text_is_cut(text, cuts):
+    plain = tokens.load_encoding(tokens.TOKENIZER).encode_ordinary
+    places = sorted({0, len(text), *(c for c in cuts if c < len(text))})
+    joiner = tokens.Joiner(tokens.TOKENIZER)
+    for a, z in zip(places, places[1:]):
+        joiner.add(text[a:z].encode(), plain(text[a:z]))
+    assert joiner.finish() == plain(text)
+
+
+def test_chunks_meet_again_after_other_text():
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice(["lease ", "cache ", "of ", "the ", "reader ", "keeps ", "older "]) + str(rng.randrange(999)) for _ in range(n))
+    passage = words(900)
+    chunks = []
+    for text in (words(50) + passage, words(73) + passage + words(20)):
+        whole, offsets = tokens.text_bytes(pa.array([text]))
+        starts = [*tokens.chunk_starts(whole, offsets), len(whole)]
+        chunks.append({whole[a:z] for a, z in zip(starts, starts[1:])})
+        assert min(z - a for a, z in zip(starts, starts[1:-1])) >= tokens.LEAST_BYTES
+    assert sum(map(len, chunks[0] & chunks[1])) > 0.8 * len(passage)
+
+
+def test_shared_chunks_are_encoded_once(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice("lease cache reader keeps older copy it's DON'T 12 (x) Дом\n".split(" ")) + str(rng.randrange(999)) for _ in range(n))
+    passages = [words(400) for _ in range(3)]
+    texts = [words(rng.randrange(60)) + rng.choice(passages) + words(rng.randrange(60)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, None, None, "") for k, t in enumerate(texts)], DOC).repartition(5)
+    plain = tokens.load_encoding(tokens.TOKENIZER).encode_ordinary
+    for most in (tokens.DICTIONARY_BYTES, 2_000, 0):  # the dictionary's bound changes no id
+        assert {r.doc_id: r.ids for r in tokens.encode_documents(docs, most_bytes=most).collect()} == {k: plain(t) for k, t in enumerate(texts)}
+        assert sum(map(len, tokens.build_dictionary(docs, most_bytes=most))) <= most
+    report = tokens.reuse_report(docs).first()
+    assert report.corpus_bytes == sum(len(t.encode()) for t in texts) and report.encoded_bytes + report.dictionary_bytes < 0.6 * report.corpus_bytes and report.joins > 60
+    assert tokens.reuse_report(docs.limit(0)).first().corpus_bytes == 0
 
 
 def test_documents_encode(spark):
@@ -142,9 +173,17 @@ def test_documentation_comes_from_any_documented_base(spark):
 
 
 def test_documentation_from_far_above(spark):
-    rows = [function(1, "Run", 1, "Waits until the lease expires.")] + [function(k, "Run", k, f'<inheritdoc cref="M:T{k - 1}.Run"/>') for k in range(2, 29)]
+    rows = [function(1, "Run", 1, "Waits until the lease expires.")] + [function(k, "Run", k, f'<inheritdoc cref="M:T{k - 1}.Run"/>') for k in range(2, 302)]
+    rows += [function(k, "Run", k, f'<inheritdoc cref="M:T{k + 1 if k < 405 else 401}.Run"/>') for k in range(401, 406)]  # a circle without text
     links = spark.createDataFrame([], "scope_id string, src long, dst long, kind_name string, payload string")
-    assert {r.id: r.documented_by for r in docpairs.pair_documentation(spark.createDataFrame(rows, FUNCTION), links).collect()} == {k: 1 for k in range(1, 29)}
+    assert {r.id: r.documented_by for r in docpairs.pair_documentation(spark.createDataFrame(rows, FUNCTION), links).collect()} == {k: 1 for k in range(1, 302)}
+
+
+def test_documentation_is_found_by_rounds_alone(spark, monkeypatch):
+    monkeypatch.setattr(docpairs, "OPEN_ROWS", -1)
+    rows = [function(1, "Run", 1, "Waits until the lease expires.")] + [function(k, "Run", k, f'<inheritdoc cref="M:T{k - 1}.Run"/>') for k in range(2, 8)]
+    links = spark.createDataFrame([], "scope_id string, src long, dst long, kind_name string, payload string")
+    assert {r.id: r.documented_by for r in docpairs.pair_documentation(spark.createDataFrame(rows, FUNCTION), links).collect()} == {k: 1 for k in range(1, 8)}
 
 
 def brute_nearest(vectors, k):
@@ -269,4 +308,23 @@ def test_tails_and_percentiles(spark):
     assert flagged["symbol_share"] == {k for k in range(1, 1001) if k % 10 == 0}
     assert flagged["n_words"] == {*range(1, 11), *range(990, 1001)} and not flagged["punctuated_share"] and not rated[2000].tails
     assert all(abs(rated[k].pct_n_words - k / 1000) <= 0.002 for k in range(1, 1001))
+    parts = [quality.sketch(stats.filter(f"doc_id % 2 = {k}")) for k in (0, 1)]
+    names = [f"k_{x}" for x in quality.STATS]
+    merged = parts[0].unionByName(parts[1]).groupBy("language").agg(*[F.kll_merge_agg_double(c).alias(c) for c in names])
+    both = {r.doc_id: (r.tails, r.pct_n_words) for r in quality.rate(stats, merged, 2).collect()}
+    assert both == {i: (r.tails, r.pct_n_words) for i, r in rated.items()}  # sketches of parts merge to that of the whole
     assert {(r.punctuated_share, r.pct_punctuated_share) for i, r in rated.items() if i < 2000} == {(0.0, 0.5), (1.0, 1.0)}
+
+
+def test_unnatural_texts_come_from_tails(spark):
+    # English is mostly prose; Spanish mostly junk, so the pooled sketch stands in; alone it has no reference
+    english = [(k, "en", 100, 5.0, 0.05, 0.9, 0.4, 0.9 + k % 10 / 100 if k % 3 else 0.1) for k in range(300)]
+    spanish = [(1000 + k, "es", 100, 5.0, 0.05, 0.9, 0.4, 0.95 if k % 3 == 0 else 0.2) for k in range(60)]
+    want = lambda rows: {r[0] for r in rows if r[7] < 0.5}
+    for rows in (english, english + spanish, spanish):
+        stats = spark.createDataFrame(rows, quality._SCHEMA)
+        rated = quality.rate(stats, quality.sketch(stats), 2)
+        assert {r.doc_id for r in quality.find_unnatural(rated).collect()} == want(rows)
+    stats = spark.createDataFrame(english, quality._SCHEMA)
+    tails = {r.doc_id: r.tails for r in quality.rate(stats, quality.sketch(stats), 2).collect()}
+    assert all(("sentence_share" in tails[r[0]]) >= (r[7] < 0.5) for r in english) and not tails[5]
