@@ -175,9 +175,9 @@ class Joiner:
 
 
 class ChunkEncoder:
-    """Encodes batches of texts with a dictionary of chunks (bytes to ids)."""
+    """Encodes batches of texts with a dictionary of chunks (their bytes to the bytes of their ids)."""
 
-    def __init__(self, path: str, shared: dict[bytes, list[int]] | None = None, chunk_bytes: int = CHUNK_BYTES, least: int = LEAST_BYTES):
+    def __init__(self, path: str, shared: dict[bytes, bytes] | None = None, chunk_bytes: int = CHUNK_BYTES, least: int = LEAST_BYTES):
         self.path, self.shared, self.chunk_bytes, self.least = path, shared or {}, chunk_bytes, least
         self.plain = load_encoding(path).encode_ordinary
         self.encoded = self.joins = 0
@@ -200,7 +200,7 @@ class ChunkEncoder:
             if start is not None:
                 joiner.add(whole[start : cuts[k]], self._run(whole[start : cuts[k]]))
                 start = None
-            joiner.add(whole[cuts[k] : cuts[k + 1]], ids)
+            joiner.add(whole[cuts[k] : cuts[k + 1]], np.frombuffer(ids, np.int32).tolist())
         if start is not None:
             joiner.add(whole[start : cuts[-1]], self._run(whole[start : cuts[-1]]))
         done = joiner.finish()
@@ -267,7 +267,7 @@ def count_chunks(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     return rows.groupBy("hash").agg(F.max("size").alias("size"), F.sum("n").alias("n")).filter("n > 1")
 
 
-def build_dictionary(documents: DataFrame, path: str = TOKENIZER, chunk_bytes: int = CHUNK_BYTES, most_bytes: int = DICTIONARY_BYTES) -> dict[bytes, list[int]]:
+def build_dictionary(documents: DataFrame, path: str = TOKENIZER, chunk_bytes: int = CHUNK_BYTES, most_bytes: int = DICTIONARY_BYTES) -> dict[bytes, bytes]:
     """Ids of the corpus's shared chunks, each encoded once.  The dictionary holds ``most_bytes`` of
     text at most: where there are more, chunks that occur more often come first (of a last number of
     occurrences that doesn't fit as a whole, none).  It is collected, which that bound allows."""
@@ -299,11 +299,11 @@ def build_dictionary(documents: DataFrame, path: str = TOKENIZER, chunk_bytes: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = load_encoding(path).encode_ordinary
         for batch in batches:
-            ids = [plain(c.decode()) for c in batch["chunk"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"chunk": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32()))})
+            ids = [np.array(plain(c.decode()), np.int32).tobytes() for c in batch["chunk"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"chunk": batch["chunk"], "ids": pa.array(ids, pa.binary())})
 
     chunks = documents.select("text").mapInArrow(pick, "hash long, chunk binary").groupBy("hash").agg(F.min("chunk").alias("chunk"))
-    table = chunks.select("chunk").mapInArrow(encode, "chunk binary, ids array<int>").toArrow()
+    table = chunks.select("chunk").mapInArrow(encode, "chunk binary, ids binary").toArrow()
     return dict(zip(table["chunk"].to_pylist(), table["ids"].to_pylist()))
 
 

@@ -26,7 +26,7 @@ def test_chunks_encode_as_whole_texts(texts, keep):
     starts = [*tokens.chunk_starts(whole, offsets, 8, 4), len(whole)]
     chunks = [whole[a:z] for a, z in zip(starts, starts[1:])]
     assert b"".join(chunks) == whole and all(c.decode() for c in chunks)
-    shared = {c: plain(c.decode()) for k, c in enumerate(chunks) if k % 4 <= keep}  # a quarter of the chunks up to all
+    shared = {c: np.array(plain(c.decode()), np.int32).tobytes() for k, c in enumerate(chunks) if k % 4 <= keep}  # a quarter of the chunks up to all
     ids, ends = tokens.ChunkEncoder(tokens.TOKENIZER, shared, 8, 4).encode(pa.array(texts, pa.string()))
     for k, text in enumerate(texts):
         assert ids[ends[k] : ends[k + 1]].tolist() == plain(text or "")
