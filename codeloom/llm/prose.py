@@ -60,13 +60,17 @@ class TokenTable:
 
     def __init__(self, common, weights=None):
         self.common, weights = common, weights or {}
+        self.frequent: set[str] = set()  # the spellings of frequent words seen so far
         self.counts = _Lazy(self._count)
         self.weights = _Lazy(lambda token: weights.get("w:" + token_name(token), 0.0))
         self.names = _Lazy(token_name)
 
     def _count(self, token: str) -> int:
         if token[0].isalpha():
-            return WORD + FREQUENT * (token.lower() in self.common)
+            if token.lower() not in self.common:
+                return WORD
+            self.frequent.add(token)
+            return WORD + FREQUENT
         return NUMBER if token[0].isdigit() else SYMBOL * (token not in ",.'’\"-")
 
     def count(self, tokens: list[str]) -> tuple[int, int, int, int]:
@@ -146,7 +150,7 @@ class LineModel:
 
 def text_statistics(text: str, model: LineModel, table: TokenTable) -> tuple:
     """(words, mean word length, symbol share, punctuated lines' share, frequent words' share,
-    sentence share, raw tokens) of a text that isn't blank.  Words are runs without white space; symbols are
+    sentence share, frequent words) of a text that isn't blank.  Words are runs without white space; symbols are
     characters that are no letter, digit or white space, as a share of those other than white
     space; the last two are shares of the letters' words and of characters other than white space."""
     pieces = text.split()
@@ -166,7 +170,7 @@ def text_statistics(text: str, model: LineModel, table: TokenTable) -> tuple:
         if model.is_sentence(tokens, counts, body, table):
             good += sum(map(len, line.split()))
     symbols += sum(len(x) - len(y) for x, y in ((line, _QUOTE.sub("", line, count=1)) for line in lines if line[0] == ">"))
-    return len(pieces), solid / len(pieces), symbols / solid, ends / len(lines), frequent / max(1, letters), min(1.0, good / solid), seen
+    return len(pieces), solid / len(pieces), symbols / solid, ends / len(lines), frequent / max(1, letters), min(1.0, good / solid), {token.lower() for token in seen & table.frequent}
 
 
 def fit_lines(labelled: list[tuple[str, str]], common, rounds: int = 2, steps: int = 80, decay: float = 0.1) -> LineModel:

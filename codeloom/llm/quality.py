@@ -72,8 +72,7 @@ def measure(documents: DataFrame, model: LineModel, words: dict[str, frozenset])
             for doc_id, text, lang in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["lang"].to_pylist()):
                 if text is None or not text.strip():
                     continue
-                *stats, seen = text_statistics(text, line_model, table)
-                frequent = {low for token in seen if (low := token.lower()) in common}
+                *stats, frequent = text_statistics(text, line_model, table)
                 best = max(((len(frequent & w), k) for k, w in words.items()), default=(0, ""))
                 declared = (lang or "").strip().lower()
                 rows.append((doc_id, best[1] if best[0] >= 2 else declared if declared in words else "und", *stats))
