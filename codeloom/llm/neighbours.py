@@ -171,24 +171,27 @@ class Cells:
 
 def fit_cells(rows: DataFrame) -> dict[str, Cells]:
     """Centroids of every model.  The first level has the square root of the wished number of cells
-    and is fitted on SAMPLE vectors; for the second, CHILD_VECTORS vectors per cell are placed on the
+    and is fitted on SAMPLE vectors (fewer where there are many models); for the second, CHILD_VECTORS vectors per cell are placed on the
     first and each first-level centroid's own are clustered in a task, into as many children as they
     are times CHILD_VECTORS (of more than CHILD_SAMPLE only so many are looked at)."""
     spark = rows.sparkSession
     counts = {r["model_version"]: (r["n"], r["d"]) for r in collect_bounded(rows.groupBy("model_version").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")), MODELS)}
-    first, shares = {}, []
-    for model, (n, dimension) in sorted(counts.items()):
-        wished = max(1, min(-(-n // CELL), CENTROID_BYTES // (4 * dimension)))
-        share = max(1, n // SAMPLE)
-        few = rows.filter((F.col("model_version") == model) & (F.pmod(F.xxhash64("symbol_id"), F.lit(share)) == 0)).select("symbol_id", "embedding").limit(2 * SAMPLE).toArrow()
-        units = _units(few.sort_by("symbol_id").combine_chunks()["embedding"].chunk(0)) if few.num_rows else np.eye(1, dimension, dtype=np.float32)
+    few = min(SAMPLE, max(1_024, 4 * SAMPLE // max(1, len(counts))))
+    wished = {model: max(1, min(-(-n // CELL), CENTROID_BYTES // (4 * d))) for model, (n, d) in counts.items()}
+    shares = [(model, max(1, n // few), max(1, n // (wished[model] * CHILD_VECTORS))) for model, (n, _) in sorted(counts.items())]
+    table = F.broadcast(spark.createDataFrame(shares, "model_version string, _first long, _share long"))  # a row per model
+    rows = rows.join(table, "model_version")
+    sample = rows.filter(F.pmod(F.xxhash64("symbol_id"), F.col("_first")) == 0).select("model_version", "symbol_id", "embedding").limit(4 * few * max(1, len(counts))).toArrow()
+    sample = sample.sort_by([("model_version", "ascending"), ("symbol_id", "ascending")]).combine_chunks()
+    names, first = np.array(sample["model_version"].to_pylist(), object), {}
+    for model, (_, dimension) in sorted(counts.items()):
+        own = sample.filter(pa.array(names == model)).combine_chunks()
+        units = _units(own["embedding"].chunk(0)) if own.num_rows else np.eye(1, dimension, dtype=np.float32)
         order = np.random.default_rng(7).permutation(len(units))
-        first[model] = fit_centroids(units[order], min(len(units), math.ceil(wished**0.5)))
-        shares.append((model, max(1, n // (wished * CHILD_VECTORS))))
+        first[model] = fit_centroids(units[order], min(len(units), math.ceil(wished[model] ** 0.5)))
     if not first:
         return {}
-    table = F.broadcast(spark.createDataFrame(shares, "model_version string, _share long"))  # a row per model
-    thinned = rows.join(table, "model_version").filter(F.pmod(F.xxhash64("symbol_id", F.lit(5)), F.col("_share")) == 0)
+    thinned = rows.filter(F.pmod(F.xxhash64("symbol_id", F.lit(5)), F.col("_share")) == 0)
     top = spark.sparkContext.broadcast(first)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
