@@ -10,11 +10,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import collect_bounded
 from codeloom.tables import GraphTables
 from codeloom.views import VIEW_VERSION, VIEWS, catalog, register_views
 
 TIMEOUT_S = 5.0
 ROW_CAP = 5_000
+#: Scopes of a registry, and kinds of a vocabulary; more are an error.
+MOST_SCOPES, MOST_NAMES = 100_000, 10_000
 
 
 class QueryError(ValueError):
@@ -68,16 +71,20 @@ def translate(sql: str) -> str:
 def resolve_scopes(t: GraphTables, scope: str | None = "*", default: str | None = None) -> list[str]:
     """Scope ids of a request: '*' (all that aren't isolated), None (the default, or the only one),
     or a comma-separated list, which may name isolated ones.  The registry is one row per scope."""
-    known = {r["id"]: r["isolated"] for r in t.scopes.select("id", "isolated").limit(100_000).collect()}
+    known = {r["id"]: r["isolated"] for r in collect_bounded(t.scopes.select("id", "isolated"), MOST_SCOPES)}
     if not known:
         raise QueryError("no_scopes", "no scope is registered")
     if scope is None:
         if default is None and len(known) > 1:
             raise QueryError("unknown_scope", "name a scope")
         scope = default or next(iter(known))
-    if scope.strip() == "*":
-        return sorted(k for k, isolated in known.items() if not isolated)
-    wanted = [s.strip() for s in scope.split(",") if s.strip()]
+    wanted = list(dict.fromkeys(s.strip() for s in scope.split(",") if s.strip()))
+    if wanted == ["*"]:
+        if not (open_ones := sorted(k for k, isolated in known.items() if not isolated)):
+            raise QueryError("no_scopes", "every registered scope is isolated; name one")
+        return open_ones
+    if "*" in wanted or not wanted:
+        raise QueryError("unknown_scope", "'*' stands alone")
     if unknown := [s for s in wanted if s not in known]:
         raise QueryError("unknown_scope", f"unknown scope: {', '.join(unknown)}")
     return wanted
@@ -143,7 +150,7 @@ def describe_schema(t: GraphTables) -> dict:
     """Views with their columns, the kinds in use and the version of the views."""
     columns = catalog(t).orderBy("view_name", "position").collect()
     views = {n: [(r["column_name"], r["type"]) for r in columns if r["view_name"] == n] for n in VIEWS}
-    kinds = lambda rows, c: [r[0] for r in rows.select(c).distinct().orderBy(c).limit(1000).collect()]
+    kinds = lambda rows, c: sorted(r[0] for r in collect_bounded(rows.select(c).distinct().filter(F.col(c).isNotNull()), MOST_NAMES))
     return {"version": VIEW_VERSION, "views": views, "edge_kinds": kinds(t.edges, "kind_name"), "symbol_kinds": kinds(t.symbols, "kind_name"), "flavors": kinds(t.annotations, "flavor")}
 
 

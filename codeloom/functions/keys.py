@@ -8,9 +8,14 @@ import re
 SCHEMES = ("csharp", "xaml", "js", "ts", "jsx", "tsx", "c", "cpp", "proto")
 _KEY = re.compile(r"^([a-z]+):([A-Za-z][A-Za-z0-9-]*):(\S.*)$")
 _KEBAB = re.compile(r"^[a-z0-9]+(?:-[a-z0-9]+)*$")
+#: Edge kinds that are known whether or not an edge has them (fixed value).
+EDGE_KINDS = (
+    "calls", "inherits", "implements", "uses-type", "overrides-member", "implements-member", "instantiates", "throws", "references", "reads", "writes", "binds-to", "handles-event",
+    "command-executes", "grpc-calls", "implements-rpc", "rpc-dispatches-to", "pinvoke-maps-to", "struct-maps-to", "tests", "binds-path", "uses-resource", "applies-style",
+)
 #: Accessibility names (fixed value).
 ACCESSIBILITY = {"private": 1, "private protected": 2, "protected": 3, "internal": 4, "protected internal": 5, "public": 6}
-SEVERITIES = {"hidden": 0, "info": 1, "information": 1, "warning": 2, "warn": 2, "error": 3}
+SEVERITIES = {"hidden": 0, "info": 1, "warning": 2, "error": 3}
 
 
 def is_canonical_key(text: str) -> bool:

@@ -6,24 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.scoped import with_target_scope
 from codeloom.tables import SCHEMAS, GraphTables
 
 #: Evidence rows of a hop that count for its confidence (fixed value).
 HOP_EVIDENCE = 21
+#: Salts that a large scope's rows are ranked in first.
+SALTS = 64
 
 
 def in_degrees(t: GraphTables, kind: str = "calls") -> DataFrame:
-    """(dst, in_degree): distinct callers per symbol; edges are distinct already, so partial counts
-    are combined before the shuffle and a hot symbol costs one row per task."""
-    return t.edges.filter(F.col("kind_name") == kind).groupBy("dst").agg(F.count("*").alias("in_degree"))
+    """(scope, dst, in_degree): distinct callers per symbol (a shared one's from all scopes); edges are
+    distinct already, so partial counts are combined before the shuffle and a hot symbol costs one
+    row per task."""
+    per = t.edges.filter(F.col("kind_name") == kind).groupBy("scope", "dst").agg(F.count("*").alias("n"))
+    meant = with_target_scope(t, per, "dst", "_to")
+    return meant.groupBy(F.col("_to").alias("scope"), "dst").agg(F.sum("n").alias("in_degree"))
 
 
 def module_summary(t: GraphTables, prefix: str, top_k: int = 25) -> DataFrame:
     """Symbols of a namespace or path, the most called first."""
     rows = t.symbols.join(t.files.select("scope", F.col("id").alias("file_id"), "path"), ["scope", "file_id"])
     rows = rows.filter((F.col("fqn") == prefix) | F.col("fqn").ilike(f"{prefix}.%") | F.contains(F.col("path"), F.lit(prefix)))
-    ranked = rows.join(in_degrees(t).withColumnRenamed("dst", "id"), "id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
-    return ranked.select("scope", "id", "fqn", "kind_name", "path", "in_degree").orderBy(F.desc("in_degree"), F.length("fqn"), "fqn", "id").limit(top_k)
+    ranked = rows.join(in_degrees(t).withColumnRenamed("dst", "id"), ["scope", "id"], "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
+    return ranked.select("scope", "id", "fqn", "kind_name", "path", "in_degree").orderBy(F.desc("in_degree"), F.length("fqn"), "fqn", "id", "scope").limit(top_k)
 
 
 def row_counts(t: GraphTables, names=None) -> DataFrame:
@@ -116,6 +122,9 @@ def budget_rows(row_chars: int, budget: int = 50_000, reserve: int = 2_000) -> i
 def fair_share(rows: DataFrame, order, limit: int, scopes: int) -> DataFrame:
     """At most limit rows, shared evenly among scopes (in their order, the first get the rest)."""
     base, rest = divmod(limit, max(1, scopes))
+    # no share is larger than base + 1, so a scope's rows are ranked in salts first and few of them together
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("scope", "_salt").orderBy(*order))).filter(F.col("_nth") <= base + 1).drop("_salt", "_nth")
     nth = F.row_number().over(W.partitionBy("scope").orderBy(*order))
     names = rows.select("scope").distinct().withColumn("scope_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("scope")))
     share = F.lit(base) + (F.col("scope_no") <= rest).cast("int")

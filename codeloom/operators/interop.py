@@ -18,6 +18,9 @@ from codeloom.tables import GraphTables
 PARAM = "struct<position:int,name:string,category:string,direction:string,pointer_depth:int,size:int,signed:boolean,encoding:string,array_length:int>"
 FLAVORS = {"match": "interop-match", "finding": "interop-finding"}
 TARGET = ["rid", "architecture", "abi", "pointer_size"]
+RECORD_FLAVOR = "interop-abi-record"
+_FIELD = "struct<order:int,name:string,category:string,offset:int,size:int,pointer_depth:int,array_length:int>"
+RECORD = f"struct<kind:string,size:int,align:int,pack:int,rid:string,architecture:string,abi:string,pointer_size:int,fields:array<{_FIELD}>>"
 
 
 def _is_windows(rid: str = "rid") -> Column:
@@ -149,8 +152,10 @@ def compare_structs(managed: DataFrame, native: DataFrame) -> DataFrame:
     """(scope, managed_id, native_id, aspect, ordinal, status): one row per check of two layouts.
 
     Both sides: scope, record_id, pair_id, kind, size, align, pack, fields (array of struct
-    order, name, category, offset, size, pointer_depth, array_length).  status is compatible,
-    incompatible or unknown (a side doesn't say).
+    order, name, category, offset, size, pointer_depth, array_length), and if they say for which
+    target, rid, architecture, abi and pointer_size.  status is compatible, incompatible or unknown
+    (a side doesn't say).  A truth value that is one byte on one side and four on the other is the
+    check 'field bool_size'.
     """
     a = managed.select("scope", "pair_id", F.col("record_id").alias("managed_id"), F.struct("kind", "size", "align", "pack", F.size("fields").alias("field_count")).alias("a"), F.col("fields").alias("fa"))
     b = native.select("scope", "pair_id", F.col("record_id").alias("native_id"), F.struct("kind", "size", "align", "pack", F.size("fields").alias("field_count")).alias("b"), F.col("fields").alias("fb"))
@@ -162,12 +167,19 @@ def compare_structs(managed: DataFrame, native: DataFrame) -> DataFrame:
     keys = ["scope", "managed_id", "native_id"]
     whole = [F.struct(F.lit(c).alias("aspect"), F.lit(None).cast("int").alias("ordinal"), status(F.col(f"a.{c}"), F.col(f"b.{c}")).alias("status")) for c in ("kind", "size", "align", "pack", "field_count")]
     out = both.select(*keys, F.explode(F.array(*whole)).alias("r")).select(*keys, "r.*")
+    if all(c in d.columns for d in (managed, native) for c in TARGET):
+        left, right = (d.select("scope", "pair_id", F.col("record_id").alias(n), F.struct(F.lower("rid").alias("rid"), *TARGET[1:]).alias(x)) for d, n, x in ((managed, "managed_id", "x"), (native, "native_id", "y")))
+        silent = F.greatest(*[F.col(f"{x}.{c}").isNull() for x in "xy" for c in TARGET])
+        same = F.when(silent, "unknown").when(F.col("x") == F.col("y"), "compatible").otherwise("incompatible")
+        out = out.unionByName(left.join(right, ["scope", "pair_id"]).select(*keys, F.lit("target").alias("aspect"), F.lit(None).cast("int").alias("ordinal"), same.alias("status")))
     left = both.select(*keys, F.explode("fa").alias("x")).withColumn("ordinal", F.col("x.order"))
     right = both.select(*keys, F.explode("fb").alias("y")).withColumn("ordinal", F.col("y.order"))
     fields = left.join(right, [*keys, "ordinal"], "full")
     each = [F.struct(F.lit(f"field {c}").alias("aspect"), F.when(F.col("x").isNull() | F.col("y").isNull(), "incompatible").otherwise(status(F.col(f"x.{c}"), F.col(f"y.{c}"))).alias("status")) for c in ("offset", "size", "category", "pointer_depth")]
     lengths = F.struct(F.lit("field array_length").alias("aspect"), F.when(F.col("x.array_length").eqNullSafe(F.col("y.array_length")), "compatible").otherwise("incompatible").alias("status"))
-    return out.unionByName(fields.select(*keys, "ordinal", F.explode(F.array(*each, lengths)).alias("r")).select(*keys, "r.aspect", "ordinal", "r.status"))
+    truth = (F.col("x.category") == "bool") & (F.col("y.category") == "bool")
+    bools = F.when(truth, F.struct(F.lit("field bool_size").alias("aspect"), status(F.col("x.size"), F.col("y.size")).alias("status")))
+    return out.unionByName(fields.select(*keys, "ordinal", F.explode(F.array_compact(F.array(*each, lengths, bools))).alias("r")).select(*keys, "r.aspect", "ordinal", "r.status"))
 
 
 def struct_verdict(checks: DataFrame) -> DataFrame:
@@ -202,10 +214,15 @@ def publish_boundary(imports: DataFrame, matches: DataFrame, findings: DataFrame
 
 
 def _stored(t: GraphTables, symbol: str, flavor: str) -> DataFrame:
+    """Stored facts of a symbol.  ``state`` is 'stored', 'unreadable' (the facts can't be read) or
+    'not-analyzed' (nothing was published about the symbol), so silence is never taken for a result."""
     few = top_match(t, symbol).select("scope", F.col("id").alias("symbol_id"))
-    rows = t.annotations.filter(F.col("flavor") == flavor).join(F.broadcast(few), ["scope", "symbol_id"], "left_semi")
+    mine = t.annotations.filter(F.col("flavor") == flavor).select("scope", "id", "symbol_id", "args_json")
     names = located(t).select("scope", F.col("id").alias("symbol_id"), "fqn", "path")
-    return rows.join(names, ["scope", "symbol_id"], "left").select("scope", "id", "symbol_id", "fqn", "path", F.from_json("args_json", "map<string,string>").alias("facts"))
+    facts = F.from_json("args_json", "map<string,string>")
+    rows = few.join(mine, ["scope", "symbol_id"], "left").join(names, ["scope", "symbol_id"], "left")
+    state = F.when(F.col("id").isNull(), "not-analyzed").when(facts.isNull() | (F.size(facts) == 0), "unreadable").otherwise("stored")
+    return rows.select("scope", "id", "symbol_id", "fqn", "path", facts.alias("facts"), state.alias("state"))
 
 
 def stored_matches(t: GraphTables, symbol: str) -> DataFrame:
@@ -214,4 +231,21 @@ def stored_matches(t: GraphTables, symbol: str) -> DataFrame:
 
 
 def stored_findings(t: GraphTables, symbol: str) -> DataFrame:
-    return _stored(t, symbol, FLAVORS["finding"])
+    """Stored findings of a symbol.  One whose match was published and has none is 'stored' without
+    findings: no row; one that wasn't analysed is one row that says so."""
+    rows = _stored(t, symbol, FLAVORS["finding"])
+    matched = stored_matches(t, symbol).filter("state = 'stored'").select("scope", "symbol_id").distinct().withColumn("_matched", F.lit(True))
+    return rows.join(matched, ["scope", "symbol_id"], "left").filter("state != 'not-analyzed' or _matched is null").drop("_matched")
+
+
+def compare_stored(t: GraphTables, managed: DataFrame, native: DataFrame) -> DataFrame:
+    """``compare_structs`` of the layouts that are stored for two symbols (scope, id).  A layout that is
+    missing or unreadable leaves one check 'layout', unknown."""
+    read = t.annotations.filter(F.col("flavor") == RECORD_FLAVOR).select("scope", F.col("symbol_id").alias("id"), F.from_json("args_json", RECORD).alias("r"))
+    side = lambda few: few.select("scope", "id").join(read, ["scope", "id"], "left").select(F.lit("all").alias("scope"), F.col("id").alias("record_id"), F.lit(0).alias("pair_id"), "r.*")
+    a, b = side(managed), side(native)
+    checks = compare_structs(a.filter("fields is not null"), b.filter("fields is not null"))
+    here = a.select("scope", "pair_id", F.col("record_id").alias("managed_id"), F.col("fields").isNull().alias("_a"))
+    ids = here.join(b.select("scope", "pair_id", F.col("record_id").alias("native_id"), F.col("fields").isNull().alias("_b")), ["scope", "pair_id"])
+    unknown = ids.filter("_a or _b").select(F.lit("all").alias("scope"), "managed_id", "native_id", F.lit("layout").alias("aspect"), F.lit(None).cast("int").alias("ordinal"), F.lit("unknown").alias("status"))
+    return checks.unionByName(unknown)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import accessibility_code, require_intent, severity_code
+from codeloom.operators.scoped import pointing_at
 from codeloom.tables import GraphTables
 
 
@@ -68,10 +69,9 @@ def list_members(t: GraphTables, container: DataFrame, accessibility: str | None
 
 def find_references(t: GraphTables, target: DataFrame, include_generated: bool = False, limit: int = 50) -> DataFrame:
     """References to the targets (scope, id); a shared symbol is referred to from any scope."""
-    ids = target.select(F.col("id").alias("symbol_id"))
     files = t.files if include_generated else t.files.filter("is_generated = 0")
-    rows = t.refs.join(ids, "symbol_id", "left_semi").join(files.select("scope", F.col("id").alias("file_id"), "path"), ["scope", "file_id"])
-    return rows.select("scope", "id", "symbol_id", "path", "line", "col", "kind").orderBy("path", "line", "col", "id").limit(limit)
+    rows = pointing_at(t, t.refs, "symbol_id", target).join(files.select("scope", F.col("id").alias("file_id"), "path"), ["scope", "file_id"])
+    return rows.select("scope", "id", "symbol_id", "path", "line", "col", "kind").orderBy("path", "line", "col", "id", "scope").limit(limit)
 
 
 def find_diagnostics(t: GraphTables, severity: str | None = "warning", code: str | None = None, symbol: DataFrame | None = None, limit: int = 100) -> DataFrame:
@@ -142,9 +142,8 @@ def outgoing_state(t: GraphTables) -> DataFrame:
 
 def list_tests_for(t: GraphTables, symbol: DataFrame, indirect: bool = False, limit: int = 50) -> DataFrame:
     """Sources of ``tests`` edges into the symbol; with ``indirect``, also tests that call it."""
-    one = symbol.select(F.col("id").alias("dst"))
     kinds = ["tests", "calls"] if indirect else ["tests"]
-    sources = t.edges.filter(F.col("kind_name").isin(kinds)).join(one, "dst", "left_semi").select("scope", F.col("src").alias("id"), (F.col("kind_name") == "tests").alias("direct"))
+    sources = pointing_at(t, t.edges.filter(F.col("kind_name").isin(kinds)), "dst", symbol).select("scope", F.col("src").alias("id"), (F.col("kind_name") == "tests").alias("direct"))
     sources = sources.groupBy("scope", "id").agg(F.max("direct").alias("direct"))
     rows = located(t).join(sources, ["scope", "id"]).filter("direct or test_framework is not null")
     return rows.select("scope", "id", "fqn", "test_framework", "direct", "path", "start_line").orderBy("path", "start_line", "id").limit(limit)
@@ -190,9 +189,10 @@ def symbol_card(t: GraphTables, canonical_key: str) -> DataFrame:
     """One symbol with its numbers of callers, callees, references and members."""
     one = get_symbol(t, canonical_key=canonical_key).select("scope", "id", "canonical_key", "fqn", "kind_name", "signature", "path", "start_line")
     few = one.select("scope", "id")
-    count = lambda rows, key, name: rows.join(few.select(F.col("id").alias(key)), key, "left_semi").groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
+    inside = lambda rows, key: rows.join(few.withColumnRenamed("id", key), ["scope", key], "left_semi").select(F.col("scope").alias("_to"), key)
+    from_all = lambda rows, key: pointing_at(t, rows, key, few, "_to").select("_to", key)
     calls = t.edges.filter("kind_name = 'calls'")
     out = one
-    for rows, key, name in ((calls, "dst", "n_callers"), (calls, "src", "n_callees"), (t.refs, "symbol_id", "n_references"), (t.symbols, "container_id", "n_members")):
-        out = out.join(count(rows.select(key), key, name), "id", "left")
+    for rows, key, name in ((from_all(calls, "dst"), "dst", "n_callers"), (inside(calls, "src"), "src", "n_callees"), (from_all(t.refs, "symbol_id"), "symbol_id", "n_references"), (inside(t.symbols, "container_id"), "container_id", "n_members")):
+        out = out.join(rows.groupBy(F.col("_to").alias("scope"), F.col(key).alias("id")).agg(F.count("*").alias(name)), ["scope", "id"], "left")
     return out.fillna(0, ["n_callers", "n_callees", "n_references", "n_members"])

@@ -1,7 +1,7 @@
 """Merges of facts: pure functions from old tables to new ones.
 
 Nothing is changed in place.  A merge returns frames; ``SnapshotStore`` writes them as a new version
-and then moves a pointer file, so readers see the old version or the new one.
+and then adds a pointer file, so readers see the old version or the new one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.tables import KEYS, GraphTables, load_tables, save_tables
+from codeloom.operators.scoped import resolvable
+from codeloom.session import cut
+from codeloom.tables import KEYS, SHARED, GraphTables, empty_tables, load_tables, save_tables
 
 EDGE = ["scope", "src", "dst", "kind_name"]
 PLACE = ["producing_file_id", "file_path", "start_line", "start_col", "end_line", "end_col", "confidence", "producer", "payload"]
@@ -114,11 +116,14 @@ def clear_file_outgoing(t: GraphTables, files: DataFrame, keep_producers=()) ->
     return cleared.with_tables(refs=t.refs.join(files.select("scope", "file_id").distinct(), ["scope", "file_id"], "left_anti"))
 
 
-def clear_producer(t: GraphTables, producer: str, files: DataFrame | None = None) -> GraphTables:
-    """Remove one producer's evidence, of some files or everywhere."""
+def clear_producer(t: GraphTables, producer: str, files: DataFrame | None = None, scope: str | None = None) -> GraphTables:
+    """Remove one producer's evidence, of some files or of a whole scope."""
+    if (files is None) == (scope is None):
+        raise ValueError("name files or a scope")
     out = F.col("producer") == producer
-    marked = t.edge_evidence.withColumn("_own", F.lit(True))
-    if files is not None:
+    if files is None:
+        marked = t.edge_evidence.withColumn("_own", F.col("scope") == scope)
+    else:
         owned = files.select("scope", F.col("file_id").alias("producing_file_id")).distinct().withColumn("_own", F.lit(True))
         marked = t.edge_evidence.join(owned, ["scope", "producing_file_id"], "left")
     out = out & F.coalesce(F.col("_own"), F.lit(False))
@@ -130,20 +135,25 @@ class UnresolvedEndpoint(ValueError):
 
 
 def resolve_endpoints(t: GraphTables, facts: DataFrame) -> DataFrame:
-    """(scope, src_key, dst_key, ...) to (scope, src, dst, ...)."""
+    """(scope, src_key, dst_key, ...) to (scope, src, dst, ...); a target may be a shared symbol."""
     src = t.symbols.select("scope", F.col("canonical_key").alias("src_key"), F.col("id").alias("src"))
     dst = t.symbols.select("scope", F.col("canonical_key").alias("dst_key"), F.col("id").alias("dst"))
-    rows = facts.join(src, ["scope", "src_key"], "left").join(dst, ["scope", "dst_key"], "left")
+    common = dst.filter(F.col("scope") == SHARED).select("dst_key", F.col("dst").alias("_common"))
+    rows = facts.join(src, ["scope", "src_key"], "left").join(dst, ["scope", "dst_key"], "left").join(common, "dst_key", "left")
+    rows = rows.withColumn("dst", F.coalesce("dst", "_common")).drop("_common")
     if not rows.filter("src is null or dst is null").limit(1).isEmpty():
         raise UnresolvedEndpoint("the batch names unknown symbols")
     return rows.drop("src_key", "dst_key")
 
 
-def replace_producer(t: GraphTables, producer: str, facts: DataFrame, files: DataFrame | None = None) -> GraphTables:
-    """Replace all that a producer said (of some files or everywhere) by facts with canonical keys:
-    scope, src_key, dst_key, kind_name and the columns of a piece of evidence."""
+def replace_producer(t: GraphTables, producer: str, facts: DataFrame, files: DataFrame | None = None, scope: str | None = None) -> GraphTables:
+    """Replace all that a producer said (of some files or of a whole scope) by facts with canonical
+    keys: scope, src_key, dst_key, kind_name and the columns of a piece of evidence.  Facts of another
+    scope than the one named refuse the batch."""
+    if scope is not None and not facts.filter(~F.col("scope").eqNullSafe(F.lit(scope))).limit(1).isEmpty():
+        raise UnresolvedEndpoint("the batch holds facts of another scope")
     evidence = resolve_endpoints(t, facts).withColumn("producer", F.lit(producer)).withColumn("payload", F.coalesce("payload", F.lit("")))
-    cleared = clear_producer(t, producer, files)
+    cleared = clear_producer(t, producer, files, scope)
     return insert_edges(cleared, evidence.select(*EDGE, F.nullif(F.col("payload"), F.lit("")).alias("payload")), evidence)
 
 
@@ -160,14 +170,15 @@ def replace_file_projection(t: GraphTables, producer: str, files: DataFrame, fla
 
 
 def delete_symbols(t: GraphTables, gone: DataFrame) -> GraphTables:
-    """Remove symbols (scope, id) and all that depends on them; children lose their container and
-    annotations their attribute symbol."""
-    ids = gone.select("scope", "id").distinct()
+    """Remove symbols (scope, id) and all that depends on them (of a shared symbol in all scopes);
+    children lose their container and annotations their attribute symbol."""
+    ids = cut(gone.select("scope", "id").distinct())  # many joins read them
     by = lambda c: ids.withColumnRenamed("id", c)
     anti = lambda rows, c: rows.join(by(c), ["scope", c], "left_anti").select(*rows.columns)
+    lost = lambda rows, c: resolvable(t, rows, c, ids, "left_anti")
     blank = lambda rows, c: rows.join(by(c).withColumn("_gone", F.lit(True)), ["scope", c], "left").withColumn(c, F.when(F.col("_gone").isNull(), F.col(c))).select(*rows.columns)
     return t.with_tables(
-        symbols=blank(anti(t.symbols, "id"), "container_id"), refs=anti(t.refs, "symbol_id"), edges=anti(anti(t.edges, "src"), "dst"), edge_evidence=anti(anti(t.edge_evidence, "src"), "dst"),
+        symbols=blank(anti(t.symbols, "id"), "container_id"), refs=lost(t.refs, "symbol_id"), edges=lost(anti(t.edges, "src"), "dst"), edge_evidence=lost(anti(t.edge_evidence, "src"), "dst"),
         annotations=blank(anti(t.annotations, "symbol_id"), "attribute_symbol_id"), diagnostics=anti(t.diagnostics, "symbol_id"), symbol_history=anti(t.symbol_history, "symbol_id"), embeddings=anti(t.embeddings, "symbol_id"),
     )
 
@@ -222,7 +233,7 @@ def replace_file_facts(t: GraphTables, files: DataFrame, symbols: DataFrame, edg
     for the file and ``container_key``; edges: src_key, dst_key, kind_name and evidence; annotations
     and refs: symbol_key and ``path``.  Symbols that are gone are removed with their dependents;
     an unknown endpoint refuses the batch."""
-    stored = upsert_files(t.files, files)
+    stored = cut(upsert_files(t.files, files))
     ids = stored.join(files.select("scope", "path").distinct(), ["scope", "path"], "left_semi").select("scope", "path", F.col("id").alias("file_id"))
     few = ids.select("scope", "file_id")
     declared = symbols.join(ids, ["scope", "path"])
@@ -230,8 +241,9 @@ def replace_file_facts(t: GraphTables, files: DataFrame, symbols: DataFrame, edg
     keys = merged.select("scope", "canonical_key", "id")
     boxes = declared.filter("container_key is not null").select("scope", "canonical_key", F.col("container_key").alias("box")).join(keys, ["scope", "canonical_key"])
     boxes = boxes.join(keys.select("scope", F.col("canonical_key").alias("box"), F.col("id").alias("container_id")), ["scope", "box"]).select("scope", "id", "container_id")
-    base = t.with_tables(files=stored, symbols=set_column(merged, boxes, "container_id"))
+    base = t.with_tables(files=stored, symbols=cut(set_column(merged, boxes, "container_id")))
     base = reconcile_declarations(clear_file_outgoing(base, few), few, symbols.select("scope", "canonical_key"))
+    base = base.with_tables(symbols=cut(base.symbols), edges=cut(base.edges), edge_evidence=cut(base.edge_evidence))
     evidence = resolve_endpoints(base, edges.join(ids.withColumnRenamed("file_id", "producing_file_id").withColumnRenamed("path", "file_path"), ["scope", "file_path"]))
     base = insert_edges(base, evidence.select(*EDGE, "payload"), evidence)
     named = keys.select("scope", F.col("canonical_key").alias("symbol_key"), F.col("id").alias("symbol_id"))
@@ -293,21 +305,51 @@ def scope_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """Versions of a bundle below one folder: ``v=<n>/<table>`` and a file ``CURRENT`` that names the
-    version readers use.  Works on any file system Spark writes to."""
+    """Versions of a bundle below one folder: ``v=<n>/<table>`` and, in ``pointers``, numbered files that
+    each name the version readers use; the one with the highest number counts.
+
+    Nothing is overwritten or deleted.  Versions and pointers are created under new numbers only, so
+    a reader always sees a whole version, a writer that was overtaken is refused, and what a crash
+    leaves behind (a version without a pointer, a pointer file that isn't whole) is passed over.
+    Works on any file system that Spark writes to and that refuses to create a file twice.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
+        self._p = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._p(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _create(self, path: str, text: str) -> bool:
+        """Write a new file; false if it exists already."""
+        try:
+            out = self._fs.create(self._p(path), False)
+        except Exception as error:  # noqa: BLE001
+            if "already exists" in str(error) or "FileAlreadyExists" in str(error):
+                return False
+            raise
+        out.write(text.encode())
+        out.close()
+        return True
+
+    def _pointers(self) -> list[int]:
+        return sorted((int(n[:-5]) for n in self._names(f"{self.path}/pointers") if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
     def _pointer(self) -> dict:
-        if not self._fs.exists(self._p(f"{self.path}/CURRENT")):
-            return {"version": 0, "batches": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+        for number in self._pointers():
+            text = self.spark.read.text(f"{self.path}/pointers/{number:012d}.json", wholetext=True).collect()
+            try:
+                found = json.loads(text[0][0])
+                return {"number": number, "version": int(found["version"]), "batches": dict(found["batches"])}
+            except (IndexError, KeyError, TypeError, ValueError):
+                continue  # its writer died
+        return {"number": 0, "version": 0, "batches": {}}
 
     def current(self) -> int:
+        """The version that readers use; 0 if none was published yet."""
         return self._pointer()["version"]
 
     def last_batch(self, stream: str) -> int:
@@ -315,33 +357,43 @@ class SnapshotStore:
         return self._pointer()["batches"].get(stream, -1)
 
     def read(self, version: int | None = None) -> GraphTables:
-        return load_tables(self.spark, f"{self.path}/v={version or self.current()}")
+        """A version's tables.  One that doesn't exist, or isn't whole, is an error; a store that
+        nothing was published to is empty."""
+        version = self.current() if version is None else version
+        return load_tables(self.spark, f"{self.path}/v={version}", whole=True) if version else empty_tables(self.spark)
+
+    def _claim(self) -> int:
+        """A version number that nobody else uses or has used."""
+        taken = [int(n[2:]) for n in self._names(self.path) if n.startswith("v=") and n[2:].isdigit()]
+        taken += [int(n) for n in self._names(f"{self.path}/claims") if n.isdigit()]
+        version = max(taken, default=0) + 1
+        while not self._create(f"{self.path}/claims/{version}", ""):
+            version += 1
+        return version
 
     def publish(self, tables: GraphTables, expected: int | None = None, batch: tuple[str, int] | None = None) -> int:
-        """Write a new version, then move the pointer; refuses if another writer moved it first.
+        """Write a new version, then point at it; refuses if another writer pointed elsewhere since.
         The number of a stream's micro-batch is kept in the pointer, so both change at once."""
         pointer = self._pointer()
-        now = pointer["version"]
-        if expected is not None and expected != now:
-            raise RuntimeError(f"version {now} is current, not {expected}")
-        save_tables(tables, f"{self.path}/v={now + 1}")
-        self._point(now + 1, pointer["batches"] | dict([batch] if batch else []))
-        return now + 1
-
-    def _point(self, version: int, batches: dict) -> None:
-        fresh = self._p(f"{self.path}/.CURRENT.{version}")
-        out = self._fs.create(fresh, True)
-        out.write(json.dumps({"version": version, "batches": batches}).encode())
-        out.close()
-        target = self._p(f"{self.path}/CURRENT")
-        self._fs.delete(target, False)
-        if not self._fs.rename(fresh, target):
-            raise RuntimeError("the pointer couldn't be moved")
+        if expected is not None and expected != pointer["version"]:
+            raise RuntimeError(f"version {pointer['version']} is current, not {expected}")
+        version, newest = self._claim(), max(self._pointers(), default=0)
+        save_tables(tables, f"{self.path}/v={version}")
+        if self._pointer()["number"] != pointer["number"]:
+            raise RuntimeError("another writer has published meanwhile")
+        self._point(newest, version, pointer["batches"] | dict([batch] if batch else []))
+        return version
+
+    def _point(self, newest: int, version: int, batches: dict) -> None:
+        text = json.dumps({"version": version, "batches": batches})
+        if not self._create(f"{self.path}/pointers/{newest + 1:012d}.json", text):
+            raise RuntimeError("another writer has published meanwhile")
 
     def rollback(self, version: int) -> None:
+        """Point at an older version; later versions stay, and their numbers aren't used again."""
         if not self._fs.exists(self._p(f"{self.path}/v={version}")):
             raise ValueError(f"no version {version}")
-        self._point(version, self._pointer()["batches"])
+        self._point(max(self._pointers(), default=0), version, self._pointer()["batches"])
 
 
 def integrity(t: GraphTables) -> DataFrame:
@@ -350,7 +402,9 @@ def integrity(t: GraphTables) -> DataFrame:
 
     def dangling(name, rows, column, target):
         ids = target.select("scope", F.col("id").alias(column))
-        parts.append(rows.filter(F.col(column).isNotNull()).join(ids, ["scope", column], "left_anti").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("check"), "n_rows"))
+        lost = rows.filter(F.col(column).isNotNull())
+        lost = resolvable(t, lost, column, how="left_anti") if name in ("refs.symbol_id", "edges.dst") else lost.join(ids, ["scope", column], "left_anti")
+        parts.append(lost.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("check"), "n_rows"))
 
     dangling("symbols.file_id", t.symbols, "file_id", t.files)
     dangling("symbols.container_id", t.symbols, "container_id", t.symbols)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.scoped import with_target_scope
 from codeloom.tables import GraphTables
 
 
@@ -14,13 +15,15 @@ def payload_value(key: str, column: str = "payload") -> Column:
     return F.when(sound, F.get_json_object(F.col(column), f"$['{key}']"))
 
 
-def two_sided(t: GraphTables, edges: DataFrame) -> DataFrame:
-    """Edges with both symbols and the paths of their files (null where a side has no file)."""
+def two_sided(t: GraphTables, edges: DataFrame, how: str = "inner") -> DataFrame:
+    """Edges with both symbols and the paths of their files (null where a side has no file); with
+    ``how`` left, edges whose target doesn't exist stay, with nulls."""
     files = t.files.select("scope", F.col("id").alias("file_id"), "path")
     named = t.symbols.join(files, ["scope", "file_id"], "left")
     source = named.select("scope", F.col("id").alias("src"), F.col("canonical_key").alias("src_key"), F.col("fqn").alias("src_fqn"), F.col("path").alias("src_path"), F.col("start_line").alias("src_line"))
-    target = named.select(F.col("id").alias("dst"), F.col("canonical_key").alias("dst_key"), F.col("fqn").alias("dst_fqn"), F.col("path").alias("dst_path"))
-    return edges.join(source, ["scope", "src"]).join(target, "dst")
+    target = named.select(F.col("scope").alias("dst_scope"), F.col("id").alias("dst"), F.col("canonical_key").alias("dst_key"), F.col("fqn").alias("dst_fqn"), F.col("path").alias("dst_path"))
+    meant = with_target_scope(t, edges.join(source, ["scope", "src"]), "dst", "dst_scope")
+    return meant.join(target, ["dst_scope", "dst"], how)
 
 
 def _page(rows: DataFrame, limit: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.operators.traversal import EDGE, adjacent
+from codeloom.operators.scoped import with_target_scope
+from codeloom.operators.traversal import EDGE, adjacent_by_kinds, auditable
 from codeloom.tables import GraphTables
 
 KINDS = ("grpc-calls", "implements-rpc", "rpc-dispatches-to")
@@ -68,10 +69,16 @@ def check_stored_contracts(t: GraphTables, flavor: str = "proto-contract") -> Da
 
 
 def trace_rpc(t: GraphTables, rpc: str, limit: int = 64, most: int = 8) -> DataFrame:
-    """Callers and implementations of a contract (exact key), each with its first evidence."""
-    one = t.symbols.filter(F.col("canonical_key") == rpc).select("scope", "id")
-    rows = adjacent(t, one, None, True, True, 1000).unionByName(adjacent(t, one, None, False, True, 1000)).filter(F.col("kind_name").isin(*KINDS)).limit(limit)
+    """Callers and implementations of a contract, each with its first evidence, by kind, path and line.
+    ``rpc`` is the exact key of the contract, or of a managed symbol that calls or implements some."""
+    named = t.symbols.filter(F.col("canonical_key") == rpc).select("scope", "id")
+    through = auditable(t, ["grpc-calls", "implements-rpc"]).join(named.withColumnRenamed("id", "src"), ["scope", "src"], "left_semi")
+    contracts = with_target_scope(t, through.select("scope", "src", "dst"), "dst", "_to").select(F.col("_to").alias("scope"), F.col("dst").alias("id"))
+    every = named.unionByName(contracts).distinct()
+    rows = adjacent_by_kinds(t, every, list(KINDS), True, True).unionByName(adjacent_by_kinds(t, every, list(KINDS), False, True)).distinct()
+    rows = rows.orderBy("kind_name", "path", "start_line", "src", "dst", "scope").limit(limit)
     order = W.partitionBy(*EDGE).orderBy("file_path", "start_line", "start_col", "id")
-    proofs = t.edge_evidence.join(rows.select(*EDGE), EDGE, "left_semi").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
-    lists = proofs.groupBy(*EDGE).agg(F.array_sort(F.collect_list(F.struct("nth", "file_path", F.col("start_line").alias("line")))).alias("evidence"))
+    proofs = t.edge_evidence.join(rows.select(*EDGE), EDGE, "left_semi").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most + 1)
+    shown = F.when(F.col("nth") <= most, F.struct("nth", "file_path", F.col("start_line").alias("line")))
+    lists = proofs.groupBy(*EDGE).agg(F.array_sort(F.collect_list(shown)).alias("evidence"), (F.max("nth") > most).alias("truncated_evidence"))
     return rows.join(lists, EDGE, "left")

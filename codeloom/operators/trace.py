@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.aggregate import hop_confidence
 from codeloom.operators.lookup import located
-from codeloom.operators.traversal import EDGE, auditable
+from codeloom.operators.scoped import with_target_scope
+from codeloom.operators.traversal import EDGE, auditable, nodes_of
 from codeloom.session import cut
 from codeloom.tables import GraphTables
 
@@ -23,6 +25,10 @@ class Automaton:
     terminal: str
     transitions: tuple[tuple[str, str, str], ...]
 
+    @property
+    def kinds(self) -> list[str]:
+        return sorted({k for _, k, _ in self.transitions})
+
 
 #: From a view's binding to a native algorithm (fixed value).
 EXECUTION = Automaton("await-binding", "native-algorithm", (
@@ -38,57 +44,79 @@ def relation(kind: str) -> Automaton:
     return Automaton("path", "path", (("path", kind, "path"),))
 
 
-PATHS = "path_ids array<long>, kinds array<string>, confidence int, n_hops int, ends_at long"
+PATHS = "path_ids array<long>, path_scopes array<string>, kinds array<string>, confidence int, n_hops int, ends_at long"
 
 
 @dataclass(frozen=True)
 class Trace:
-    """paths: path_ids, kinds, confidence, n_hops, ends_at.  ``truncated`` is set when a cap cut the
-    walk, so that absence of a path is no proof then."""
+    """paths: path_ids, path_scopes, kinds, confidence, n_hops, ends_at.  ``truncated`` is set when the
+    depth or a cap cut the walk, ``complete`` is what the caller knows of the facts: whether every
+    projection that the walk needs had been published.  Only both together make the absence of a
+    path a proof."""
 
     paths: DataFrame
     truncated: bool
+    complete: bool = True
 
     @property
     def absence_authoritative(self) -> bool:
-        return not self.truncated
+        return self.complete and not self.truncated
+
+
+def _moves(t: GraphTables, automaton: Automaton) -> DataFrame:
+    """The automaton as a table: a row per transition."""
+    return F.broadcast(t.edges.sparkSession.createDataFrame(list(automaton.transitions), "state string, kind_name string, next_state string"))
+
 
+def _steps(edges: DataFrame, frontier: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges that lead a state on to a node it hasn't visited."""
+    near = frontier.withColumnRenamed("at_scope", "scope").withColumnRenamed("at", "src")
+    to = F.struct(F.col("dst_scope").alias("scope"), F.col("dst").alias("id"))
+    return edges.join(near, ["scope", "src"]).join(moves, ["state", "kind_name"]).withColumn("_to", to).filter(~F.array_contains("nodes", F.col("_to")))
 
-def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, automaton: Automaton, max_depth: int = 8, max_paths: int = 10, max_nodes: int = 1000) -> Trace:
+
+def _start(sources: DataFrame, automaton: Automaton) -> DataFrame:
+    node = F.struct("scope", "id")
+    return sources.select(F.col("scope").alias("at_scope"), F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array(node).alias("nodes"), F.array().cast("array<string>").alias("kinds")).distinct()
+
+
+def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, automaton: Automaton, max_depth: int = 8, max_paths: int = 10, max_nodes: int = 1000, complete: bool = True) -> Trace:
     """All simple paths from the sources, breadth first, over auditable edges.
 
     A path stops at its first target.  Without targets it stops at a node in the terminal state that
     has no further auditable edge of the automaton.  States are expanded in the order of a queue
     (sources by id, edges by kind, path, line, column and id), ``max_nodes`` in all; every level is a
-    join of a bounded frontier with the edges and a small table of transitions.
+    join of a bounded frontier with the edges and a small table of transitions.  A state at
+    ``max_depth`` that could go on makes the trace truncated.
     """
     if not (1 <= max_depth <= 12 and 1 <= max_paths <= 25_000 and 1 <= max_nodes <= 1_000_000):
         raise ValueError("bounds out of range")
-    spark = t.edges.sparkSession
-    kinds = sorted({k for _, k, _ in automaton.transitions})
-    moves = F.broadcast(spark.createDataFrame(list(automaton.transitions), "state string, kind_name string, next_state string"))
-    place = located(t).select(F.col("id").alias("dst"), "path", "start_line", "start_col")
-    edges = cut(auditable(t, kinds).select(*EDGE).join(place, "dst", "left"))
-    order = ["kind_name", "path", "start_line", "start_col", "dst"]
-    starts = sources.select("id").distinct()
+    moves = _moves(t, automaton)
+    place = located(t).select(F.col("scope").alias("dst_scope"), F.col("id").alias("dst"), "path", "start_line", "start_col")
+    edges = cut(with_target_scope(t, auditable(t, automaton.kinds).select(*EDGE), "dst", "dst_scope").join(place, ["dst_scope", "dst"], "left"))
+    order = ["kind_name", "path", "start_line", "start_col", "dst", "dst_scope"]
+    starts = sources.select("scope", "id").distinct()
     if starts.limit(max_nodes + 1).count() > max_nodes:
         raise ValueError(f"more than {max_nodes} sources")
-    frontier = cut(starts.select(
-        F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds"), F.row_number().over(W.orderBy("id")).alias("place"),
-    ))
-    goal = None if targets is None else cut(targets.select(F.col("id").alias("at")).distinct())
+    frontier = cut(_start(starts, automaton).withColumn("place", F.row_number().over(W.orderBy("at", "at_scope"))))
+    end = ["at_scope", "at"]
+    goal = None if targets is None else cut(targets.select(F.col("scope").alias("at_scope"), F.col("id").alias("at")).distinct())
+    going_on = [k for s, k, _ in automaton.transitions if s == automaton.terminal]
+    exits = edges.filter(F.col("kind_name").isin(going_on)).select(F.col("scope").alias("at_scope"), F.col("src").alias("at")).distinct()
     found: list[DataFrame] = []
     expanded, truncated = frontier.count(), False
-    for depth in range(1, max_depth + 1):
-        near = F.broadcast(frontier.select(F.col("at").alias("src"), "state", "path_ids", "kinds", F.col("place").alias("from_place")))
-        steps = edges.join(near, "src").join(moves, ["state", "kind_name"]).filter(~F.array_contains("path_ids", F.col("dst")))
+    for depth in itertools.count(1):
+        steps = _steps(edges, frontier.withColumnRenamed("place", "from_place"), moves)
+        if depth > max_depth:
+            truncated |= not steps.limit(1).isEmpty()
+            break
         grown = steps.select(
-            F.col("dst").alias("at"), F.col("next_state").alias("state"), F.concat("path_ids", F.array("dst")).alias("path_ids"), F.concat("kinds", F.array("kind_name")).alias("kinds"),
+            F.col("dst_scope").alias("at_scope"), F.col("dst").alias("at"), F.col("next_state").alias("state"), F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("kinds", F.array("kind_name")).alias("kinds"),
             "from_place", *[F.col(c).alias(f"o_{c}") for c in order],
         )
         room = max_nodes - expanded
-        ranked = grown.orderBy("from_place", *[f"o_{c}" for c in order]).limit(room + 1)
-        level = cut(ranked.withColumn("place", F.row_number().over(W.orderBy("from_place", *[f"o_{c}" for c in order]))).drop("from_place", *[f"o_{c}" for c in order]))
+        queue = ["from_place", *[f"o_{c}" for c in order]]
+        level = cut(grown.orderBy(*queue).limit(room + 1).withColumn("place", F.row_number().over(W.orderBy(*queue))).drop(*queue))  # over at most ``max_nodes`` + 1 rows
         n = level.count()
         if n > room:
             truncated = True
@@ -97,26 +125,24 @@ def trace_paths(t: GraphTables, sources: DataFrame, targets: DataFrame | None, a
             break
         expanded += min(n, room)
         if goal is not None:
-            found.append(level.join(goal, "at", "left_semi"))
-            frontier = level.join(goal, "at", "left_anti")
+            found.append(level.join(goal, end, "left_semi"))
+            frontier = level.join(goal, end, "left_anti")
         else:
-            exits = edges.select(F.col("src").alias("at"), "kind_name").distinct().join(F.broadcast(moves).filter(F.col("state") == automaton.terminal).select("kind_name"), "kind_name", "left_semi").select("at")
-            ends = level.filter(F.col("state") == automaton.terminal).join(exits, "at", "left_anti")
-            found.append(ends)
+            found.append(level.filter(F.col("state") == automaton.terminal).join(exits, end, "left_anti"))
             frontier = level
-        if truncated:
+        if n > room:
             break
     if not found:
-        return Trace(spark.createDataFrame([], PATHS), truncated)
+        return Trace(t.edges.sparkSession.createDataFrame([], PATHS), truncated, complete)
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    rows = every.select("path_ids", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at"), "place")
-    rows = cut(rows.dropDuplicates(["path_ids", "kinds"]).orderBy("n_hops", "place").limit(max_paths + 1))
+    rows = every.select("nodes", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at"), "place")
+    rows = cut(rows.dropDuplicates(["nodes", "kinds"]).orderBy("n_hops", "place").limit(max_paths + 1))
     if rows.count() > max_paths:
         truncated = True
         rows = cut(rows.orderBy("n_hops", "place").limit(max_paths))
-    return Trace(_with_confidence(t, rows.drop("place")), truncated)
+    return Trace(_with_confidence(t, rows.drop("place")), truncated, complete)
 
 
 def every_path(t: GraphTables, sources: DataFrame, automaton: Automaton, max_depth: int = 8) -> DataFrame:
@@ -125,23 +151,22 @@ def every_path(t: GraphTables, sources: DataFrame, automaton: Automaton, max_dep
     ``Trace.paths``).  Each level is a join of two distributed sides and is written."""
     if max_depth < 1:
         raise ValueError("max_depth must be 1 at least")
-    moves = F.broadcast(t.edges.sparkSession.createDataFrame(list(automaton.transitions), "state string, kind_name string, next_state string"))
-    hops = cut(auditable(t, sorted({k for _, k, _ in automaton.transitions})).select("src", "dst", "kind_name").distinct())
-    exits = cut(hops.join(moves.filter(F.col("state") == automaton.terminal).select("kind_name"), "kind_name", "left_semi").select(F.col("src").alias("at")).distinct())
-    frontier = sources.select(F.col("id").alias("at"), F.lit(automaton.start).alias("state"), F.array("id").alias("path_ids"), F.array().cast("array<string>").alias("kinds")).distinct()
-    found = None
+    moves = _moves(t, automaton)
+    hops = cut(with_target_scope(t, auditable(t, automaton.kinds).select("scope", "src", "dst", "kind_name").distinct(), "dst", "dst_scope"))
+    going_on = [k for s, k, _ in automaton.transitions if s == automaton.terminal]
+    exits = cut(hops.filter(F.col("kind_name").isin(going_on)).select(F.col("scope").alias("at_scope"), F.col("src").alias("at")).distinct())
+    frontier, found = _start(sources, automaton), None
     for _ in range(max_depth):
-        steps = hops.join(frontier.withColumnRenamed("at", "src"), "src").join(moves, ["state", "kind_name"]).filter(~F.array_contains("path_ids", F.col("dst")))
-        frontier = cut(steps.select(
-            F.col("dst").alias("at"), F.col("next_state").alias("state"), F.concat("path_ids", F.array("dst")).alias("path_ids"), F.concat("kinds", F.array("kind_name")).alias("kinds"),
+        frontier = cut(_steps(hops, frontier, moves).select(
+            F.col("dst_scope").alias("at_scope"), F.col("dst").alias("at"), F.col("next_state").alias("state"), F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("kinds", F.array("kind_name")).alias("kinds"),
         ))
         if frontier.isEmpty():
             break
-        ended = frontier.filter(F.col("state") == automaton.terminal).join(exits, "at", "left_anti")
+        ended = frontier.filter(F.col("state") == automaton.terminal).join(exits, ["at_scope", "at"], "left_anti")
         found = ended if found is None else found.unionByName(ended)
     if found is None:
         return t.edges.sparkSession.createDataFrame([], PATHS)
-    rows = found.select("path_ids", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at")).dropDuplicates(["path_ids", "kinds"])
+    rows = found.select("nodes", "kinds", F.size("kinds").alias("n_hops"), F.col("at").alias("ends_at")).dropDuplicates(["nodes", "kinds"])
     return _with_confidence(t, cut(rows))
 
 
@@ -155,31 +180,34 @@ def paths_into(t: GraphTables, sources: DataFrame, targets: DataFrame, kind: str
     """
     if max_depth < 1:
         raise ValueError("max_depth must be 1 at least")
-    hops = cut(auditable(t, [kind]).filter(F.col("src") != F.col("dst")).select("src", F.col("dst").alias("at")).distinct())
-    goal = cut(targets.select(F.col("id").alias("at")).distinct())
-    begin = cut(sources.select(F.col("id").alias("at")).distinct())
-    frontier, found = goal.withColumn("path_ids", F.array("at")), None
+    hops = cut(with_target_scope(t, auditable(t, [kind]).select("scope", "src", "dst").distinct(), "dst", "dst_scope").select("scope", "src", F.col("dst_scope").alias("at_scope"), F.col("dst").alias("at")))
+    spot = ["at_scope", "at"]
+    place = lambda rows: cut(rows.select(F.col("scope").alias("at_scope"), F.col("id").alias("at")).distinct())
+    goal, begin = place(targets), place(sources)
+    node = F.struct(F.col("at_scope").alias("scope"), F.col("at").alias("id"))
+    frontier, found = goal.withColumn("nodes", F.array(node)), None
     for _ in range(max_depth):
-        grown = hops.join(frontier, "at").filter(~F.array_contains("path_ids", F.col("src")))
-        level = cut(grown.select(F.col("src").alias("at"), F.concat(F.array("src"), "path_ids").alias("path_ids")))
+        before = F.struct("scope", F.col("src").alias("id"))
+        grown = hops.join(frontier, spot).withColumn("_from", before).filter(~F.array_contains("nodes", F.col("_from")))
+        level = cut(grown.select(F.col("scope").alias("at_scope"), F.col("src").alias("at"), F.concat(F.array("_from"), "nodes").alias("nodes")))
         if level.isEmpty():
             break
-        begun = level.join(begin, "at", "left_semi")
+        begun = level.join(begin, spot, "left_semi")
         found = begun if found is None else found.unionByName(begun)
-        frontier = level.join(goal, "at", "left_anti")
+        frontier = level.join(goal, spot, "left_anti")
     if found is None:
         return t.edges.sparkSession.createDataFrame([], PATHS)
-    n_hops = F.size("path_ids") - 1
-    rows = found.select("path_ids", F.array_repeat(F.lit(kind), n_hops).alias("kinds"), n_hops.alias("n_hops"), F.element_at("path_ids", -1).alias("ends_at"))
+    n_hops = F.size("nodes") - 1
+    rows = found.select("nodes", F.array_repeat(F.lit(kind), n_hops).alias("kinds"), n_hops.alias("n_hops"), F.element_at("nodes", -1)["id"].alias("ends_at"))
     return _with_confidence(t, cut(rows))
 
 
 def _with_confidence(t: GraphTables, paths: DataFrame) -> DataFrame:
     """Weakest hop of each path; proofs are read for the hops of the found paths only."""
-    hop = F.struct(F.get("path_ids", F.col("k")).alias("src"), F.get("path_ids", F.col("k") + 1).alias("dst"), F.get("kinds", F.col("k")).alias("kind_name"))
-    hops = paths.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_hops") - 1))).select("path_ids", "kinds", hop.alias("h")).select("path_ids", "kinds", "h.*")
-    keys = ["src", "dst", "kind_name"]
-    proofs = t.edge_evidence.join(hops.select(*keys).distinct(), keys, "left_semi")
-    strength = hop_confidence(t.with_tables(edge_evidence=proofs)).groupBy(*keys).agg(F.max("confidence").alias("confidence"))
-    weakest = hops.join(strength, keys).groupBy("path_ids", "kinds").agg(F.min("confidence").alias("confidence"))
-    return paths.join(weakest, ["path_ids", "kinds"]).select("path_ids", "kinds", "confidence", "n_hops", "ends_at")
+    here, there = F.get("nodes", F.col("k")), F.get("nodes", F.col("k") + 1)
+    hop = F.struct(here["scope"].alias("scope"), here["id"].alias("src"), there["id"].alias("dst"), F.get("kinds", F.col("k")).alias("kind_name"))
+    hops = paths.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_hops") - 1))).select("nodes", "kinds", hop.alias("h")).select("nodes", "kinds", "h.*")
+    proofs = t.edge_evidence.join(hops.select(*EDGE).distinct(), EDGE, "left_semi")
+    strength = hop_confidence(t.with_tables(edge_evidence=proofs)).select(*EDGE, "confidence")
+    weakest = hops.join(strength, EDGE).groupBy("nodes", "kinds").agg(F.min("confidence").alias("confidence"))
+    return paths.join(weakest, ["nodes", "kinds"]).select(*nodes_of(), "kinds", "confidence", "n_hops", "ends_at")

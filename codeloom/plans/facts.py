@@ -9,7 +9,7 @@ from codeloom.operators import interop, lookup, merge, rpc, ui, vector
 from codeloom.plans.graph import graph_sql
 from codeloom.session import read_table
 from codeloom.streaming.changes import debounce, hourly_changes
-from codeloom.tables import from_driver
+from codeloom.tables import stored as from_driver
 
 QUERIES = {}
 SQL = {}
@@ -92,7 +92,7 @@ def _(spark, d):
     return merge.scope_diff(old, new.unionByName(extra))
 
 
-@query("integrity", "SELECT 'symbols.file_id' AS \"check\", count(*) AS n_rows FROM g_symbols s WHERE file_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g_files f WHERE f.scope = s.scope AND f.id = s.file_id) UNION ALL SELECT 'symbols.container_id', count(*) FROM g_symbols s WHERE container_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope = s.scope AND f.id = s.container_id) UNION ALL SELECT 'refs.symbol_id', count(*) FROM g_refs s WHERE NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope = s.scope AND f.id = s.symbol_id) UNION ALL SELECT 'refs.file_id', count(*) FROM g_refs s WHERE NOT EXISTS (SELECT 1 FROM g_files f WHERE f.scope = s.scope AND f.id = s.file_id) UNION ALL SELECT 'edges.src', count(*) FROM g_edges s WHERE NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope = s.scope AND f.id = s.src) UNION ALL SELECT 'edges.dst', count(*) FROM g_edges s WHERE NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope = s.scope AND f.id = s.dst) UNION ALL SELECT 'annotations.symbol_id', 0 UNION ALL SELECT 'files repeated', 0 UNION ALL SELECT 'symbols repeated', 0 UNION ALL SELECT 'edges repeated', 0")
+@query("integrity", "SELECT 'symbols.file_id' AS \"check\", count(*) AS n_rows FROM g_symbols s WHERE file_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g_files f WHERE f.scope = s.scope AND f.id = s.file_id) UNION ALL SELECT 'symbols.container_id', count(*) FROM g_symbols s WHERE container_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope = s.scope AND f.id = s.container_id) UNION ALL SELECT 'refs.symbol_id', count(*) FROM g_refs s WHERE NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope IN (s.scope, 'shared') AND f.id = s.symbol_id) UNION ALL SELECT 'refs.file_id', count(*) FROM g_refs s WHERE NOT EXISTS (SELECT 1 FROM g_files f WHERE f.scope = s.scope AND f.id = s.file_id) UNION ALL SELECT 'edges.src', count(*) FROM g_edges s WHERE NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope = s.scope AND f.id = s.src) UNION ALL SELECT 'edges.dst', count(*) FROM g_edges s WHERE NOT EXISTS (SELECT 1 FROM g_symbols f WHERE f.scope IN (s.scope, 'shared') AND f.id = s.dst) UNION ALL SELECT 'annotations.symbol_id', 0 UNION ALL SELECT 'files repeated', 0 UNION ALL SELECT 'symbols repeated', 0 UNION ALL SELECT 'edges repeated', 0")
 def _(spark, d):
     return merge.integrity(from_driver(spark, d))
 
@@ -200,10 +200,10 @@ def _(spark, d):
     return ui.test_framework(from_driver(spark, d))
 
 
-@query("trace_binding", "SELECT e.scope, e.kind_name, s.fqn AS src_fqn, d.fqn AS dst_fqn, json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.path') AS path, 'matched' AS status, s.path AS src_path, s.start_line AS src_line FROM g_edges e JOIN located s ON s.scope = e.scope AND s.id = e.src JOIN g_symbols d ON d.id = e.dst WHERE e.kind_name = 'binds-path' AND contains(payload, 'Items[0]') ORDER BY s.path, s.start_line, s.fqn, d.fqn, path LIMIT 1000")
+@query("trace_binding", "SELECT e.scope, e.kind_name, s.fqn AS src_fqn, d.fqn AS dst_fqn, json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.path') AS path, 'not-found' AS status, s.path AS src_path, s.start_line AS src_line FROM resolved e JOIN named s ON s.scope = e.scope AND s.id = e.src LEFT JOIN named d ON d.scope = e.dst_scope AND d.id = e.dst WHERE e.kind_name = 'binds-path' AND contains(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.path'), 'Items')", "named AS (SELECT s.scope, s.id, s.canonical_key, s.fqn, s.start_line, f.path FROM g_symbols s LEFT JOIN g_files f ON f.scope = s.scope AND f.id = s.file_id)")
 def _(spark, d):
     t = from_driver(spark, d)
-    return ui.trace_binding(t, binding="Items[0]", limit=1000).filter("src_path is not null")
+    return ui.trace_binding(t, binding="Items", limit=None)
 
 
 @query("event_leaks", "SELECT DISTINCT scope, src, dst FROM g_edges e WHERE kind_name = 'calls' AND src % 2 = 0 AND dst % 2 = 0 AND NOT EXISTS (SELECT 1 FROM g_edges u WHERE u.kind_name = 'uses-type' AND u.scope = e.scope AND u.src = e.src AND u.dst = e.dst)")

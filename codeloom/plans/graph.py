@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import aggregate as agg
 from codeloom.operators import lookup, payload, search, trace, traversal
-from codeloom.tables import PROJECTION_SQL, GraphTables, from_driver
+from codeloom.tables import PROJECTION_SQL, GraphTables, stored
 from codeloom.views import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,17 +20,19 @@ NOW_MS = 1_767_225_600_000
 
 #: The most called symbol that has a file: the anchor that queries start from.
 _ANCHOR = """
-anchor AS (
-  SELECT s.scope, s.id, s.canonical_key, s.fqn, s.name, s.file_id, s.container_id, f.path FROM (SELECT dst, count(*) AS n FROM g_edges WHERE kind_name = 'calls' GROUP BY dst) e
-  JOIN g_symbols s ON s.id = e.dst JOIN g_files f ON f.scope = s.scope AND f.id = s.file_id ORDER BY n DESC, s.id LIMIT 1
+resolved AS (
+  SELECT e.*, CASE WHEN e.dst IN (SELECT id FROM g_symbols WHERE scope = 'shared') AND NOT EXISTS (SELECT 1 FROM g_symbols s WHERE s.scope = e.scope AND s.id = e.dst) THEN 'shared' ELSE e.scope END AS dst_scope FROM g_edges e
+), anchor AS (
+  SELECT s.scope, s.id, s.canonical_key, s.fqn, s.name, s.file_id, s.container_id, f.path FROM (SELECT dst_scope, dst, count(*) AS n FROM resolved WHERE kind_name = 'calls' GROUP BY ALL) e
+  JOIN g_symbols s ON s.scope = e.dst_scope AND s.id = e.dst JOIN g_files f ON f.scope = s.scope AND f.id = s.file_id ORDER BY n DESC, s.id, s.scope LIMIT 1
 ), located AS (SELECT s.*, f.path FROM g_symbols s JOIN g_files f ON f.scope = s.scope AND f.id = s.file_id),
-audit AS (SELECT * FROM g_edges e WHERE EXISTS (SELECT 1 FROM g_evidence v WHERE v.scope = e.scope AND v.src = e.src AND v.dst = e.dst AND v.kind_name = e.kind_name))"""
+audit AS (SELECT * FROM resolved e WHERE EXISTS (SELECT 1 FROM g_evidence v WHERE v.scope = e.scope AND v.src = e.src AND v.dst = e.dst AND v.kind_name = e.kind_name))"""
 
 
 def anchor(t: GraphTables) -> DataFrame:
     called = traversal_counts(t)
-    rows = lookup.located(t).join(called, "id")
-    return rows.orderBy(F.desc("in_degree"), "id").limit(1)
+    rows = lookup.located(t).join(called, ["scope", "id"])
+    return rows.orderBy(F.desc("in_degree"), "id", "scope").limit(1)
 
 
 def traversal_counts(t: GraphTables) -> DataFrame:
@@ -46,10 +48,10 @@ def query(name: str, sql: str | None = None, more: str = "", recursive: bool = F
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            t = from_driver(spark, sf_dir)
+            t = stored(spark, sf_dir)
             if build.__code__.co_argcount == 1:
                 return build(t)
-            return build(t, anchor(t).first())
+            return build(t, t.once("anchor", lambda: anchor(t).first()))
 
         QUERIES[name] = run
         if sql is not None:
@@ -129,7 +131,7 @@ def _(t, a):
     return lookup.list_members(t, box, "public")
 
 
-@query("find_references", "SELECT r.scope, r.id, r.symbol_id, f.path, r.line, r.col, r.kind FROM g_refs r JOIN g_files f ON f.scope = r.scope AND f.id = r.file_id WHERE r.symbol_id = (SELECT id FROM anchor) AND f.is_generated = 0 ORDER BY path, line, col, r.id LIMIT 50")
+@query("find_references", "SELECT r.scope, r.id, r.symbol_id, f.path, r.line, r.col, r.kind FROM g_refs r JOIN g_files f ON f.scope = r.scope AND f.id = r.file_id WHERE r.symbol_id = (SELECT id FROM anchor) AND r.scope = (SELECT scope FROM anchor) AND f.is_generated = 0 ORDER BY path, line, col, r.id, r.scope LIMIT 50")
 def _(t, a):
     return lookup.find_references(t, node(t, a))
 
@@ -173,7 +175,7 @@ def _(t):
     return lookup.outgoing_state(t)
 
 
-@query("list_tests_for", "SELECT l.scope, l.id, l.fqn, l.test_framework, false AS direct, l.path, l.start_line FROM located l WHERE EXISTS (SELECT 1 FROM g_edges e WHERE e.scope = l.scope AND e.src = l.id AND e.kind_name = 'calls' AND e.dst = (SELECT id FROM anchor)) AND test_framework IS NOT NULL ORDER BY path, start_line, id LIMIT 50")
+@query("list_tests_for", "SELECT l.scope, l.id, l.fqn, l.test_framework, false AS direct, l.path, l.start_line FROM located l WHERE EXISTS (SELECT 1 FROM g_edges e WHERE e.scope = l.scope AND e.src = l.id AND e.kind_name = 'calls' AND e.dst = (SELECT id FROM anchor) AND e.scope = (SELECT scope FROM anchor)) AND test_framework IS NOT NULL ORDER BY path, start_line, id LIMIT 50")
 def _(t, a):
     return lookup.list_tests_for(t, node(t, a), indirect=True)
 
@@ -194,13 +196,13 @@ def _(t):
     return lookup.history_of(t, t.symbols.filter("kind_name = 'class'").select("scope", F.col("id").alias("symbol_id")))
 
 
-@query("edge_evidence_of", "SELECT scope, src, dst, kind_name, id, file_path, start_line, confidence, producer FROM g_evidence WHERE dst = (SELECT id FROM anchor) QUALIFY row_number() OVER (PARTITION BY scope, src, dst, kind_name ORDER BY file_path, start_line, start_col, id) <= 20")
+@query("edge_evidence_of", "SELECT scope, src, dst, kind_name, id, file_path, start_line, confidence, producer FROM g_evidence WHERE dst = (SELECT id FROM anchor) AND scope = (SELECT scope FROM anchor) QUALIFY row_number() OVER (PARTITION BY scope, src, dst, kind_name ORDER BY file_path, start_line, start_col, id) <= 20")
 def _(t, a):
-    rows = lookup.edge_evidence(t, t.edges.filter(F.col("dst") == a["id"]), 20)
+    rows = lookup.edge_evidence(t, t.edges.filter((F.col("dst") == a["id"]) & (F.col("scope") == a["scope"])), 20)
     return rows.select("scope", "src", "dst", "kind_name", "id", "file_path", "start_line", "confidence", "producer")
 
 
-@query("symbol_card", "SELECT l.scope, l.id, l.canonical_key, l.fqn, l.kind_name, l.signature, l.path, l.start_line, (SELECT count(*) FROM g_edges e WHERE e.dst = l.id AND kind_name = 'calls') AS n_callers, (SELECT count(*) FROM g_edges e WHERE e.src = l.id AND kind_name = 'calls') AS n_callees, (SELECT count(*) FROM g_refs r WHERE r.symbol_id = l.id) AS n_references, (SELECT count(*) FROM g_symbols m WHERE m.container_id = l.id) AS n_members FROM located l WHERE l.canonical_key = (SELECT canonical_key FROM anchor)")
+@query("symbol_card", "SELECT l.scope, l.id, l.canonical_key, l.fqn, l.kind_name, l.signature, l.path, l.start_line, (SELECT count(*) FROM g_edges e WHERE e.scope = l.scope AND e.dst = l.id AND kind_name = 'calls') AS n_callers, (SELECT count(*) FROM g_edges e WHERE e.scope = l.scope AND e.src = l.id AND kind_name = 'calls') AS n_callees, (SELECT count(*) FROM g_refs r WHERE r.scope = l.scope AND r.symbol_id = l.id) AS n_references, (SELECT count(*) FROM g_symbols m WHERE m.scope = l.scope AND m.container_id = l.id) AS n_members FROM located l WHERE l.canonical_key = (SELECT canonical_key FROM anchor)")
 def _(t, a):
     return lookup.symbol_card(t, a["canonical_key"])
 
@@ -208,11 +210,11 @@ def _(t, a):
 # ---- payloads
 
 _VALID = "CASE WHEN json_valid(payload) THEN payload END"
-_BIND = f"""bind AS (SELECT *, json_extract_string({_VALID}, '$.path') AS path, json_extract_string({_VALID}, '$.mode') AS mode, json_extract_string({_VALID}, '$.converter') AS converter FROM g_edges WHERE kind_name = 'binds-path'),
+_BIND = f"""bind AS (SELECT *, json_extract_string({_VALID}, '$.path') AS path, json_extract_string({_VALID}, '$.mode') AS mode, json_extract_string({_VALID}, '$.converter') AS converter FROM resolved WHERE kind_name = 'binds-path'),
 named AS (SELECT s.scope, s.id, s.canonical_key, s.fqn, s.start_line, f.path FROM g_symbols s LEFT JOIN g_files f ON f.scope = s.scope AND f.id = s.file_id)"""
 
 
-@query("find_data_bindings", "SELECT b.scope, s.fqn AS src_fqn, d.fqn AS dst_fqn, b.path, b.mode, b.converter, s.path AS src_path, s.start_line AS src_line FROM bind b JOIN named s ON s.scope = b.scope AND s.id = b.src JOIN named d ON d.id = b.dst WHERE instr(b.path, 'Items') > 0 AND b.mode = 'TwoWay' ORDER BY s.path NULLS FIRST, s.start_line NULLS FIRST, s.fqn, d.fqn, b.src, b.dst LIMIT 50", _BIND)
+@query("find_data_bindings", "SELECT b.scope, s.fqn AS src_fqn, d.fqn AS dst_fqn, b.path, b.mode, b.converter, s.path AS src_path, s.start_line AS src_line FROM bind b JOIN named s ON s.scope = b.scope AND s.id = b.src JOIN named d ON d.scope = b.dst_scope AND d.id = b.dst WHERE instr(b.path, 'Items') > 0 AND b.mode = 'TwoWay' ORDER BY s.path NULLS FIRST, s.start_line NULLS FIRST, s.fqn, d.fqn, b.src, b.dst LIMIT 50", _BIND)
 def _(t):
     return payload.find_data_bindings(t, path="Items", mode="TwoWay")
 
@@ -222,19 +224,19 @@ def _(t):
     return payload.payload_keys(t)
 
 
-@query("two_sided_edges", "SELECT e.scope, e.kind_name, s.fqn AS src_fqn, d.fqn AS dst_fqn, s.path AS src_path, d.path AS dst_path FROM g_edges e JOIN named s ON s.scope = e.scope AND s.id = e.src JOIN named d ON d.id = e.dst WHERE e.kind_name = 'inherits'", _BIND)
+@query("two_sided_edges", "SELECT e.scope, e.kind_name, s.fqn AS src_fqn, d.fqn AS dst_fqn, s.path AS src_path, d.path AS dst_path FROM resolved e JOIN named s ON s.scope = e.scope AND s.id = e.src JOIN named d ON d.scope = e.dst_scope AND d.id = e.dst WHERE e.kind_name = 'inherits'", _BIND)
 def _(t):
     return payload.two_sided(t, t.edges.filter("kind_name = 'inherits'")).select("scope", "kind_name", "src_fqn", "dst_fqn", "src_path", "dst_path")
 
 
 # ---- aggregates
 
-@query("module_summary", "SELECT l.scope, l.id, l.fqn, l.kind_name, l.path, coalesce(n, 0) AS in_degree FROM located l LEFT JOIN (SELECT dst, count(*) AS n FROM g_edges WHERE kind_name = 'calls' GROUP BY dst) c ON c.dst = l.id WHERE l.fqn = p() OR l.fqn ILIKE p() || '.%' OR contains(l.path, p()) ORDER BY in_degree DESC, length(fqn), fqn, l.id LIMIT 25".replace("p()", "(SELECT split_part(fqn, '.', 1) FROM anchor)"))
+@query("module_summary", "SELECT l.scope, l.id, l.fqn, l.kind_name, l.path, coalesce(n, 0) AS in_degree FROM located l LEFT JOIN (SELECT dst_scope, dst, count(*) AS n FROM resolved WHERE kind_name = 'calls' GROUP BY ALL) c ON c.dst_scope = l.scope AND c.dst = l.id WHERE l.fqn = p() OR l.fqn ILIKE p() || '.%' OR contains(l.path, p()) ORDER BY in_degree DESC, length(fqn), fqn, l.id, l.scope LIMIT 25".replace("p()", "(SELECT split_part(fqn, '.', 1) FROM anchor)"))
 def _(t, a):
     return agg.module_summary(t, a["fqn"].split(".")[0])
 
 
-@query("in_degrees", "SELECT dst, count(*) AS in_degree FROM g_edges WHERE kind_name = 'calls' GROUP BY dst")
+@query("in_degrees", "SELECT dst_scope AS scope, dst, count(*) AS in_degree FROM resolved WHERE kind_name = 'calls' GROUP BY ALL")
 def _(t):
     return agg.in_degrees(t)
 
@@ -306,7 +308,7 @@ def _(t):
 
 # ---- traversal
 
-_ADJ = "SELECT e.scope, e.src, e.dst, e.kind_name, l.fqn, l.kind_name AS symbol_kind, l.path, l.start_line FROM {edges} e JOIN located l ON l.id = e.{far} WHERE e.{near} = (SELECT id FROM anchor) AND e.kind_name = 'calls' ORDER BY e.kind_name, path, start_line, e.src, e.dst LIMIT {n}"
+_ADJ = "SELECT e.scope, e.src, e.dst, e.kind_name, l.fqn, l.kind_name AS symbol_kind, l.path, l.start_line FROM {edges} e JOIN located l ON l.scope = e.scope AND l.id = e.{far} WHERE e.{near} = (SELECT id FROM anchor) AND e.scope = (SELECT scope FROM anchor) AND e.kind_name = 'calls' ORDER BY e.kind_name, path, start_line, e.src, e.dst, e.scope LIMIT {n}"
 
 
 @query("list_callers", _ADJ.format(edges="g_edges", far="src", near="dst", n=50))
@@ -324,32 +326,32 @@ def _(t, a):
     return traversal.adjacent(t, node(t, a), "calls", evidence=True, limit=1000)
 
 
-@query("callers_with_evidence", "SELECT c.*, (SELECT max(confidence) FROM g_evidence v WHERE v.scope = c.scope AND v.src = c.src AND v.dst = c.dst AND v.kind_name = c.kind_name) AS confidence, (SELECT count(*) FROM g_evidence v WHERE v.scope = c.scope AND v.src = c.src AND v.dst = c.dst AND v.kind_name = c.kind_name) AS n_evidence FROM (" + _ADJ.format(edges="audit", far="src", near="dst", n=50) + ") c")
+@query("callers_with_evidence", "SELECT c.*, (SELECT max(confidence) FROM g_evidence v WHERE v.scope = c.scope AND v.src = c.src AND v.dst = c.dst AND v.kind_name = c.kind_name) AS confidence, (SELECT least(count(*), 20) FROM g_evidence v WHERE v.scope = c.scope AND v.src = c.src AND v.dst = c.dst AND v.kind_name = c.kind_name) AS n_evidence, (SELECT count(*) FROM g_evidence v WHERE v.scope = c.scope AND v.src = c.src AND v.dst = c.dst AND v.kind_name = c.kind_name) > 20 AS truncated_evidence FROM (" + _ADJ.format(edges="audit", far="src", near="dst", n=50) + ") c")
 def _(t, a):
     return traversal.list_calls(t, node(t, a)).withColumn("n_evidence", F.size("evidence").cast("long")).drop("evidence")
 
 
-@query("find_implementations", "SELECT * FROM (SELECT e.scope, e.src, e.dst, e.kind_name, l.fqn, l.kind_name AS symbol_kind, l.path, l.start_line, l.signature FROM g_edges e JOIN located l ON l.id = e.src WHERE e.dst IN (SELECT dst FROM g_edges WHERE kind_name = 'inherits' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) AND e.kind_name = 'inherits' ORDER BY e.kind_name, path, start_line, e.src, e.dst LIMIT 50) WHERE NOT contains(coalesce(signature, ''), 'abstract')")
+@query("find_implementations", "SELECT * FROM (SELECT e.scope, e.src, e.dst, e.kind_name, l.fqn, l.kind_name AS symbol_kind, l.path, l.start_line, l.signature FROM resolved e JOIN located l ON l.scope = e.scope AND l.id = e.src WHERE (e.dst_scope, e.dst) IN (SELECT (dst_scope, dst) FROM resolved WHERE kind_name = 'inherits' GROUP BY dst_scope, dst ORDER BY count(*) DESC, dst, dst_scope LIMIT 1) AND e.kind_name = 'inherits' ORDER BY e.kind_name, path, start_line, e.src, e.dst, e.scope LIMIT 50) WHERE NOT contains(coalesce(signature, ''), 'abstract')")
 def _(t):
-    base = t.edges.filter("kind_name = 'inherits'").groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1)
+    base = agg.in_degrees(t, "inherits").orderBy(F.desc("in_degree"), "dst", "scope").limit(1).select("scope", F.col("dst").alias("id"))
     rows = traversal.find_implementations(t, base, "inherits")
-    return rows.join(t.symbols.select(F.col("id").alias("src"), "signature"), "src", "left")
+    return rows.join(t.symbols.select("scope", F.col("id").alias("src"), "signature"), ["scope", "src"], "left")
 
 
-@query("neighborhood", " UNION ALL ".join("SELECT *, '" + d + "' AS direction FROM (SELECT e.scope, e.src, e.dst, e.kind_name, l.fqn, l.kind_name AS symbol_kind, l.path, l.start_line FROM g_edges e JOIN located l ON l.id = e." + far + " WHERE e." + near + " = (SELECT id FROM anchor) ORDER BY e.kind_name, path, start_line, e.src, e.dst LIMIT 20)" for d, far, near in (("in", "src", "dst"), ("out", "dst", "src"))))
+@query("neighborhood", " UNION ALL ".join("SELECT *, '" + d + "' AS direction FROM (SELECT e.scope, e.src, e.dst, e.kind_name, l.fqn, l.kind_name AS symbol_kind, l.path, l.start_line FROM g_edges e JOIN located l ON l.scope = e.scope AND l.id = e." + far + " WHERE e." + near + " = (SELECT id FROM anchor) AND e.scope = (SELECT scope FROM anchor) ORDER BY e.kind_name, path, start_line, e.src, e.dst, e.scope LIMIT 20)" for d, far, near in (("in", "src", "dst"), ("out", "dst", "src"))))
 def _(t, a):
     return traversal.neighborhood(t, node(t, a))
 
 
-_LEVELS = """up(id, depth) AS (SELECT DISTINCT src, 1 FROM {edges} WHERE kind_name = 'calls' AND dst = (SELECT id FROM anchor) UNION SELECT e.src, u.depth + 1 FROM {edges} e JOIN up u ON e.dst = u.id WHERE e.kind_name = 'calls' AND u.depth < 4)"""
+_LEVELS = """up(scope, id, depth) AS (SELECT DISTINCT scope, src, 1 FROM {edges} WHERE kind_name = 'calls' AND dst = (SELECT id FROM anchor) AND dst_scope = (SELECT scope FROM anchor) UNION SELECT e.scope, e.src, u.depth + 1 FROM {edges} e JOIN up u ON e.dst_scope = u.scope AND e.dst = u.id WHERE e.kind_name = 'calls' AND u.depth < 4)"""
 
 
-@query("impact_levels", "SELECT id, min(depth) AS depth FROM up GROUP BY id", _LEVELS.format(edges="g_edges"), recursive=True)
+@query("impact_levels", "SELECT scope, id, min(depth) AS depth FROM up GROUP BY scope, id", _LEVELS.format(edges="resolved"), recursive=True)
 def _(t, a):
     return traversal.impact_levels(t, node(t, a), "calls", 4)
 
 
-@query("impact_levels_audited", "SELECT id, min(depth) AS depth FROM up GROUP BY id", _LEVELS.format(edges="audit"), recursive=True)
+@query("impact_levels_audited", "SELECT scope, id, min(depth) AS depth FROM up GROUP BY scope, id", _LEVELS.format(edges="audit"), recursive=True)
 def _(t, a):
     return traversal.impact_levels(t, node(t, a), "calls", 4, evidence=True)
 
@@ -359,53 +361,41 @@ def _(t, a):
     return traversal.impact_of_change(t, node(t, a), "calls", 4, 100)
 
 
-_CLOSURE = "links AS (SELECT DISTINCT src AS id, dst AS base FROM g_edges WHERE kind_name = 'inherits'), up(id, base, depth) AS (SELECT id, base, 1 FROM links UNION SELECT u.id, l.base, u.depth + 1 FROM up u JOIN links l ON l.id = u.base WHERE u.depth < 6)"
+_CLOSURE = "links AS (SELECT DISTINCT scope, src AS id, dst_scope AS base_scope, dst AS base FROM resolved WHERE kind_name = 'inherits'), up(scope, id, base_scope, base) AS (SELECT * FROM links UNION SELECT u.scope, u.id, l.base_scope, l.base FROM up u JOIN links l ON l.scope = u.base_scope AND l.id = u.base)"
 
 
-@query("inheritance_closure", "SELECT id, base, min(depth) AS depth FROM up GROUP BY id, base", _CLOSURE, recursive=True)
+@query("inheritance_closure", "SELECT * FROM up", _CLOSURE, recursive=True)
 def _(t):
-    return traversal.ancestors_by_relation(t, "inherits", 6)
+    return traversal.ancestors_by_relation(t, "inherits").drop("depth")
 
 
 # ---- path tracing
 
-_HOPS = "hops AS (SELECT a.src, a.dst, a.kind_name, max(v.confidence) AS confidence FROM audit a JOIN g_evidence v ON v.scope = a.scope AND v.src = a.src AND v.dst = a.dst AND v.kind_name = a.kind_name GROUP BY ALL)"
-_PATHS = _HOPS + ", walk(at, path_ids, kinds, confidence, n) AS (SELECT dst, [src, dst], [kind_name], confidence, 1 FROM hops WHERE kind_name = 'calls' AND src <> dst AND src IN (SELECT src FROM starts) UNION ALL SELECT h.dst, list_append(w.path_ids, h.dst), list_append(w.kinds, h.kind_name), least(w.confidence, h.confidence), w.n + 1 FROM walk w JOIN hops h ON h.src = w.at WHERE h.kind_name = 'calls' AND w.n < 4 AND NOT list_contains(w.path_ids, h.dst) AND w.at <> (SELECT id FROM anchor))"
-_STARTS = "starts AS (SELECT DISTINCT src FROM audit WHERE kind_name = 'calls' AND src <> (SELECT id FROM anchor) ORDER BY src LIMIT 40),"
-
-
-def _starts(t, a):
-    return traversal.auditable(t, ["calls"]).select(F.col("src").alias("id")).filter(F.col("id") != a["id"]).distinct().orderBy("id").limit(40)
+_HOPS = "hops AS (SELECT a.scope, a.src, a.dst_scope, a.dst, a.kind_name, a.scope || '/' || a.src AS a, a.dst_scope || '/' || a.dst AS b, max(v.confidence) AS confidence FROM audit a JOIN g_evidence v ON v.scope = a.scope AND v.src = a.src AND v.dst = a.dst AND v.kind_name = a.kind_name GROUP BY ALL)"
+_SHOWN = "list_aggregate(path_ids, 'string_agg', '>') AS path, list_aggregate(kinds, 'string_agg', '>') AS kinds, confidence, n AS n_hops"
 
 
 def _shown():
     return [F.concat_ws(">", F.transform("path_ids", lambda x: x.cast("string"))).alias("path"), F.concat_ws(">", "kinds").alias("kinds"), "confidence", "n_hops", "ends_at"]
 
 
-@query("trace_call_path", "SELECT list_aggregate(path_ids, 'string_agg', '>') AS path, list_aggregate(kinds, 'string_agg', '>') AS kinds, confidence, n AS n_hops, at AS ends_at FROM walk WHERE at = (SELECT id FROM anchor)".replace(" at ", ' "at" ').replace("WHERE at", 'WHERE "at"'), (_STARTS + _PATHS).replace("walk(at,", 'walk("at",').replace("w.at", 'w."at"'), recursive=True)
-def _(t, a):
-    done = trace.trace_paths(t, _starts(t, a), node(t, a), trace.relation("calls"), max_depth=4, max_paths=25_000, max_nodes=100_000)
-    return done.paths.select(*_shown())
-
-
-_INTO = _HOPS + """, back(head, path_ids, kinds, confidence, n) AS (SELECT src, [src, dst], [kind_name], confidence, 1 FROM hops WHERE kind_name = 'calls' AND src <> dst AND dst = (SELECT id FROM anchor)
-UNION ALL SELECT h.src, list_prepend(h.src, b.path_ids), list_prepend(h.kind_name, b.kinds), least(b.confidence, h.confidence), b.n + 1 FROM back b JOIN hops h ON h.dst = b.head WHERE h.kind_name = 'calls' AND b.n < 8 AND NOT list_contains(b.path_ids, h.src))"""
+_INTO = _HOPS + """, back(head, nodes, path_ids, kinds, confidence, n) AS (SELECT a, [a, b], [src, dst], [kind_name], confidence, 1 FROM hops WHERE kind_name = 'calls' AND a <> b AND b = (SELECT scope || '/' || id FROM anchor)
+UNION ALL SELECT h.a, list_prepend(h.a, k.nodes), list_prepend(h.src, k.path_ids), list_prepend(h.kind_name, k.kinds), least(k.confidence, h.confidence), k.n + 1 FROM back k JOIN hops h ON h.b = k.head WHERE h.kind_name = 'calls' AND k.n < 8 AND NOT list_contains(k.nodes, h.a))"""
 
 
-@query("trace_call_path_all", "SELECT list_aggregate(path_ids, 'string_agg', '>') AS path, list_aggregate(kinds, 'string_agg', '>') AS kinds, confidence, n AS n_hops, (SELECT id FROM anchor) AS ends_at FROM back", _INTO, recursive=True)
+@query("trace_call_path", f"SELECT {_SHOWN}, (SELECT id FROM anchor) AS ends_at FROM back", _INTO, recursive=True)
 def _(t, a):
-    callers = traversal.auditable(t, ["calls"]).select(F.col("src").alias("id"))
+    callers = traversal.auditable(t, ["calls"]).select("scope", F.col("src").alias("id"))
     return trace.paths_into(t, callers, node(t, a), "calls").select(*_shown())
 
 
 _FLOW = trace.Automaton("bound", "typed", (("bound", "binds-path", "entry"), ("entry", "calls", "code"), ("code", "calls", "code"), ("code", "uses-type", "typed")))
 _FLOW_SQL = _HOPS + """, moves(state, kind_name, next_state) AS (VALUES ('bound', 'binds-path', 'entry'), ('entry', 'calls', 'code'), ('code', 'calls', 'code'), ('code', 'uses-type', 'typed')),
-begin AS (SELECT DISTINCT src FROM audit WHERE kind_name = 'binds-path'),
-walk(spot, state, path_ids, kinds, confidence, n) AS (SELECT h.dst, m.next_state, [h.src, h.dst], [h.kind_name], h.confidence, 1 FROM hops h JOIN moves m ON m.kind_name = h.kind_name AND m.state = 'bound' WHERE h.src <> h.dst AND h.src IN (SELECT src FROM begin)
-UNION ALL SELECT h.dst, m.next_state, list_append(w.path_ids, h.dst), list_append(w.kinds, h.kind_name), least(w.confidence, h.confidence), w.n + 1 FROM walk w JOIN hops h ON h.src = w.spot JOIN moves m ON m.kind_name = h.kind_name AND m.state = w.state WHERE w.n < 4 AND NOT list_contains(w.path_ids, h.dst))"""
+walk(spot, state, nodes, path_ids, kinds, confidence, n, ends_at) AS (SELECT h.b, m.next_state, [h.a, h.b], [h.src, h.dst], [h.kind_name], h.confidence, 1, h.dst FROM hops h JOIN moves m ON m.kind_name = h.kind_name AND m.state = 'bound' WHERE h.a <> h.b
+UNION ALL SELECT h.b, m.next_state, list_append(w.nodes, h.b), list_append(w.path_ids, h.dst), list_append(w.kinds, h.kind_name), least(w.confidence, h.confidence), w.n + 1, h.dst FROM walk w JOIN hops h ON h.a = w.spot JOIN moves m ON m.kind_name = h.kind_name AND m.state = w.state WHERE w.n < 8 AND NOT list_contains(w.nodes, h.b))"""
 
 
-@query("trace_automaton", "SELECT list_aggregate(path_ids, 'string_agg', '>') AS path, list_aggregate(kinds, 'string_agg', '>') AS kinds, confidence, n AS n_hops, spot AS ends_at FROM walk WHERE state = 'typed'", _FLOW_SQL, recursive=True)
+@query("trace_automaton", f"SELECT {_SHOWN}, ends_at FROM walk WHERE state = 'typed'", _FLOW_SQL, recursive=True)
 def _(t):
-    starts = traversal.auditable(t, ["binds-path"]).select(F.col("src").alias("id")).distinct()
-    return trace.every_path(t, starts, _FLOW, max_depth=4).select(*_shown())
+    starts = traversal.auditable(t, ["binds-path"]).select("scope", F.col("src").alias("id")).distinct()
+    return trace.every_path(t, starts, _FLOW, max_depth=8).select(*_shown())

@@ -16,14 +16,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only where none is named (tests), a local one."""
+    """Use the shared folder the cluster names; only on one machine (tests) a local one if none is named."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder in the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the checkpoint folder: later readers survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

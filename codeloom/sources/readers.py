@@ -6,6 +6,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders and endings that are never read (fixed values).
-PRIVATE_FOLDERS = (".git", ".ssh", ".aws", ".azure", ".gnupg", ".vs", "node_modules", "bin", "obj")
-PRIVATE_ENDINGS = (".pfx", ".pem", ".key", ".p12", ".snk", ".env", ".kdbx")
+PRIVATE_FOLDERS = ("bin", "obj", ".vs", "Debug", "Release", "Images", "PatientData", "Database", "Logs", ".git", ".sourcegraph", "node_modules")
+PRIVATE_ENDINGS = (".dcm", ".jpg", ".jpeg", ".png")
+#: Files of a tree that one walk takes.
+WALK_FILES = 50_000
 
 
 def allowed_path(column: str = "path") -> Column:
@@ -24,12 +27,46 @@ def allowed_path(column: str = "path") -> Column:
     return ~F.col(column).rlike(folders) & ~F.col(column).rlike(endings)
 
 
-def walk_tree(spark: SparkSession, root: str, scope: str, pattern: str = "*") -> DataFrame:
-    """(scope, path, size, modified, content_sha256) of a tree's allowed files."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Read files in pieces and append their SHA-256."""
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for uri in batch["uri"].to_pylist():
+            system, path = fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(path) as stream:
+                while piece := stream.read(1 << 20):
+                    digest.update(piece)
+            out.append(digest.digest())
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("scope", "path", "size", "modified")], pa.array(out, pa.binary())], ["scope", "path", "size", "modified", "content_sha256"])
+
+
+@dataclass(frozen=True)
+class Walk:
+    """files: scope, path, size, modified, content_sha256.  A partial walk met more files than it may
+    take, so that a file it lacks isn't known to be gone."""
+
+    files: DataFrame
+    partial: bool
+
+
+def walk(spark: SparkSession, root: str, scope: str, pattern: str = "*", most: int = WALK_FILES) -> Walk:
+    """Walk a tree.  Paths are judged before any content is read: the listing asks for no content, and
+    only allowed files are opened."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rows = rows.withColumn("path", path).filter(allowed_path())
-    return rows.select(F.lit(scope).alias("scope"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.unhex(F.sha2("content", 256)).alias("content_sha256"))
+    rows = rows.select(F.lit(scope).alias("scope"), F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.regexp_replace("path", "^file:/+", "file:///").alias("uri"))
+    inside = F.substring("path", F.length(F.lit(root.rstrip("/"))) + 1, 1 << 20) if root.startswith("/") else F.col("path")
+    allowed = rows.withColumn("_inside", inside).filter(allowed_path("_inside")).drop("_inside")
+    partial = allowed.limit(most + 1).count() > most
+    few = allowed.orderBy("path").limit(most) if partial else allowed
+    return Walk(few.mapInArrow(_digests, "scope string, path string, size long, modified timestamp, content_sha256 binary"), partial)
+
+
+def walk_tree(spark: SparkSession, root: str, scope: str, pattern: str = "*") -> DataFrame:
+    """(scope, path, size, modified, content_sha256) of all allowed files of a tree."""
+    return walk(spark, root, scope, pattern, 1 << 30).files
 
 
 _BLAME_HEAD = re.compile(r"^([0-9a-f]{40}) (\d+) (\d+)(?: \d+)?$")
@@ -63,7 +100,8 @@ def parse_blame(texts: DataFrame) -> DataFrame:
 
 
 def pe_exports(content: bytes | None, most: int = 65_536) -> list[str]:
-    """Exported names of a portable executable; empty for anything else or damaged tables."""
+    """Exported names of a portable executable; empty for anything else or damaged tables.  A table of
+    more than ``most`` names is an OverflowError."""
     try:
         if content is None or content[:2] != b"MZ":
             return []
@@ -86,7 +124,7 @@ def pe_exports(content: bytes | None, most: int = 65_536) -> list[str]:
             return []
         count, names = struct.unpack_from("<I", content, at(rva) + 24)[0], struct.unpack_from("<I", content, at(rva) + 32)[0]
         if count > most:
-            return []
+            raise OverflowError(f"more than {most} exported names")
         out = []
         for k in range(count):
             start = at(struct.unpack_from("<I", content, at(names) + 4 * k)[0])
@@ -97,15 +135,21 @@ def pe_exports(content: bytes | None, most: int = 65_536) -> list[str]:
 
 
 def read_exports(spark: SparkSession, root: str) -> DataFrame:
-    """(path, export_name) of all libraries below a folder."""
+    """(path, export_name, problem) of all libraries below a folder; a library with too many names is
+    one row with a problem and no name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, n) for p, c in zip(b["path"].to_pylist(), b["content"].to_pylist()) for n in pe_exports(c)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[], []])], ["path", "export_name"])
+            rows = []
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
+                try:
+                    rows += [(path, name, None) for name in pe_exports(content)]
+                except OverflowError as problem:
+                    rows.append((path, None, str(problem)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[], [], []])], ["path", "export_name", "problem"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "content").mapInArrow(run, "path string, export_name string")
+    return files.select("path", "content").mapInArrow(run, "path string, export_name string, problem string")
 
 
 def read_scope_file(spark: SparkSession, path: str) -> DataFrame:

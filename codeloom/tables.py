@@ -1,13 +1,15 @@
 """The relational fact model of a code graph, as a bundle of lazy DataFrames.
 
-``scope`` is a plain column of every table; ids are unique across scopes in the driver's tables, and
-joins carry the scope where a table may repeat ids.  ``from_driver`` projects the bundle from the
+``scope`` is a plain column of every table.  Ids are unique only within a scope, so joins carry the
+scope; symbols of the scope SHARED are seen from all (``operators.scoped``).  ``from_driver`` projects the bundle from the
 driver's tables: facts that they hold are cleaned to their live state, facts that they lack
 (evidence, annotations, diagnostics, history) are derived from them by fixed rules.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import normal_kind
-from codeloom.session import read_table
+from codeloom.session import read_table, shared_folder
 
+#: The scope of symbols that are seen from every scope.
+SHARED = "shared"
 #: DDL of each table of the model.
 SCHEMAS = {
     "files": "scope string, id long, path string, content_sha256 binary, last_indexed_at long, is_generated int",
@@ -59,7 +63,8 @@ class GraphTables:
 
     def restrict(self, scope_ids) -> GraphTables:
         """Only rows of these scopes (a pushed-down filter; partition pruning on stored tables)."""
-        kept = {n: getattr(self, n).filter(F.col("scope").isin(list(scope_ids))) for n in SCHEMAS if n != "scopes"}
+        scope_ids = list(scope_ids)
+        kept = {n: getattr(self, n).filter(F.col("scope").isin(scope_ids)) for n in SCHEMAS if n != "scopes"}
         return self.with_tables(**kept, scopes=self.scopes.filter(F.col("id").isin(list(scope_ids))))
 
 
@@ -68,14 +73,18 @@ def empty_tables(spark: SparkSession, **given: DataFrame) -> GraphTables:
     return GraphTables(**{n: given.get(n) if given.get(n) is not None else spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
 
 
-def load_tables(spark: SparkSession, path: str) -> GraphTables:
-    """A bundle stored by table under ``path``; tables that are missing there are empty."""
+def load_tables(spark: SparkSession, path: str, whole: bool = False) -> GraphTables:
+    """A bundle stored by table under ``path``; tables that are missing there are empty, or with
+    ``whole`` an error.  A folder that doesn't exist is an error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise FileNotFoundError(path)
     tables = {}
     for name, schema in SCHEMAS.items():
         try:
             tables[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
         except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing):
+            if whole or "PATH_NOT_FOUND" not in str(missing):
                 raise
             tables[name] = spark.createDataFrame([], schema)
     return GraphTables(**tables)
@@ -102,7 +111,7 @@ def _live_symbols(raw: DataFrame, shared: DataFrame) -> DataFrame:
     own = rows.groupBy(F.col("scope_id").alias("scope"), "id").agg(F.max_by(F.struct(*columns, "added_at"), order).alias("r")).select("scope", "id", "r.*")
     none = {"file_id": "long", "start_line": "int", "start_col": "int", "end_line": "int", "end_col": "int", "container_id": "long", "modifiers": "string", "test_framework": "string"}
     common = shared.select(
-        F.lit("shared").alias("scope"), "id", *[F.lit(None).cast(none[c]).alias(c) if c in none else F.col(c) for c in columns], F.lit(None).cast("timestamp_ntz").alias("added_at")
+        F.lit(SHARED).alias("scope"), "id", *[F.lit(None).cast(none[c]).alias(c) if c in none else F.col(c) for c in columns], F.lit(None).cast("timestamp_ntz").alias("added_at")
     )
     return own.unionByName(common)
 
@@ -182,6 +191,69 @@ def from_driver(spark: SparkSession, sf_dir: str) -> GraphTables:
     )
 
 
+class StoredTables:
+    """A bundle whose tables are written to a folder at their first use and read from there after;
+    answers as ``GraphTables`` does."""
+
+    def __init__(self, spark: SparkSession, folder: str, source: GraphTables):
+        self._spark, self._folder, self._source = spark, folder, source
+        self._read: dict[str, DataFrame] = {}
+        self._kept: dict[str, object] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in SCHEMAS:
+            raise AttributeError(name)
+        if name not in self._read:
+            self._read[name] = self._load(name)
+        return self._read[name]
+
+    def _load(self, name: str) -> DataFrame:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path
+        target, fresh = path(f"{self._folder}/{name}"), path(f"{self._folder}/.{name}-{uuid.uuid4().hex}")
+        fs = target.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        frame = getattr(self._source, name)
+        if not fs.exists(target):
+            frame.write.parquet(fresh.toString())
+            if not fs.rename(fresh, target) and not fs.exists(target):
+                raise RuntimeError(f"{target} couldn't be written")
+        return self._spark.read.schema(frame.schema).parquet(target.toString())
+
+    def once(self, name: str, find):
+        """A small fact about the tables that is found once."""
+        if name not in self._kept:
+            self._kept[name] = find()
+        return self._kept[name]
+
+    def _bundle(self) -> GraphTables:
+        return GraphTables(**{n: getattr(self, n) for n in SCHEMAS})
+
+    def with_tables(self, **changed: DataFrame) -> GraphTables:
+        return self._bundle().with_tables(**changed)
+
+    def restrict(self, scope_ids) -> GraphTables:
+        return self._bundle().restrict(scope_ids)
+
+
+_STORED: dict[str, StoredTables] = {}
+SOURCES = ("files", "symbols", "shared_symbols", "edges", "refs", "scopes")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> StoredTables:
+    """The projection of the driver's tables, each of its tables written once to the shared folder and
+    read from there by all questions of the session.  Files that changed make a new projection."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    seen = [shared_folder(spark), sf_dir]
+    for name in SOURCES:
+        at = path(f"{sf_dir}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(at):
+            seen.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    key = hashlib.sha256("\n".join(seen).encode()).hexdigest()[:32]
+    if key not in _STORED or _STORED[key]._spark is not spark:
+        _STORED[key] = StoredTables(spark, f"{seen[0]}/model-{key}", from_driver(spark, sf_dir))
+    return _STORED[key]
+
+
 #: The same projection for the SQL side, as common table expressions.
 PROJECTION_SQL = """
 g_files AS (

@@ -68,7 +68,7 @@ def test_paths_into_targets_come_from_every_source(spark):
     t, ids = seed(spark, CALLS + many + chain, no_evidence={("K3", "A")})
     calls = [e for e in CALLS + many + chain if e[4] == "calls" and e[:2] != ("K3", "A")]
     for goals in ({"C"}, {"C", "K7"}):
-        found = trace.paths_into(t, t.symbols.select("id"), at(spark, *[ids[g] for g in goals])).collect()
+        found = trace.paths_into(t, t.symbols.select("scope", "id"), at(spark, *[ids[g] for g in goals])).collect()
         assert sorted(tuple(r.path_ids) for r in found) == sorted(tuple(ids[x] for x in p) for p in simple_paths(calls, goals, 8))
         assert all(r.n_hops == len(r.kinds) == len(r.path_ids) - 1 and r.ends_at == r.path_ids[-1] for r in found)
         weak = (ids["B"], ids["C"])
@@ -114,8 +114,8 @@ def test_find_definition_narrows_after_the_limit(spark):
     assert lookup.find_definition(t, "csharp:M:Ru").count() == 0  # an exact key never turns fuzzy
     with pytest.raises(ValueError):
         lookup.find_definition(t, "csharp:")
-    assert tools.call("find_symbol", t, query="run").count() == 3
-    assert tools.call("impact_analysis", t, symbol="App.Run").count() == 1
+    assert tools.call("find_symbol", t, scope="s", query="run").count() == 3
+    assert tools.call("impact_analysis", t, default="s", symbol="App.Run").count() == 1
 
 
 def test_keys_and_kinds():
@@ -149,7 +149,9 @@ def test_payload_values(spark):
     assert [(r.dst_fqn, r.mode) for r in payload.find_data_bindings(t, path="Items").collect()] == [("App.B", "TwoWay")]
     assert payload.find_data_bindings(t, path="items").count() == 0
     assert payload.has_payload_key(t, "binds-path", "mode") and not payload.has_payload_key(t, "calls", "mode")
-    assert ui.trace_binding(t, binding="Items").first().status == "matched"
+    assert ui.trace_binding(t, binding="Items").first().status == "not-found"
+    mark = spark.createDataFrame([("s", 1, ids["A"], "n", "n", ui.OUTCOME, '{"status":"Resolved"}', None)], SCHEMAS["annotations"])
+    assert {r.status for r in ui.trace_binding(t.with_tables(annotations=mark), element="A").collect()} == {"resolved"}
 
 
 def test_blame_takes_the_newest_line(spark):
@@ -167,7 +169,10 @@ def test_edges_and_evidence_merge(spark):
     assert [(r.src, r.dst, r.confidence, r.payload) for r in legacy] == [(ids["A"], ids["C"], 0, "p")]
     twice = merge.insert_edges(once, new, t.edge_evidence.limit(0))
     assert twice.edges.count() == once.edges.count() and twice.edge_evidence.count() == once.edge_evidence.count()
-    cleared = merge.clear_producer(once, "compiler")
+    cleared = merge.clear_producer(once, "compiler", scope="s")
+    assert merge.clear_producer(once, "compiler", scope="v").edge_evidence.count() == once.edge_evidence.count()
+    with pytest.raises(ValueError):
+        merge.clear_producer(once, "compiler")
     assert [(r.src, r.dst) for r in cleared.edges.collect()] == [(ids["A"], ids["C"])]
 
 
@@ -176,13 +181,15 @@ def test_replacing_twice_is_replacing_once(spark):
     row = ("s", "csharp:M:B", "csharp:M:D", "calls", 1, "/a.cs", 7, 1, 7, 9, 2, "x")
     schema = "scope string, src_key string, dst_key string, kind_name string, producing_file_id long, file_path string, start_line int, start_col int, end_line int, end_col int, confidence int, payload string"
     facts = spark.createDataFrame([row], schema)
-    once = merge.replace_producer(t, "rules", facts)
-    twice = merge.replace_producer(once, "rules", facts)
+    once = merge.replace_producer(t, "rules", facts, scope="s")
+    twice = merge.replace_producer(once, "rules", facts, scope="s")
     show = lambda x: sorted(tuple(r) for r in x.edges.collect())
     assert show(once) == show(twice) and ("s", ids["B"], ids["D"], "calls", "x") in show(once)
-    assert show(merge.replace_producer(once, "rules", facts.limit(0))) == show(t)
+    assert show(merge.replace_producer(once, "rules", facts.limit(0), scope="s")) == show(t)
+    with pytest.raises(merge.UnresolvedEndpoint):
+        merge.replace_producer(t, "rules", facts.withColumn("dst_key", F.lit("csharp:M:Nobody")), scope="s")
     with pytest.raises(merge.UnresolvedEndpoint):
-        merge.replace_producer(t, "rules", facts.withColumn("dst_key", F.lit("csharp:M:Nobody")))
+        merge.replace_producer(t, "rules", facts, scope="v")
 
 
 def test_deleting_a_file_cascades(spark):
@@ -218,6 +225,18 @@ def test_snapshots_move_a_pointer(spark, tmp_path):
     assert {r["check"]: r.n_rows for r in merge.integrity(store.read()).collect()}["edges.src"] == 1
     assert admin.repair_scope(store) == 3 and store.read().edges.count() == len(CALLS)
     assert admin.repair_scope(store, "rebuild") == 1 and store.current() == 1
+    assert store.publish(t) == 4 and store.read(2).edges.count() == len(CALLS) + 1  # no number is used again
+    with pytest.raises(FileNotFoundError):
+        store.read(99)
+    (tmp_path / "graph/pointers/000000000099.json").write_text('{"version":')  # a writer that died at its pointer
+    (tmp_path / "graph/v=7").mkdir()  # and one that died at its tables
+    assert store.current() == 4 and store.publish(t) == 8 and store.current() == 8
+    late = merge.SnapshotStore(spark, str(tmp_path / "graph"))
+    seen = late._pointer()
+    store.publish(t)
+    late._pointer = lambda: seen  # it read the pointer before the other published
+    with pytest.raises(RuntimeError):
+        late._point(max(store._pointers()) - 1, 1, {})
     save_tables(t, str(tmp_path / "plain"))
     assert load_tables(spark, str(tmp_path / "plain")).edges.count() == len(CALLS)
     changes, _ = admin.reconcile_drift(t, t.files.filter("id = 1").select("scope", "path", "content_sha256"), dry_run=True)
@@ -311,8 +330,15 @@ def test_hooks_and_tables(spark, tmp_path):
     hooks.add_tool("count", lambda t: aggregate.row_counts(t, ("edges",)))
     assert hooks.call("count", t).first().n_rows == 5
     hooks.analyzers["bad"] = lambda t: 1 / 0
+    hooks.analyzers["late"] = lambda t: t.with_tables(edges=t.edges.withColumn("payload", F.raise_error(F.lit("lazy")).cast("string")))
     same, failed = hooks.analyze(t)
-    assert same is t and "bad" in failed
+    assert same is t and set(failed) == {"bad", "late"}  # a lazy frame fails inside the guard
+    hooks.analyzers = {"few": lambda t: t.with_tables(edges=t.edges.limit(1))}
+    assert hooks.analyze(t)[0].edges.count() == 1
+    hooks.add_indexer("cs", (".cs",), lambda files: files.select("path"))
+    with pytest.raises(ValueError):
+        hooks.add_indexer("other", (".cs", ".x"), lambda files: files)
+    assert hooks.index(t.files)["cs"].count() == 2
     admin.append_usage(spark, str(tmp_path / "log"), [("a", 1.0, True, 10, None), ("a", 3.0, False, 20, None)])
     assert aggregate.usage_stats(admin.read_usage(spark, str(tmp_path / "log"))).first().n_errors == 1
     assert admin.markdown_table(t.edges.select("src").orderBy("src"), 2).count("\n") == 5
@@ -332,3 +358,105 @@ def test_native_snapshot_is_refused_or_published_whole(spark):
     for bad in (mark("other", ids["A"]), mark("interop-match", 99)):
         with pytest.raises(merge.UnresolvedEndpoint):
             merge.replace_native_snapshot(t, "native", scopes, ["interop-match"], facts_of, bad)
+
+
+def scoped(spark):
+    """Two scopes that share ids and names, and a shared symbol whose id the second has itself."""
+    row = lambda scope, i, name: (scope, i, f"csharp:M:{scope}.{name}", name, f"{scope}.{name}", "method", 1, i, 1, i + 5, 1, f"void {name}()", None, None, 6, f"Documents {name}.", None)
+    symbols = [row("a", 1, "Target"), row("a", 2, "Caller"), row("a", 4, "User"), row("b", 1, "Other"), row("b", 2, "CallerOfOther"), row("b", 3, "Third"), row("b", 7, "Seven"), ("shared", 7, "csharp:M:Lib", "Lib", "Lib.Lib", "method", None, None, None, None, None, None, None, None, 6, None, None)]
+    edges = [("a", 2, 1), ("b", 2, 1), ("b", 3, 1), ("b", 3, 2), ("a", 4, 7), ("b", 3, 7)]
+    proof = [(s, n, x, y, "calls", 1, f"/{s}.cs", n, 1, n, 9, 2, "compiler", "") for n, (s, x, y) in enumerate(edges)]
+    refs = [("a", 1, 1, 1, 1, 1, 2), ("b", 1, 1, 1, 1, 1, 2), ("b", 2, 7, 1, 1, 1, 2), ("a", 2, 7, 1, 1, 1, 2)]
+    make = lambda rows, table: spark.createDataFrame(rows, SCHEMAS[table])
+    return empty_tables(
+        spark, files=make([(s, 1, f"/{s}.cs", b"1", 1, 0) for s in "ab"], "files"), symbols=make(symbols, "symbols"), edges=make([(s, x, y, "calls", None) for s, x, y in edges], "edges"), edge_evidence=make(proof, "edge_evidence"), refs=make(refs, "refs"),
+        scopes=make([("a", "A", "/a", 0, 1, "ready", None), ("b", "B", "/b", 0, 1, "ready", None), ("v", "V", "/v", 1, 1, "ready", None)], "scopes"),
+    )
+
+
+def test_scopes_stay_apart(spark):
+    t = scoped(spark)
+    node = lambda scope, i: spark.createDataFrame([(scope, i)], "scope string, id long")
+    of = lambda rows, *columns: sorted(tuple(r[c] for c in columns) for r in rows.collect())
+    assert of(lookup.find_references(t, node("a", 1)), "scope", "id") == [("a", 1)]
+    assert of(lookup.find_references(t, node("shared", 7)), "scope", "id") == [("a", 2)]  # b means its own seven
+    assert of(traversal.adjacent(t, node("a", 1)), "scope", "src") == [("a", 2)]
+    assert of(traversal.adjacent(t, node("b", 1)), "scope", "src") == [("b", 2), ("b", 3)]
+    assert of(traversal.adjacent(t, node("shared", 7)), "scope", "src") == [("a", 4)]
+    assert of(traversal.adjacent(t, node("b", 3), inbound=False), "scope", "dst") == [("b", 1), ("b", 2), ("b", 7)]
+    assert of(traversal.list_calls(t, node("a", 1)), "scope", "src", "truncated_evidence") == [("a", 2, False)]
+    assert of(traversal.impact_of_change(t, node("a", 1)), "scope", "id") == [("a", 2)]
+    assert of(traversal.impact_levels(t, node("shared", 7)), "scope", "id", "depth") == [("a", 4, 1)]
+    assert of(aggregate.in_degrees(t), "scope", "dst", "in_degree") == [("a", 1, 1), ("b", 1, 2), ("b", 2, 1), ("b", 7, 1), ("shared", 7, 1)]
+    assert of(aggregate.module_summary(t, "a"), "id", "in_degree") == [(1, 1), (2, 0), (4, 0)]
+    card = lookup.symbol_card(t, "csharp:M:a.Target").first()
+    assert (card.n_callers, card.n_references) == (1, 1)
+    assert of(lookup.list_tests_for(t, node("a", 1), True), "id") == []
+    assert of(payload.two_sided(t, t.edges), "src_fqn", "dst_fqn") == [("a.Caller", "a.Target"), ("a.User", "Lib.Lib"), ("b.CallerOfOther", "b.Other"), ("b.Third", "b.CallerOfOther"), ("b.Third", "b.Other"), ("b.Third", "b.Seven")]
+    assert of(traversal.ancestors_by_relation(t, "calls"), "scope", "id", "base_scope", "base", "depth") == [("a", 2, "a", 1, 1), ("a", 4, "shared", 7, 1), ("b", 2, "b", 1, 1), ("b", 3, "b", 1, 1), ("b", 3, "b", 2, 1), ("b", 3, "b", 7, 1)]
+    paths = trace.trace_paths(t, node("b", 3), node("b", 1), trace.relation("calls"))
+    assert sorted(r.path_ids for r in paths.paths.collect()) == [[3, 1], [3, 2, 1]] and paths.absence_authoritative
+    assert trace.trace_paths(t, node("a", 4), node("b", 7), trace.relation("calls")).paths.count() == 0
+    assert of(trace.paths_into(t, t.symbols, node("shared", 7)), "path_ids", "path_scopes") == [([4, 7], ["a", "shared"])]
+    gone = merge.delete_symbols(t, node("shared", 7))
+    assert of(gone.edges, "scope", "src", "dst") == sorted((s, x, y) for s, x, y in (("a", 2, 1), ("b", 2, 1), ("b", 3, 1), ("b", 3, 2), ("b", 3, 7)))
+    bad = {r["check"]: r.n_rows for r in merge.integrity(t).collect()}
+    assert not any(bad.values())
+
+
+def test_tools_route_scopes(spark):
+    t = scoped(spark)
+    assert [r.fqn for r in tools.call("find_callers", t, scope="a", symbol="Target").collect()] == ["a.Caller"]
+    assert {r.scope for r in tools.call("search_symbols", t, scope="*", query="caller").collect()} == {"a", "b"}
+    assert tools.call("find_definition", t, scope="b", symbol="a.Target").count() == 0
+    for scope in (None, "zzz", "a,*"):
+        with pytest.raises(adhoc.QueryError):
+            tools.call("list_callers", t, scope=scope, symbol="Target")
+    with pytest.raises(ValueError):
+        tools.call("list_callers", t, scope="a", symbol="Target", kind="nonsense")
+    assert tools.call("list_callers", t, scope="a", symbol="Target", kind="Pinvoke_Maps_To").count() == 0
+    assert tools.call("query_graph", t, sql="SELECT count(*) AS n FROM v_symbols WHERE scope = @s", parameters={"s": "a"}).first().n == 3
+    assert tools.call("describe_schema", t, scope="a").filter("part = 'edge_kinds'").first().name == "calls"
+    assert tools.call("ping", t).first().answer == "pong" and len(tools.TOOLS) + len(tools.ALIASES) == 49
+    few = tools.answer("list_symbols_in_file", t, scope="b", path="/b.cs", budget=3000)
+    assert len(few.rows) == 2 and few.omitted == 2 and few.truncated and few.scopes == ["b"]
+    one = tools.answer("list_callers", t, scope="b", symbol="b.Other", limit=1)
+    assert len(one.rows) == 1 and one.truncated and not tools.answer("list_callers", t, scope="b", symbol="b.Other", limit=2).truncated
+    deep = tools.answer("trace_call_path", t, scope="b", source="b.Third", target="b.Other", max_depth=1)
+    assert [r[0] for r in deep.rows] == [[3, 1]] and deep.truncated
+    assert tools.answer("impact_of_change", t, scope="b", symbol="b.Other", max_depth=1).truncated is False
+    vectors = spark.createDataFrame([("a", 1, [1.0, 0.0], b"1", "m"), ("b", 1, [0.0, 1.0], b"1", "m"), ("b", 99, [0.0, 0.0], b"1", "m")], SCHEMAS["embeddings"])
+    with_vectors = t.with_tables(embeddings=vectors)
+    found = tools.call("semantic_search", with_vectors, scope="*", query="x", embed=lambda text: [0.0, 1.0], k=1).collect()
+    assert [(r.scope, r.symbol_id) for r in found] == [("b", 1)]
+    check = tools.call("embeddings_verify", with_vectors).first()
+    assert (check.n_vectors, check.n_damaged, check.n_stale) == (3, 1, 1)
+    assert tools.call("embeddings_remove", with_vectors, model="m").count() == 0 and tools.call("embeddings_status", with_vectors).first().n_vectors == 3
+    assert tools.call("match_pinvoke", t, scope="a", symbol="a.Target").first().state == "not-analyzed"
+    assert {r.status for r in tools.call("compare_struct", t, scope="*", managed="a.Target", native="b.Other").collect()} == {"unknown"}
+
+
+def test_cut_walks_claim_nothing(spark):
+    chain = [(f"N{k}", f"N{k + 1}", k, 2, "calls") for k in range(6)]
+    t, ids = seed(spark, chain)
+    ends = at(spark, ids["N0"]), at(spark, ids["N6"]), trace.relation("calls")
+    short = trace.trace_paths(t, *ends, max_depth=3)
+    assert short.paths.count() == 0 and short.truncated and not short.absence_authoritative
+    whole = trace.trace_paths(t, *ends, max_depth=6)
+    assert whole.paths.count() == 1 and whole.absence_authoritative
+    assert trace.trace_paths(t, at(spark, ids["N6"]), at(spark, ids["N0"]), trace.relation("calls"), max_depth=1).absence_authoritative
+    assert not trace.trace_paths(t, *ends, complete=False).absence_authoritative
+    assert traversal.impact(t, at(spark, ids["N6"]), max_depth=3).truncated and not traversal.impact(t, at(spark, ids["N6"]), max_depth=6).truncated
+    star, ids = seed(spark, [(f"S{k}", "Hub", k, 2, "calls") for k in range(8)])
+    few, exact = (traversal.impact(star, at(spark, ids["Hub"]), limit=n) for n in (5, 8))
+    assert few.truncated and few.rows.count() == 5 and exact.rows.count() == 8 and not exact.truncated
+    assert [r.id for r in few.rows.orderBy("id").collect()] == [r.id for r in exact.rows.orderBy("id").limit(5).collect()]
+
+
+def test_resources_and_elements(spark):
+    edges = [("A", "B", 1, 2, "uses-resource"), ("A", "C", 1, 2, "uses-resource"), ("D", "B", 1, 2, "applies-style")]
+    t, ids = seed(spark, edges, payloads={("A", "B"): '{"key":"Brush"}', ("A", "C"): '{"key":"Brush"}', ("D", "B"): '{"key":"Font"}'})
+    gone = t.with_tables(edges=t.edges.unionByName(spark.createDataFrame([("s", ids["D"], 99, "uses-resource", '{"key":"Lost"}')], SCHEMAS["edges"])))
+    assert {(r.key, r.n_definitions, r.status) for r in ui.check_resources(gone).collect()} == {("Brush", 2, "ambiguous"), ("Font", 1, "matched"), ("Lost", 0, "missing")}
+    twice = t.with_tables(symbols=t.symbols.withColumn("fqn", F.when(F.col("id") == ids["B"], "X.A").otherwise(F.col("fqn"))))
+    assert {r.status for r in ui.trace_binding(twice, element="A").collect()} == {"ambiguous"}

@@ -1,5 +1,6 @@
 """Streams against their batch form, and readers on small inputs."""
 
+import hashlib
 import json
 import struct
 
@@ -91,16 +92,22 @@ def portable_executable(names):
 def test_export_tables(spark, tmp_path):
     (tmp_path / "a.dll").write_bytes(portable_executable(["Run", "Stop"]))
     (tmp_path / "b.dll").write_bytes(b"MZ broken")
-    assert [r.export_name for r in readers.read_exports(spark, str(tmp_path)).orderBy("export_name").collect()] == ["Run", "Stop"]
+    (tmp_path / "many.dll").write_bytes(portable_executable(["x"])[:1024] + struct.pack("<6I", *[0] * 6) + struct.pack("<I", 70_000) + b"\0" * 4096)
+    rows = readers.read_exports(spark, str(tmp_path)).orderBy("export_name").collect()
+    assert [r.export_name for r in rows] == [None, "Run", "Stop"] and "65536" in rows[0].problem
     assert readers.pe_exports(None) == [] and readers.pe_exports(portable_executable(["x"])[:1030]) == []
 
 
 def test_tree_walk_leaves_private_paths(spark, tmp_path):
-    for name in ("src/a.cs", ".git/config", "src/key.pem", "bin/x.cs"):
+    for name in ("src/a.cs", ".git/config", "src/scan.DCM", "bin/x.cs", "debug/y.cs", "PatientData/z.cs", "src/b.jpeg"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
     rows = readers.walk_tree(spark, str(tmp_path), "s").collect()
-    assert [r.path.rsplit("/", 2)[1:] for r in rows] == [["src", "a.cs"]] and len(rows[0].content_sha256) == 32
+    assert [r.path.rsplit("/", 2)[1:] for r in rows] == [["src", "a.cs"]] and bytes(rows[0].content_sha256) == hashlib.sha256(b"x").digest()
+    (tmp_path / "src/c.cs").write_text("y")
+    (tmp_path / "src/secret.png").symlink_to("/nowhere")  # never opened
+    cut = readers.walk(spark, str(tmp_path), "s", most=1)
+    assert cut.partial and cut.files.count() == 1 and not readers.walk(spark, str(tmp_path), "s", pattern="*.cs", most=2).partial
 
 
 def test_scope_file_and_xaml(spark, tmp_path):
