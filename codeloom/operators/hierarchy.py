@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from codeloom.session import collect_bounded, cut, shuffle_partitions
 
-#: Rows that one task solves at most on its own.
+#: Rows of a quotient that one task solves at most on its own; the nodes themselves are always split, into
+#: fragments of FRAGMENT_ROWS as far as there are tasks.
 TASK_ROWS = 200_000
+FRAGMENT_ROWS = 2_000
 _LEVEL = "pid int, id long, exit long, circle long, seg_ids array<long>, seg_names array<string>, seg_min long, size long"
 _NAMELESS = _LEVEL.replace(", seg_ids array<long>, seg_names array<string>", "")
 
@@ -114,7 +116,10 @@ def _contractor(full: bool):
             return
         longs = lambda c: table[c].fill_null(_NONE).to_numpy()
         ids, names = None, None
-        if full:
+        if full and "name" in table.column_names:  # the nodes themselves: each is its own segment
+            ids = list(table["id"].to_numpy()[:, None])
+            names = [np.array([x], object) for x in table["name"].to_pylist()]
+        elif full:
             ids = [np.array(x, np.int64) for x in table["seg_ids"].to_pylist()]
             names = [np.array(x, object) for x in table["seg_names"].to_pylist()]
         done = _contract(longs("id"), longs("parent"), ids, names, longs("seg_min"), longs("size"), longs("circle"), TaskContext.get().partitionId(), full)
@@ -140,11 +145,13 @@ def _level(nodes: DataFrame, parts: int, full: bool, by_coin: int | None) -> Dat
     return cut(placed.mapInArrow(_contractor(full), _LEVEL if full else _NAMELESS))
 
 
-def _solve(nodes: DataFrame, count: int, full: bool, by_coin: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def _solve(nodes: DataFrame, count: int, full: bool, by_coin: int | None = None, task_rows: int = TASK_ROWS, quotient: bool = True) -> DataFrame:
     """Per node: root-to-node ids and names (if full), depth counted in nodes, and circle."""
     parts = 1 if count <= task_rows else -(-count // task_rows)
+    if not quotient:
+        parts = max(2, parts)
     if parts > 1 and by_coin is None:
-        parts = max(parts, min(shuffle_partitions(nodes.sparkSession), -(-count // (task_rows // 10 + 1))))
+        parts = max(parts, min(shuffle_partitions(nodes.sparkSession), -(-count // min(FRAGMENT_ROWS, task_rows))))
     level = _level(nodes, parts, full, by_coin)
     lists = ["seg_ids", "seg_names"] if full else []
     if parts == 1:
@@ -156,13 +163,16 @@ def _solve(nodes: DataFrame, count: int, full: bool, by_coin: int | None = None,
     left = quotient.count()
     slow = left > 0.75 * count
     solved = _solve(quotient, left, full, (by_coin or 0) + 1 if slow else None, task_rows)
-    # each partition asks for its own exits, so that no key holds more rows than one partition
+    # each partition asks for its own exits, so that no key holds more rows than one partition; chains
+    # that end inside their partition are solved already and stay where they are
+    open_ = F.col("exit").isNotNull()
+    done = level.filter(~open_).select("id", *lists, "size", "circle")
     wanted = level.select("pid", "exit").filter("exit is not null").distinct()
     renamed = [F.col(c).alias(f"top_{c}") for c in (*lists, "size", "circle")]
     answers = wanted.join(solved.select(F.col("id").alias("exit"), *renamed), "exit")
-    joined = level.join(answers, ["pid", "exit"], "left")
+    joined = level.filter(open_).join(answers, ["pid", "exit"], "left")
     put = [F.coalesce(F.concat(f"top_{c}", c), F.col(c)).alias(c) for c in lists]
-    return joined.select("id", *put, (F.coalesce("top_size", F.lit(0)) + F.col("size")).alias("size"), F.coalesce("circle", "top_circle").alias("circle"))
+    return done.unionByName(joined.select("id", *put, (F.coalesce("top_size", F.lit(0)) + F.col("size")).alias("size"), F.coalesce("circle", "top_circle").alias("circle")))
 
 
 def live_nodes(symbols: DataFrame) -> DataFrame:
@@ -170,8 +180,8 @@ def live_nodes(symbols: DataFrame) -> DataFrame:
     added_at, then the least container).  A container without a live row ends the chain: it is an
     exit that nobody answers for."""
     live = symbols.filter(F.col("deleted_at").isNull() & F.col("id").isNotNull())
-    order = F.struct(F.col("added_at").isNotNull(), "added_at", -F.coalesce("container_id", F.lit(0)), F.col("container_id"), "name")
-    nodes = live.groupBy("id").agg(F.max_by(F.struct("container_id", "name"), order).alias("r"))
+    row = F.struct(F.col("added_at").isNotNull(), "added_at", -F.coalesce("container_id", F.lit(0)), F.col("container_id").alias("container_id"), F.col("name").alias("name"))
+    nodes = live.groupBy("id").agg(F.max(row).alias("r"))
     return nodes.select("id", F.col("r.container_id").alias("parent"), F.col("r.name").alias("name"))
 
 
@@ -186,13 +196,13 @@ def resolve_hierarchy(nodes: DataFrame, full: bool = True, task_rows: int = TASK
     base = nodes.select(
         "id",
         "parent",
-        *([F.array("id").alias("seg_ids"), F.array("name").alias("seg_names")] if full else []),
+        *(["name"] if full else []),
         F.col("id").alias("seg_min"),
         F.lit(1).cast("long").alias("size"),
         F.lit(None).cast("long").alias("circle"),
     )
     base = cut(base)
-    solved = _solve(base, base.count(), full, task_rows=task_rows)
+    solved = _solve(base, base.count(), full, task_rows=task_rows, quotient=False)
     ok = F.col("circle").isNull()
     depth = F.when(ok, F.col("size") - 1).cast("int").alias("depth")
     if not full:
