@@ -109,7 +109,8 @@ def markdown_table(rows: DataFrame, most: int = 96) -> str:
 
 @dataclass
 class Registry:
-    """Hooks: tools (name to a function of the tables), analyzers (tables to tables) and indexers
+    """Hooks: tools (name to a function of the tables), analyzers (tables to tables), module resolvers,
+    tables of node kinds by language, and indexers
     (a language's name to a function of raw files to fact rows, by their endings).  An analyzer that
     fails or takes longer than ``seconds`` leaves the tables as they were; its tables are written
     before the next one runs, so failures can't surface later."""
@@ -117,6 +118,8 @@ class Registry:
     tools: dict[str, Callable[..., DataFrame]] = field(default_factory=dict)
     analyzers: dict[str, Callable[[GraphTables], GraphTables]] = field(default_factory=dict)
     indexers: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = field(default_factory=dict)
+    resolvers: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    node_kinds: dict[str, dict[str, str]] = field(default_factory=dict)
     seconds: float = 30.0
 
     def add_tool(self, name: str, run: Callable[..., DataFrame]) -> None:
@@ -138,6 +141,24 @@ class Registry:
         ends = lambda es: functools.reduce(lambda a, e: a | F.lower("path").endswith(e.lower()), es, F.lit(False))
         return {name: run(files.filter(ends(endings))) for name, (endings, run) in self.indexers.items()}
 
+    def resolve_modules(self, wanted: DataFrame) -> DataFrame:
+        """(scope, specifier, path): module names (scope, specifier) as files; each resolver is asked for
+        what those before it left open, and what none knows has a null path."""
+        rest, done = wanted.select("scope", "specifier").distinct(), None
+        for resolve in self.resolvers:
+            hit = resolve(rest).select("scope", "specifier", "path").filter("path is not null").groupBy("scope", "specifier").agg(F.min("path").alias("path"))
+            done = hit if done is None else done.unionByName(hit)
+            rest = rest.join(hit, ["scope", "specifier"], "left_anti")
+        open_ = rest.withColumn("path", F.lit(None).cast("string"))
+        return open_ if done is None else done.unionByName(open_)
+
+    def map_kinds(self, nodes: DataFrame) -> DataFrame:
+        """Add ``kind_name`` to syntax nodes (language, node_kind, ...) by the languages' tables; nodes of
+        other kinds declare nothing and are left out."""
+        rows = [(language, node, kind) for language, table in self.node_kinds.items() for node, kind in table.items()]
+        table = nodes.sparkSession.createDataFrame(rows, "language string, node_kind string, kind_name string")
+        return nodes.join(F.broadcast(table), ["language", "node_kind"])  # a row per kind of node of a grammar
+
     def analyze(self, t: GraphTables) -> tuple[GraphTables, dict[str, str]]:
         spark, failed = t.files.sparkSession, {}
         for name, run in self.analyzers.items():

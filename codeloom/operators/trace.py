@@ -211,3 +211,42 @@ def _with_confidence(t: GraphTables, paths: DataFrame) -> DataFrame:
     strength = hop_confidence(t.with_tables(edge_evidence=proofs)).select(*EDGE, "confidence")
     weakest = hops.join(strength, EDGE).groupBy("nodes", "kinds").agg(F.min("confidence").alias("confidence"))
     return paths.join(weakest, ["nodes", "kinds"]).select(*nodes_of(), "kinds", "confidence", "n_hops", "ends_at")
+
+
+#: Projections that a walk of the execution profile needs beside its scopes.
+NEEDED = ("grpc", "native-interop")
+#: Statuses of a scope whose facts are whole.
+WHOLE = ("ok", "ready")
+
+
+def projection_states(t: GraphTables, scopes: list[str], projections: DataFrame | None = None, execution: bool = False) -> DataFrame:
+    """(scope, name, status, authoritative): what is known of the facts a walk reads.  projections: scope,
+    name, status, retained_last_good, failures, a row per projection that has run.  A scope is
+    authoritative if its status says so; a projection if it is complete, nothing older was retained
+    and nothing failed; one that hasn't run is not."""
+    spark = t.edges.sparkSession
+    asked = spark.createDataFrame([(s,) for s in scopes], "scope string")
+    status = t.scopes.select(F.col("id").alias("scope"), "status")
+    own = asked.join(status, "scope", "left").select("scope", F.lit("scope").alias("name"), F.coalesce("status", F.lit("unknown")).alias("status"))
+    own = own.withColumn("authoritative", F.col("status").isin(*WHOLE))
+    if not execution:
+        return own
+    wanted = asked.withColumn("name", F.explode(F.array(*[F.lit(n) for n in NEEDED])))
+    ran = projections if projections is not None else spark.createDataFrame([], "scope string, name string, status string, retained_last_good boolean, failures long")
+    sure = (F.col("status") == "complete") & ~F.coalesce("retained_last_good", F.lit(False)) & (F.coalesce("failures", F.lit(0)) == 0)
+    rest = wanted.join(ran, ["scope", "name"], "left").select("scope", "name", F.coalesce("status", F.lit("not-run")).alias("status"), F.coalesce(sure, F.lit(False)).alias("authoritative"))
+    return own.unionByName(rest)
+
+
+def is_complete(states: DataFrame) -> bool:
+    """Whether there are states and all are authoritative."""
+    n, sure = states.agg(F.count("*"), F.sum(F.col("authoritative").cast("long"))).first()
+    return bool(n) and n == sure
+
+
+def trace_stable(store, run) -> Trace:
+    """Trace a snapshot (``run``: tables to a trace).  If another version was published meanwhile, the
+    result stands for the version it read, and isn't complete."""
+    version = store.current()
+    done = run(store.read(version))
+    return done if store.current() == version else Trace(done.paths, done.truncated, False)

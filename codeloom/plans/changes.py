@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import format as fmt
 from codeloom.operators import aggregate, interop, lookup, merge, payload, rpc, traversal, ui
 from codeloom.plans.facts import _IMPORTS, _facts
 from codeloom.plans.graph import anchor, graph_sql, node
@@ -386,3 +387,16 @@ def _(t):
     sizes = F.struct(*[(F.col("end_line") if f.startswith("size:") else F.lit(None).cast(f.split(":")[1])).alias(f.split(":")[0]) for f in shape])
     per = t.symbols.filter("file_id is not null").groupBy("kind_name").agg(F.collect_list(sizes).alias("params"))  # stands for an argument list
     return per.select("kind_name", interop.stdcall_bytes().alias("n_bytes"))
+
+
+# ---- renderings
+
+@query("symbol_lines", """SELECT l.scope, l.id, l.path || ':' || l.start_line || ':' || l.start_col AS location,
+concat_ws(' ', CASE l.accessibility WHEN 6 THEN 'public' WHEN 5 THEN 'protected internal' WHEN 4 THEN 'internal' WHEN 3 THEN 'protected' WHEN 2 THEN 'private protected' WHEN 1 THEN 'private' END, nullif(replace(coalesce(l.modifiers, ''), ',', ' '), ''), l.kind_name) AS label,
+CASE WHEN flat <> '' THEN CASE WHEN length(first) > 120 THEN rtrim(first[1:120], ' ') || '…' ELSE first END END AS summary,
+CASE WHEN h.symbol_id IS NOT NULL THEN 'last touched ' || strftime(make_timestamp(h.last_authored_at * 1000), '%Y-%m-%d') || ' by ' || h.last_author || ' (' || h.last_commit_sha[1:7] || ')' END AS history
+FROM (SELECT *, CASE WHEN instr(flat, '. ') > 0 THEN flat[1:instr(flat, '. ')] ELSE flat END AS first FROM (SELECT *, trim(translate(xml_summary, chr(13) || chr(10), '  '), ' ') AS flat FROM located)) l LEFT JOIN g_history h ON h.scope = l.scope AND h.symbol_id = l.id""")
+def _(t):
+    history = t.symbol_history.withColumnRenamed("symbol_id", "id").select("scope", "id", "last_commit_sha", "last_author", "last_authored_at")
+    rows = lookup.located(t).join(history, ["scope", "id"], "left")
+    return rows.select("scope", "id", fmt.location().alias("location"), fmt.kind_with_attributes().alias("label"), fmt.one_line_summary().alias("summary"), fmt.history_line().alias("history"))

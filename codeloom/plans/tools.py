@@ -36,10 +36,12 @@ def _at(t: GraphTables, symbol: str) -> DataFrame:
     return lookup.top_match(t, symbol)
 
 
-def trace_of(t: GraphTables, source: str, target: str | None = None, kind: str | None = None, profile: str | None = None, max_depth: int = 8, max_paths: int = 10, max_nodes: int = 1000, complete: bool = True) -> trace.Trace:
+def trace_of(t: GraphTables, source: str, target: str | None = None, kind: str | None = None, profile: str | None = None, max_depth: int = 8, max_paths: int = 10, max_nodes: int = 1000, scopes: list[str] | None = None, projections: DataFrame | None = None) -> trace.Trace:
+    """A trace; with ``scopes`` it is complete only if all that is known of them is authoritative."""
     if profile not in (None, "relation", "execution"):
         raise ValueError(f"unknown profile: {profile}")
     automaton = trace.EXECUTION if profile == "execution" else trace.relation(_kind(t, kind) or "calls")
+    complete = scopes is None or trace.is_complete(trace.projection_states(t, scopes, projections, profile == "execution"))
     return trace.trace_paths(t, _at(t, source), None if target is None else _at(t, target), automaton, max_depth, max_paths, max_nodes, complete)
 
 
@@ -159,13 +161,15 @@ def call(name: str, t: GraphTables, scope: str | None = None, default: str | Non
 @dataclass(frozen=True)
 class Answer:
     """Rows of a tool.  ``truncated``: the limit, a cap or the output budget left something out;
-    ``omitted`` counts the rows that the budget left out."""
+    ``omitted`` counts the rows that the budget left out; ``absence_authoritative`` (of traces) says
+    whether a path that isn't there is known not to exist."""
 
     columns: list[str]
     rows: list[tuple]
     truncated: bool
     omitted: int = 0
     scopes: list[str] = field(default_factory=list)
+    absence_authoritative: bool | None = None
 
 
 def answer(name: str, t: GraphTables, scope: str | None = None, default: str | None = None, budget: int = 50_000, **parameters) -> Answer:
@@ -173,12 +177,13 @@ def answer(name: str, t: GraphTables, scope: str | None = None, default: str | N
     for, which tells whether there are more; what doesn't fit the output budget is left out."""
     name = ALIASES.get(name, name)
     views, scopes = (t, [scope or "*"]) if name in OWN_ROUTE else route(t, name, scope, default)
-    truncated = False
+    truncated, authoritative = False, None
     if name == "impact_of_change":
         done = traversal.impact(views, _at(views, parameters.pop("symbol")), _kind(views, parameters.pop("kind", "calls")), **parameters)
         frame, truncated, most = done.rows.orderBy("depth", "fqn", "scope", "id"), done.truncated, parameters.get("limit", 100)
     elif name == "trace_call_path":
-        path = trace_of(views, **parameters)
+        path = trace_of(views, **parameters, scopes=scopes)
+        authoritative = path.absence_authoritative
         frame, truncated, most = path.paths, path.truncated, parameters.get("max_paths", 10)
     else:
         tool = TOOLS[name]
@@ -190,4 +195,4 @@ def answer(name: str, t: GraphTables, scope: str | None = None, default: str | N
     rows = [tuple(r) for r in frame.limit(most + 1).collect()]
     truncated, rows = truncated or len(rows) > most, rows[:most]
     room = aggregate.budget_rows(ROW_CHARS.get(name, 500), budget)
-    return Answer(frame.columns, rows[:room], truncated or len(rows) > room, max(0, len(rows) - room), scopes)
+    return Answer(frame.columns, rows[:room], truncated or len(rows) > room, max(0, len(rows) - room), scopes, authoritative)

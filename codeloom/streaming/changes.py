@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.operators.aggregate import blame_spans
-from codeloom.operators.merge import SnapshotStore, to_embed, upsert_embeddings, upsert_history
+from codeloom.operators.merge import SnapshotStore, scope_diff, to_embed, upsert_embeddings, upsert_history
+from codeloom.session import collect_bounded
+from codeloom.sources.readers import read_scope_file
 from codeloom.tables import GraphTables
 
+#: Scopes of a configuration file.
+MOST_SCOPES = 100_000
 CHANGES = "scope string, path string, ts timestamp, reason string"
 HEAD = "GitHeadChanged"
 
@@ -76,3 +80,28 @@ def blame_batch(t: GraphTables, lines: DataFrame, contents: DataFrame) -> GraphT
     rows = blame_spans(spans, lines)
     sha = t.symbols.select("scope", F.col("id").alias("symbol_id"), "file_id").join(stale.select("scope", "file_id", F.col("content_sha256").alias("blamed_content_sha")), ["scope", "file_id"]).drop("file_id")
     return t.with_tables(symbol_history=upsert_history(t, rows.join(sha, ["scope", "symbol_id"])))
+
+
+def watch_scopes(spark: SparkSession, path: str, current: DataFrame, default: DataFrame, polls: Iterable[object]) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Watch a scope file: for each poll at which it appeared, changed or went away (and at the first),
+    the scopes it says (id, name, root, isolated) and their differences from those before, if there are
+    any.  A file that can't be read as scopes, or has a scope with a problem, changes nothing until the
+    next valid one; without a file the default scopes hold."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    columns, last = ["id", "name", "root", "isolated"], None
+    for _ in polls:
+        status = fs.getFileStatus(at) if fs.exists(at) else None
+        seen = (status.getModificationTime(), status.getLen()) if status else ()
+        if seen == last:
+            continue
+        last = seen
+        found = read_scope_file(spark, path) if status else default.withColumn("problem", F.lit(None).cast("string"))
+        rows = collect_bounded(found, MOST_SCOPES)  # a configuration file's scopes
+        if status and (not rows or any(r["problem"] for r in rows)):
+            continue
+        fresh = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], "id string, name string, root string, isolated int")
+        changes = scope_diff(current.select(*columns), fresh)
+        if not changes.isEmpty():
+            current = fresh
+            yield fresh, changes

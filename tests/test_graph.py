@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import adhoc, admin
+from codeloom.functions import format as fmt
 from codeloom.functions.keys import accessibility_code, edge_kind, is_canonical_key, require_intent
 from codeloom.operators import aggregate, interop, lookup, merge, payload, rpc, search, trace, traversal, ui
 from codeloom.plans import tools
@@ -339,6 +340,12 @@ def test_hooks_and_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         hooks.add_indexer("other", (".cs", ".x"), lambda files: files)
     assert hooks.index(t.files)["cs"].count() == 2
+    hooks.node_kinds["ts"] = {"class_declaration": "class", "method_definition": "method"}
+    nodes = spark.createDataFrame([("ts", "class_declaration", "A"), ("ts", "comment", "x"), ("go", "class_declaration", "y")], "language string, node_kind string, name string")
+    assert [(r.name, r.kind_name) for r in hooks.map_kinds(nodes).collect()] == [("A", "class")]
+    wanted = spark.createDataFrame([("s", "./a"), ("s", "b"), ("s", "c")], "scope string, specifier string")
+    hooks.resolvers = [lambda w: w.withColumn("path", F.when(F.col("specifier").startswith("./"), "/a.ts")), lambda w: w.withColumn("path", F.when(F.col("specifier") != "c", "/lib.ts"))]
+    assert {(r.specifier, r.path) for r in hooks.resolve_modules(wanted).collect()} == {("./a", "/a.ts"), ("b", "/lib.ts"), ("c", None)}
     admin.append_usage(spark, str(tmp_path / "log"), [("a", 1.0, True, 10, None), ("a", 3.0, False, 20, None)])
     assert aggregate.usage_stats(admin.read_usage(spark, str(tmp_path / "log"))).first().n_errors == 1
     assert admin.markdown_table(t.edges.select("src").orderBy("src"), 2).count("\n") == 5
@@ -446,6 +453,11 @@ def test_cut_walks_claim_nothing(spark):
     assert whole.paths.count() == 1 and whole.absence_authoritative
     assert trace.trace_paths(t, at(spark, ids["N6"]), at(spark, ids["N0"]), trace.relation("calls"), max_depth=1).absence_authoritative
     assert not trace.trace_paths(t, *ends, complete=False).absence_authoritative
+    ran = spark.createDataFrame([("s", "grpc", "complete", False, 0), ("s", "native-interop", "complete", True, 0)], "scope string, name string, status string, retained_last_good boolean, failures long")
+    states = lambda *more: {(r.name, r.authoritative) for r in trace.projection_states(t, ["s"], *more).collect()}
+    assert states() == {("scope", True)} and states(None, True) == {("scope", True), ("grpc", False), ("native-interop", False)}
+    assert states(ran, True) == {("scope", True), ("grpc", True), ("native-interop", False)}
+    assert trace.is_complete(trace.projection_states(t, ["s"])) and not trace.is_complete(trace.projection_states(t, ["nobody"]))
     assert traversal.impact(t, at(spark, ids["N6"]), max_depth=3).truncated and not traversal.impact(t, at(spark, ids["N6"]), max_depth=6).truncated
     star, ids = seed(spark, [(f"S{k}", "Hub", k, 2, "calls") for k in range(8)])
     few, exact = (traversal.impact(star, at(spark, ids["Hub"]), limit=n) for n in (5, 8))
@@ -460,3 +472,15 @@ def test_resources_and_elements(spark):
     assert {(r.key, r.n_definitions, r.status) for r in ui.check_resources(gone).collect()} == {("Brush", 2, "ambiguous"), ("Font", 1, "matched"), ("Lost", 0, "missing")}
     twice = t.with_tables(symbols=t.symbols.withColumn("fqn", F.when(F.col("id") == ids["B"], "X.A").otherwise(F.col("fqn"))))
     assert {r.status for r in ui.trace_binding(twice, element="A").collect()} == {"ambiguous"}
+
+
+def test_one_line_renderings(spark):
+    rows = [(1, "/a.cs", 3, 9, 6, "static,async", "First. Second.", '{"path":"a\\"b","n":69,"x":null}'), (2, "/b.cs", None, 1, 0, None, "  \r\n", "[1]"), (3, "/c.cs", 1, 1, 5, "", "word " * 60, '{"a":1,"b":2,"c":3,"d":4,"e":5,"f":6}'), (4, "/d.cs", 1, 1, None, None, None, '{"a":')]
+    t = spark.createDataFrame(rows, "id int, path string, start_line int, start_col int, accessibility int, modifiers string, xml_summary string, payload string").withColumn("kind_name", F.lit("method"))
+    out = t.select("id", fmt.location().alias("at"), fmt.kind_with_attributes(generated=F.col("id") == 3).alias("kind"), fmt.one_line_summary().alias("text"), fmt.payload_line().alias("p")).orderBy("id").collect()
+    assert [r["at"] for r in out] == ["/a.cs:3:9", None, "/c.cs:1:1", "/d.cs:1:1"]
+    assert [r.kind for r in out] == ["public static async method", "method", "protected internal method (generated)", "method"]
+    assert out[0].text == "First." and out[1].text is None and out[2].text == ("word " * 24).strip() + "…" and out[3].text is None
+    assert [r.p for r in out] == ['{ path: "a\\"b", n: 69, x: null }', None, "{ a: 1, b: 2, c: 3, d: 4, e: 5 (1 more) }", None]
+    history = spark.createDataFrame([("abcdef0123", "ana", 86_400_000), (None, None, 5), ("", "bo", None)], "last_commit_sha string, last_author string, last_authored_at long")
+    assert {r[0] for r in history.select(fmt.history_line()).collect()} == {"last touched 1970-01-02 by ana (abcdef0)", None, "last touched ? by bo ((none))"}

@@ -129,3 +129,25 @@ def test_retry_waits_longer():
         return "done"
 
     assert changes.with_retry(run, sleep=waited.append) == "done" and waited == [1.0, 5.0]
+
+
+def test_scope_file_is_watched(spark, tmp_path):
+    shape = "id string, name string, root string, isolated int"
+    default = spark.createDataFrame([("main", "main", "/m", 0)], shape)
+    path, steps = tmp_path / "c.json", []
+
+    def polls():
+        yield 0  # no file: the default holds already
+        path.write_text('{"scopes":[{"id":"a","root":"/a"}]}')
+        yield 1
+        yield 2  # nothing new
+        path.write_text('{"scopes":[{"id":"B!","root":"/b"}] ')
+        yield 3  # not valid
+        path.write_text('{"scopes":[{"id":"a","root":"/other"},{"id":"b","root":"/b"}]}')
+        yield 4
+        path.unlink()
+        yield 5
+
+    for _, changes_ in changes.watch_scopes(spark, str(path), default, default, polls()):
+        steps.append({(r.id, r.change) for r in changes_.collect()})
+    assert steps == [{("main", "removed"), ("a", "added")}, {("a", "replaced"), ("b", "added")}, {("a", "removed"), ("b", "removed"), ("main", "added")}]
