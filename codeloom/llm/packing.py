@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.tokens import TOKENIZER, ChunkEncoder, slices
+from codeloom.operators.balance import partition_tokens
 from codeloom.session import cut
 
 CAPACITY = 2048
 WINDOWS = 48
 #: Tasks whose leftovers one merging task takes.
 FAN_IN = 64
+#: Tasks of one level at most (a container's id holds level, task and number).
+TASKS = 1 << 22
 _ROWS = "item long, piece int, n_pieces int, first_token long, n_tokens int, container long, left_over int"
 
 
@@ -95,13 +98,15 @@ def _merge_leftovers(left: DataFrame, capacity: int, windows: int) -> DataFrame:
     """(container, merged): the leftovers that moved into another container."""
     moved, level = None, 0
     while True:
-        tasks = left.agg(F.count_distinct(F.shiftright("container", 36))).first()[0]
+        task = F.shiftright("container", 36).bitwiseAND(F.lit(TASKS - 1))
+        tasks, last = left.agg(F.count_distinct(task), F.max(task)).first()
         if tasks <= 1:
             return moved
         level += 1
-        groups = -(-tasks // FAN_IN)
-        # tasks are numbered densely, so each group has the leftovers of FAN_IN tasks at most
-        one = left.withColumn("_group", F.floor(F.shiftright("container", 36) / FAN_IN)).repartition(groups, "_group")
+        # each group has the leftovers of FAN_IN tasks at most, and a task of its own
+        groups = last // FAN_IN + 1
+        tokens = F.lit(list(partition_tokens(groups))).cast("array<int>")
+        one = left.withColumn("_token", F.get(tokens, F.floor(task / FAN_IN).cast("int"))).repartition(groups, "_token")
         ordered = one.sortWithinPartitions(F.desc("left_over"), "container").select(F.col("container").alias("item"), "left_over")
         base = F.lit(level << 58)
         packed = cut(ordered.mapInArrow(_packing("left_over", _given_sizes, capacity, windows), _ROWS))
