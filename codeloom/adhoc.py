@@ -65,6 +65,8 @@ def translate(sql: str) -> str:
             out.append(text)
     done = re.sub(r"(\S+)\s+COLLATE\s+NOCASE", r"\1 COLLATE UTF8_LCASE", "".join(out), flags=re.I)
     done = re.sub(r"\bdatetime\s*\(\s*([^,()]+?)\s*,\s*'unixepoch'\s*\)", r"date_format(timestamp_seconds(\1), 'yyyy-MM-dd HH:mm:ss')", done, flags=re.I)
+    shift = r"\bstrftime\s*\(\s*'%s'\s*,\s*'now'\s*,\s*'([+-]?\d+)\s+(second|minute|hour|day|month|year)s?'\s*\)"
+    done = re.sub(shift, lambda m: f"unix_timestamp(current_timestamp() + INTERVAL '{int(m[1])}' {m[2].upper()})", done, flags=re.I)
     return re.sub(r"\bstrftime\s*\(\s*'%s'\s*,\s*'now'\s*\)", "unix_timestamp()", done, flags=re.I).strip()
 
 

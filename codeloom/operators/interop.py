@@ -202,15 +202,41 @@ def match_edges(imports: DataFrame, matches: DataFrame) -> DataFrame:
     return sure.select("scope", F.col("import_id").alias("src"), F.col("export_id").alias("dst"), F.lit("pinvoke-maps-to").alias("kind_name"), F.to_json(F.struct("outcome", "spelling")).alias("payload"))
 
 
-def publish_boundary(imports: DataFrame, matches: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def struct_edges(matches: DataFrame, managed: DataFrame, native: DataFrame) -> DataFrame:
+    """struct-maps-to edges: records that stand at the same place of a surely matched signature, where each
+    is the other's only one.  managed: scope, import_id, position, record_id; native: scope, export_id,
+    position, record_id."""
+    sure = matches.filter(F.col("outcome").isin("matched", "source-matched")).select("scope", "import_id", "export_id")
+    a = managed.select("scope", "import_id", "position", F.col("record_id").alias("src"))
+    b = native.select("scope", "export_id", "position", F.col("record_id").alias("dst"))
+    pairs = sure.join(a, ["scope", "import_id"]).join(b, ["scope", "export_id", "position"]).select("scope", "src", "dst").distinct()
+    only = lambda c: pairs.groupBy("scope", c).count().filter("count = 1").select("scope", c)
+    kept = pairs.join(only("src"), ["scope", "src"], "left_semi").join(only("dst"), ["scope", "dst"], "left_semi")
+    return kept.select("scope", "src", "dst", F.lit("struct-maps-to").alias("kind_name"), F.lit(None).cast("string").alias("payload"))
+
+
+def rule_structs(matches: DataFrame, managed: DataFrame, native: DataFrame, checks: DataFrame) -> DataFrame:
+    """Interop002: signatures with a pair of records whose layouts (``compare_structs``) differ, or aren't
+    known to agree."""
+    worst = struct_verdict(checks).filter("verdict != 'compatible'")
+    sure = matches.filter(F.col("export_id").isNotNull()).select("scope", "import_id", "export_id")
+    a = managed.select("scope", "import_id", "position", F.col("record_id").alias("managed_id"))
+    b = native.select("scope", "export_id", "position", F.col("record_id").alias("native_id"))
+    rows = sure.join(a, ["scope", "import_id"]).join(b, ["scope", "export_id", "position"]).join(worst, ["scope", "managed_id", "native_id"])
+    return _finding(rows, "Interop002", F.when(F.col("verdict") == "incompatible", "error").otherwise("warning"), F.concat(F.lit("parameter "), F.col("position").cast("string"), F.lit(": "), F.col("verdict"))).distinct()
+
+
+def publish_boundary(imports: DataFrame, matches: DataFrame, findings: DataFrame, structs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(annotations, edges) that record an analysis: one match per import, one annotation per
-    finding, one pinvoke-maps-to edge per sure match.  Ids depend on the facts alone."""
+    finding, one pinvoke-maps-to edge per sure match, and the ``struct_edges`` if given.  Ids depend on
+    the facts alone."""
     row = lambda rows, flavor, args: rows.select(
         "scope", F.col("import_id").alias("symbol_id"), F.lit(flavor).alias("name"), F.lit(flavor).alias("full_name"), F.lit(flavor).alias("flavor"), F.to_json(F.struct(*args)).alias("args_json"), F.lit(None).cast("long").alias("attribute_symbol_id")
     )
     rows = row(matches, FLAVORS["match"], ["outcome", "export_id", "spelling"]).unionByName(row(findings, FLAVORS["finding"], ["rule", "severity", "detail", "export_id"])).distinct()
     marks = rows.withColumn("id", F.abs(F.xxhash64("scope", "symbol_id", "flavor", "args_json") % F.lit(1 << 62)))
-    return marks, match_edges(imports, matches)
+    edges = match_edges(imports, matches)
+    return marks, edges if structs is None else edges.unionByName(structs)
 
 
 def _stored(t: GraphTables, symbol: str, flavor: str) -> DataFrame:

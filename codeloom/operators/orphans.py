@@ -18,14 +18,15 @@ KEYS = ("target", "scope_id", "key")
 
 
 def validity(records: DataFrame, target: str) -> DataFrame:
-    """One interval per record: ``live_from`` is the earliest added_at of its live rows (null if
-    none is live or added_at is null), ``known`` is 1 for any record that has a row."""
+    """One validity interval per record, from ``live_from`` to ``died``: the earliest added_at of its live
+    rows and no end if some row is live (``live`` 1), else the latest deleted_at of its rows (``live`` 0)."""
     return (
         records.filter(F.col("id").isNotNull())
         .groupBy("scope_id", F.col("id").alias("key"))
         .agg(
             F.min(F.when(F.col("deleted_at").isNull(), F.col("added_at"))).alias("live_from"),
             F.max(F.when(F.col("deleted_at").isNull(), 1).otherwise(0)).alias("live"),
+            F.max("deleted_at").alias("died"),
         )
         .withColumn("target", F.lit(target))
     )
@@ -49,22 +50,25 @@ def pointers(rows: DataFrame, table: str, field: str, target: str, at: str) -> D
 
 def merge_pointers(pointer_rows: DataFrame, intervals: DataFrame, tasks: int | None = None) -> DataFrame:
     """Judge every pointer.  Adds ``reason``: null (good), 'missing' (no row of the record in that
-    scope), 'deleted' (rows, but none live) or 'late' (live, but added after the pointer's month).
+    scope), 'deleted' (rows, but none live, and the last was deleted before the pointer's month was over),
+    'deleted-later' (the last was deleted only after that month) or 'late' (live, but added after the
+    pointer's month).
 
     A null scope matches only a null scope; a pointer without a time can't be late; a record whose
     live rows have no added_at is late for every pointer with a time.
     """
     placement = plan_placement(pointer_rows, KEYS, tasks)
-    left = place_fragments(pointer_rows, placement, ["row_id", "period"]).select("*", F.lit(1).alias("side"), F.lit(None).cast("timestamp_ntz").alias("live_from"), F.lit(None).cast("int").alias("live"))
+    left = place_fragments(pointer_rows, placement, ["row_id", "period"]).select("*", F.lit(1).alias("side"), F.lit(None).cast("timestamp_ntz").alias("live_from"), F.lit(None).cast("int").alias("live"), F.lit(None).cast("timestamp_ntz").alias("died"))
     right = place_replicas(intervals, placement).select(
-        "_token", *KEYS, F.lit(0).alias("side"), F.col("live_from").cast("timestamp_ntz").alias("live_from"), "live"
+        "_token", *KEYS, F.lit(0).alias("side"), F.col("live_from").cast("timestamp_ntz").alias("live_from"), "live", F.col("died").cast("timestamp_ntz").alias("died")
     )
     both = co_partition(left.unionByName(right, allowMissingColumns=True), placement)
     stream = W.partitionBy("_token", *KEYS).orderBy("side").rowsBetween(W.unboundedPreceding, 0)
-    live_from, live = F.min("live_from").over(stream), F.max("live").over(stream)
-    merged = both.select("side", *KEYS, "table_name", "field_name", "row_id", "period", "month_end", live_from.alias("since"), live.alias("is_live"))
+    live_from, live, died = F.min("live_from").over(stream), F.max("live").over(stream), F.max("died").over(stream)
+    merged = both.select("side", *KEYS, "table_name", "field_name", "row_id", "period", "month_end", live_from.alias("since"), live.alias("is_live"), died.alias("until"))
     reason = (
         F.when(F.col("is_live").isNull(), "missing")
+        .when((F.col("is_live") == 0) & (F.col("until") >= F.col("month_end")), "deleted-later")
         .when(F.col("is_live") == 0, "deleted")
         .when(F.col("month_end").isNotNull() & (F.col("since").isNull() | (F.col("since") >= F.col("month_end"))), "late")
     )

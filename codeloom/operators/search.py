@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.lookup import cleaned_arguments
-from codeloom.tables import GraphTables
+from codeloom.session import cut
+from codeloom.tables import GraphTables, StoredTables
 
 COLUMNS = ("name", "fqn", "signature", "xml_summary")
 K1, B = 1.2, 0.75
@@ -29,7 +30,8 @@ def search_symbols(t: GraphTables, query: str, kind: str | None = None, top_k: i
     best first by the rank of trigram phrase matches (smaller is better).  Phrases of fewer than
     three characters match nothing; % and _ are ordinary characters.
 
-    The corpus statistics are one small aggregate; only matching rows count occurrences.
+    The text is read once: matching rows are written with their counts, which then give how many match.
+    Number and mean length of all symbols are found once per stored model.
     """
     phrase = query.lower()
     columns = ["scope", "id", "name", "fqn", "kind_name"]
@@ -40,15 +42,17 @@ def search_symbols(t: GraphTables, query: str, kind: str | None = None, top_k: i
     for c in COLUMNS:
         tokens = tokens + F.greatest(F.length(_folded(c)) - 2, F.lit(0))
         found = found | F.contains(_folded(c), F.lit(phrase))
-    rows = t.symbols.withColumn("_tokens", tokens).withColumn("_found", found)
-    n, mean, hit = rows.agg(F.count("*"), F.avg("_tokens"), F.sum(F.col("_found").cast("long"))).first()
-    idf = max(math.log((n - (hit or 0) + 0.5) / ((hit or 0) + 0.5)), 1e-6) if n else 1e-6
-    matching = rows.filter("_found")
-    if kind is not None:
-        matching = matching.filter(F.col("kind_name") == kind)
+    size = lambda: tuple(t.symbols.agg(F.count("*"), F.avg(tokens)).first())
+    n, mean = t.once("search_size", size) if isinstance(t, StoredTables) else size()
     f = F.lit(0)
     for c in COLUMNS:
         f = f + _hits(_folded(c), phrase)
+    matching = cut(t.symbols.filter(found).select(*columns, tokens.alias("_tokens"), f.alias("_f")))
+    hit = matching.count()
+    idf = max(math.log((n - hit + 0.5) / (hit + 0.5)), 1e-6) if n else 1e-6
+    if kind is not None:
+        matching = matching.filter(F.col("kind_name") == kind)
+    f = F.col("_f")
     length = K1 * ((1 - B) + B * F.col("_tokens") / F.lit(float(mean or 1.0)))
     score = F.round(-F.lit(idf) * f * (K1 + 1) / (f + length), 6)
     return matching.select(*columns, score.alias("score")).orderBy("score", "scope", "id").limit(top_k)

@@ -63,11 +63,11 @@ WITH ends AS (
   SELECT *, date_trunc('month', seen) + INTERVAL 1 MONTH AS month_end FROM ends
   WHERE NOT (field_name = 'symbol_id' AND key IN (SELECT id FROM shared_symbols))
 ), records AS (
-  SELECT 'symbols' AS target, scope_id, id AS key, min(added_at) FILTER (WHERE deleted_at IS NULL) AS since, count(*) FILTER (WHERE deleted_at IS NULL) AS live FROM symbols GROUP BY scope_id, id
-  UNION ALL SELECT 'files', scope_id, id, min(added_at) FILTER (WHERE deleted_at IS NULL), count(*) FILTER (WHERE deleted_at IS NULL) FROM files GROUP BY scope_id, id
+  SELECT 'symbols' AS target, scope_id, id AS key, min(added_at) FILTER (WHERE deleted_at IS NULL) AS since, count(*) FILTER (WHERE deleted_at IS NULL) AS live, max(deleted_at) AS died FROM symbols GROUP BY scope_id, id
+  UNION ALL SELECT 'files', scope_id, id, min(added_at) FILTER (WHERE deleted_at IS NULL), count(*) FILTER (WHERE deleted_at IS NULL), max(deleted_at) FROM files GROUP BY scope_id, id
 ), judged AS (
   SELECT table_name, field_name, row_id, strftime(seen, '%Y-%m') AS period,
-    CASE WHEN r.key IS NULL THEN 'missing' WHEN r.live = 0 THEN 'deleted' WHEN r.since IS NULL OR r.since >= k.month_end THEN 'late' END AS reason
+    CASE WHEN r.key IS NULL THEN 'missing' WHEN r.live = 0 AND r.died >= k.month_end THEN 'deleted-later' WHEN r.live = 0 THEN 'deleted' WHEN r.since IS NULL OR r.since >= k.month_end THEN 'late' END AS reason
   FROM kept k LEFT JOIN records r ON k.target = r.target AND k.scope_id = r.scope_id AND k.key = r.key
 ), broken AS (SELECT DISTINCT * FROM judged WHERE reason IS NOT NULL)
 """

@@ -264,6 +264,8 @@ def test_adhoc_results(spark):
             adhoc.resolve_scopes(t, scope)
         assert caught.value.code == code
     assert "v_symbols" in adhoc.describe_schema(t)["views"]
+    ago = adhoc.query_graph(spark, t, "SELECT strftime('%s', 'now') - strftime('%s','now','-2 days') AS a, json_extract('{\"n\":69}', '$.n') = 69 AS b FROM v_scopes LIMIT 1", timeout_s=120)
+    assert 172_799 <= ago.rows[0][0] <= 172_801 and ago.rows[0][1]
     assert adhoc.query_graph(spark, t, "SELECT count(*) FROM v_symbols WHERE name = 'a' COLLATE NOCASE", timeout_s=120).rows == [(1,)]
 
 
@@ -484,3 +486,38 @@ def test_one_line_renderings(spark):
     assert [r.p for r in out] == ['{ path: "a\\"b", n: 69, x: null }', None, "{ a: 1, b: 2, c: 3, d: 4, e: 5 (1 more) }", None]
     history = spark.createDataFrame([("abcdef0123", "ana", 86_400_000), (None, None, 5), ("", "bo", None)], "last_commit_sha string, last_author string, last_authored_at long")
     assert {r[0] for r in history.select(fmt.history_line()).collect()} == {"last touched 1970-01-02 by ana (abcdef0)", None, "last touched ? by bo ((none))"}
+
+
+def test_generated_code_is_proven(spark):
+    contracts = spark.createDataFrame([("s", 1, "Api", "Run", "Ask", "Answer", False, True), ("s", 2, "Api", "Stop", "Ask", "Answer", False, False), ("s", 3, "Api", "Two", "Ask", "Answer", False, False), ("s", 4, "Api", "Two", "Ask", "Answer", False, False)], "scope string, rpc_key long, service string, method string, input string, output string, client_streaming boolean, server_streaming boolean")
+    made = [("s", 11, "Api", "Run", "client", True, "Ask", "Answer", "server-streaming"), ("s", 12, "Api", "Run", "server", True, "Ask", "Answer", "server-streaming"), ("s", 13, "Api", "Stop", "client", False, "Ask", "Answer", "unary"), ("s", 14, "Api", "Stop", "server", True, "Ask", "Other", "unary"), ("s", 15, "Api", "Two", "client", True, "Ask", "Answer", "unary"), ("s", 16, "Api", "None", "client", True, "Ask", "Answer", "unary"), ("s", 17, "Api", "Stop", "client", True, None, "Answer", "unary")]
+    generated = spark.createDataFrame(made, "scope string, symbol_id long, service string, method string, role string, contained boolean, request string, response string, shape string")
+    proven, failures = rpc.prove(contracts, generated)
+    assert {tuple(r)[1:] for r in proven.collect()} == {(11, "client", 1), (12, "server", 1)}
+    assert {tuple(r)[1:] for r in failures.collect()} == {(13, 2, "evidence-missing"), (14, 2, "signature-mismatch"), (15, None, "ambiguous"), (17, 2, "signature-mismatch")}
+    edges = spark.createDataFrame([("s", 21, 11, "calls", None), ("s", 22, 12, "overrides-member", None), ("s", 23, 11, "calls", None), ("s", 24, 12, "calls", None)], SCHEMAS["edges"])
+    proof = spark.createDataFrame([("s", k, a, b, kind, 1, "/a.cs", 1, 1, 1, 2, 2, "compiler", "") for k, (a, b, kind) in enumerate(((21, 11, "calls"), (22, 12, "overrides-member"), (24, 12, "calls")))], SCHEMAS["edge_evidence"])
+    assert {tuple(r)[1:] for r in rpc.proven_edges(proven, edges, proof).collect()} == {(21, 1, "grpc-calls"), (22, 1, "implements-rpc"), (1, 22, "rpc-dispatches-to")}
+
+
+def test_stored_contracts_are_checked(spark):
+    t, ids = seed(spark, [("Rpc", "Impl", 1, 2, "rpc-dispatches-to"), ("Gen", "Rpc", 1, 2, "calls")])
+    contract = '{"kind":"rpc","service":"Api","method":"Run","client_streaming":false,"server_streaming":false,"input":"Ask","output":"Answer"}'
+    made = '{"service":"Api","method":"Run","role":"client","contained":true,"request":"Ask","response":"%s","shape":"unary"}'
+    mark = lambda i, flavor, args: ("s", i, i, "n", "n", flavor, args, None)
+    for reply, rules in (("Other", {"Grpc004"}), ("Answer", set())):
+        marks = spark.createDataFrame([mark(ids["Rpc"], "proto-contract", contract), mark(ids["Gen"], rpc.GENERATED_FLAVOR, made % reply)], SCHEMAS["annotations"])
+        assert {r.rule for r in rpc.check_stored_contracts(t.with_tables(annotations=marks)).collect()} == rules
+
+
+def test_records_map_where_they_stand_alone(spark):
+    matches = spark.createDataFrame([("s", 1, "matched", 11, "x"), ("s", 2, "source-matched", 12, "x"), ("s", 3, "unknown", None, None)], "scope string, import_id long, outcome string, export_id long, spelling string")
+    managed = spark.createDataFrame([("s", 1, 0, 100), ("s", 1, 1, 101), ("s", 2, 0, 101), ("s", 3, 0, 102)], "scope string, import_id long, position int, record_id long")
+    native = spark.createDataFrame([("s", 11, 0, 200), ("s", 11, 1, 201), ("s", 12, 0, 202), ("s", 12, 1, 203)], "scope string, export_id long, position int, record_id long")
+    edges = interop.struct_edges(matches, managed, native)
+    assert [(r.src, r.dst, r.kind_name) for r in edges.collect()] == [(100, 200, "struct-maps-to")]  # 101 has two
+    shape = "scope string, managed_id long, native_id long, aspect string, ordinal int, status string"
+    checks = spark.createDataFrame([("s", 100, 200, "size", None, "incompatible"), ("s", 101, 201, "size", None, "compatible"), ("s", 101, 202, "pack", None, "unknown")], shape)
+    assert {(r.import_id, r.severity, r.detail) for r in interop.rule_structs(matches, managed, native, checks).collect()} == {(1, "error", "parameter 0: incompatible"), (2, "warning", "parameter 0: unknown")}
+    _, both = interop.publish_boundary(spark.createDataFrame([], "scope string"), matches, spark.createDataFrame([], "scope string, import_id long, export_id long, rule string, severity string, detail string"), edges)
+    assert sorted(r.kind_name for r in both.collect()) == ["pinvoke-maps-to", "pinvoke-maps-to", "struct-maps-to"]

@@ -31,11 +31,12 @@ def test_orphan_reasons(spark):
         ("a", 1, 10, 100, 1, 1, 0, jan, "x"),  # exact copy
         ("a", 2, 11, 100, 1, 1, 0, jan, None),  # late symbol
         ("a", 2, 11, 100, 1, 1, 0, feb, None),  # sent again, in time
-        ("a", 3, 12, None, 1, 1, 0, jan, None),  # deleted symbol, null file
+        ("a", 3, 12, None, 1, 1, 0, jan, None),  # symbol deleted after the month, null file
         ("a", 4, 0, -1, 1, 1, 0, jan, None),  # zero and negative are judged
         ("b", 5, 10, 100, 1, 1, 0, jan, None),  # other scope
         ("b", 6, 7, 100, 1, 1, 0, jan, None),  # shared symbol, from any scope
         ("a", 7, 13, 100, 1, 1, 0, jan, None),  # deleted and back later
+        ("a", 8, 12, 100, 1, 1, 0, feb, None),  # deleted in the month of the reference
     ]
     symbols = [
         ("a", 10, 100, None, "n", jan, None, 1), ("a", 11, 100, None, "n", T(2025, 2, 1), None, 1), ("a", 12, 999, None, "n", jan, feb, 1),
@@ -43,7 +44,7 @@ def test_orphan_reasons(spark):
     ]
     got = {tuple(r) for r in orphans.find_orphans(*frames(spark, refs, symbols, [("a", 100, "p", jan, None)], [(7, "s")])).collect()}
     assert got == {
-        ("refs", "symbol_id", 2, "2025-01", "late"), ("refs", "symbol_id", 3, "2025-01", "deleted"), ("refs", "symbol_id", 4, "2025-01", "missing"), ("refs", "file_id", 4, "2025-01", "missing"),
+        ("refs", "symbol_id", 2, "2025-01", "late"), ("refs", "symbol_id", 3, "2025-01", "deleted-later"), ("refs", "symbol_id", 8, "2025-02", "deleted"), ("refs", "symbol_id", 4, "2025-01", "missing"), ("refs", "file_id", 4, "2025-01", "missing"),
         ("refs", "symbol_id", 5, "2025-01", "missing"), ("refs", "file_id", 5, "2025-01", "missing"), ("refs", "file_id", 6, "2025-01", "missing"), ("symbols", "file_id", 14, "2025-02", "missing"),
     }
 
