@@ -102,17 +102,29 @@ def read_line(line: str) -> tuple[list[str], str]:
     return TOKEN.findall(body), body
 
 
-def shape_features(tokens: list[str], counts, body: str, table: TokenTable) -> list[str]:
-    """Names of the features of a line's shape."""
-    words, frequent, symbols, numbers = counts
-    n = max(1, len(tokens))
+#: Names of the features of a line's words, frequent words and symbols, by their classes.
+CLASSES = (("words:3", "words:5", "words:9", "words:16"), ("common:0", "common:1", "common:2", "common:3"), ("symbols:0", "symbols:1", "symbols:2", "symbols:3"))
+
+
+def shape_class(counts, n: int) -> int:
+    """The classes of a line's words, share of frequent words and share of symbols, as one number."""
+    words, frequent, symbols, _ = counts
     share, marks = frequent / max(1, words), symbols / n
-    out = [
-        "bias",
-        "words:3" if words < 5 else "words:5" if words < 9 else "words:9" if words < 16 else "words:16",
-        "common:0" if share < 0.05 else "common:1" if share < 0.2 else "common:2" if share < 0.4 else "common:3",
-        "symbols:0" if marks < 0.05 else "symbols:1" if marks < 0.15 else "symbols:2" if marks < 0.35 else "symbols:3",
-    ]
+    return (
+        (0 if words < 5 else 1 if words < 9 else 2 if words < 16 else 3) * 16
+        + (0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.4 else 3) * 4
+        + (0 if marks < 0.05 else 1 if marks < 0.15 else 2 if marks < 0.35 else 3)
+    )
+
+
+def class_features(k: int) -> list[str]:
+    return ["bias", CLASSES[0][k // 16], CLASSES[1][k // 4 % 4], CLASSES[2][k % 4]]
+
+
+def other_features(tokens: list[str], counts, body: str, table: TokenTable) -> list[str]:
+    """Names of the features of a line's shape that are there or not."""
+    words, _, _, numbers = counts
+    n, out = max(1, len(tokens)), []
     if _END.search(body[-8:]):
         out.append("ends")
     if numbers > 0.3 * n:
@@ -137,6 +149,7 @@ class LineModel:
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = dict(PRIOR) if weights is None else weights
+        self.classes = [sum(self.weights.get(f, 0.0) for f in class_features(k)) for k in range(64)]
 
     def table(self, common) -> TokenTable:
         return TokenTable(common, self.weights)
@@ -144,7 +157,9 @@ class LineModel:
     def is_sentence(self, tokens: list[str], counts, body: str, table: TokenTable) -> bool:
         if is_no_sentence(counts, body):
             return False
-        shape = sum(self.weights.get(f, 0.0) for f in shape_features(tokens, counts, body, table))
+        shape = self.classes[shape_class(counts, len(tokens))]
+        for f in other_features(tokens, counts, body, table):
+            shape += self.weights.get(f, 0.0)
         return shape + sum(map(table.weights.__getitem__, tokens)) / len(tokens) ** 0.5 > 0
 
 
@@ -168,7 +183,7 @@ def text_statistics(text: str, model: LineModel, table: TokenTable) -> tuple:
         if line[-1] in ".!?:;…":
             ends += 1
         if model.is_sentence(tokens, counts, body, table):
-            good += sum(map(len, line.split()))
+            good += len(line) - line.count(" ") if line.isprintable() else sum(map(len, line.split()))
     symbols += sum(len(x) - len(y) for x, y in ((line, _QUOTE.sub("", line, count=1)) for line in lines if line[0] == ">"))
     return len(pieces), solid / len(pieces), symbols / solid, ends / len(lines), frequent / max(1, letters), min(1.0, good / solid), {token.lower() for token in seen & table.frequent}
 
@@ -186,7 +201,7 @@ def fit_lines(labelled: list[tuple[str, str]], common, rounds: int = 2, steps: i
             line_counts = table.count(read)
             if is_no_sentence(line_counts, body):
                 continue
-            rows.append(shape_features(read, line_counts, body, table))
+            rows.append(class_features(shape_class(line_counts, max(1, len(read)))) + other_features(read, line_counts, body, table))
             tokens.append(["w:" + token_name(token) for token in read])
             labels.append(label == "prose")
             weights.append(1 / len(lines))
