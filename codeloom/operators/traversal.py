@@ -161,7 +161,7 @@ def impact(t: GraphTables, nodes: DataFrame, kind: str | None = "calls", max_dep
     for depth in itertools.count(1):
         # the frontier has at most FRONTIER or ``limit`` rows
         near = F.broadcast(frontier.select(F.col("scope").alias("dst_scope"), F.col("id").alias("dst"), F.col("place").alias("from_place"), "nodes", "kinds"))
-        steps = _branches(edges, near, ["dst_scope", "dst"], order, limit + 1)
+        steps = cut(_branches(edges, near, ["dst_scope", "dst"], order, limit + 1))  # a frontier's few rows times the limit
         fresh = steps.join(F.broadcast(done.select("scope", F.col("id").alias("src"))), ["scope", "src"], "left_anti")
         if depth > max_depth:
             truncated |= not fresh.limit(1).isEmpty()
@@ -169,7 +169,7 @@ def impact(t: GraphTables, nodes: DataFrame, kind: str | None = "calls", max_dep
         first = fresh.withColumn("nth", F.row_number().over(W.partitionBy("scope", "src").orderBy("from_place", *order))).filter("nth = 1").orderBy("from_place", *order).limit(left + 1)
         numbered = first.withColumn("place", F.row_number().over(W.orderBy("from_place", *order)))  # over at most ``limit`` + 1 rows
         walked = F.concat("nodes", F.array(F.struct("scope", F.col("src").alias("id"))))
-        level = cut(numbered.select("scope", F.col("src").alias("id"), F.lit(depth).alias("depth"), "place", F.col("dst").alias("predecessor"), walked.alias("nodes"), F.concat("kinds", F.array("kind_name")).alias("kinds")))
+        level = cut(numbered.coalesce(1).select("scope", F.col("src").alias("id"), F.lit(depth).alias("depth"), "place", F.col("dst").alias("predecessor"), walked.alias("nodes"), F.concat("kinds", F.array("kind_name")).alias("kinds")))
         n = level.count()
         truncated = truncated or n > left or not steps.filter(F.col("branch") > limit).limit(1).isEmpty()
         if not n:
