@@ -187,7 +187,14 @@ class ChunkEncoder:
         return self.plain(text.decode())
 
     def _one(self, whole: bytes, cuts: list[int]) -> list[int]:
-        """Ids of one text from its cuts, both ends among them."""
+        """Ids of one text from its cuts, both ends among them.  Bytes that are no valid text stand for the
+        replacement character; a text with such bytes is encoded in one piece."""
+        try:
+            return self._parts(whole, cuts)
+        except UnicodeDecodeError:
+            return self.plain(whole[cuts[0] : cuts[-1]].decode("utf-8", "replace"))
+
+    def _parts(self, whole: bytes, cuts: list[int]) -> list[int]:
         get = self.shared.get
         known = [get(whole[a:z]) for a, z in zip(cuts, cuts[1:])]
         if not any(x is not None for x in known):
@@ -224,7 +231,7 @@ class ChunkEncoder:
 
     def lengths(self, texts: pa.Array) -> list[int]:
         """Numbers of ids, by plain encoding."""
-        return [len(self.plain(t)) if t else 0 for t in texts.to_pylist()]
+        return [len(self.plain(t.decode("utf-8", "replace"))) if t else 0 for t in texts.cast(pa.large_binary()).to_pylist()]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -299,8 +306,9 @@ def build_dictionary(documents: DataFrame, path: str = TOKENIZER, chunk_bytes: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = load_encoding(path).encode_ordinary
         for batch in batches:
-            ids = [np.array(plain(c.decode()), np.int32).tobytes() for c in batch["chunk"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"chunk": batch["chunk"], "ids": pa.array(ids, pa.binary())})
+            texts = {c: t for c in batch["chunk"].to_pylist() if "\ufffd" not in (t := c.decode("utf-8", "replace"))}  # valid ones
+            ids = [np.array(plain(t), np.int32).tobytes() for t in texts.values()]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(texts), pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     chunks = documents.select("text").mapInArrow(pick, "hash long, chunk binary").groupBy("hash").agg(F.min("chunk").alias("chunk"))
     table = chunks.select("chunk").mapInArrow(encode, "chunk binary, ids binary").toArrow()

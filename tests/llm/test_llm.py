@@ -43,6 +43,19 @@ def test_joins_are_repaired_wherever_a_text_is_cut(text, cuts):
     assert joiner.finish() == plain(text)
 
 
+def test_bytes_that_are_no_text_are_replaced():
+    plain = tokens.load_encoding(tokens.TOKENIZER).encode_ordinary
+    rows = [b"the lock \xff\xfe keeps " * 30, b"the lock keeps " * 30, b"\xff"]
+    texts = pa.StringArray.from_buffers(3, pa.py_buffer(np.cumsum([0, *map(len, rows)]).astype(np.int32).tobytes()), pa.py_buffer(b"".join(rows)))
+    whole, offsets = tokens.text_bytes(texts)
+    starts = [*tokens.chunk_starts(whole, offsets, 8, 4), len(whole)]
+    shared = {c: np.array(plain(c.decode("utf-8", "replace")), np.int32).tobytes() for c in (whole[a:z] for a, z in zip(starts, starts[1:]))}
+    for encoder in (tokens.ChunkEncoder(tokens.TOKENIZER), tokens.ChunkEncoder(tokens.TOKENIZER, dict(list(shared.items())[::2]), 8, 4)):
+        ids, ends = encoder.encode(texts)
+        assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:])] == [plain(r.decode("utf-8", "replace")) for r in rows]
+        assert encoder.lengths(texts) == [len(plain(r.decode("utf-8", "replace"))) for r in rows]
+
+
 def test_chunks_meet_again_after_other_text():
     rng = random.Random(5)
     words = lambda n: "".join(rng.choice(["lease ", "cache ", "of ", "the ", "reader ", "keeps ", "older "]) + str(rng.randrange(999)) for _ in range(n))
