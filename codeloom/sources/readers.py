@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders and endings that are never read (fixed values).
-PRIVATE_FOLDERS = ("bin", "obj", ".vs", "Debug", "Release", "Images", "PatientData", "Database", "Logs", ".git", ".sourcegraph", "node_modules")
+PRIVATE_FOLDERS = ("bin", "obj", ".vs", "Debug", "Release", "Images", "PatientData", "Database", "Logs", ".git", "node_modules")
+#: The engine's own data.
+OWN_FOLDERS = (".codeloom",)
 PRIVATE_ENDINGS = (".dcm", ".jpg", ".jpeg", ".png")
 #: Files of a tree that one walk takes.
 WALK_FILES = 50_000
 
 
-def allowed_path(column: str = "path") -> Column:
-    """Paths outside private folders and without private endings."""
-    folders = r"(?i)(^|[/\\])(" + "|".join(map(re.escape, PRIVATE_FOLDERS)) + r")([/\\]|$)"
+def allowed_path(column: str = "path", more: tuple[str, ...] = OWN_FOLDERS) -> Column:
+    """Paths outside private folders (and ``more`` folders) and without private endings."""
+    folders = r"(?i)(^|[/\\])(" + "|".join(map(re.escape, (*PRIVATE_FOLDERS, *more))) + r")([/\\]|$)"
     endings = r"(?i)(" + "|".join(map(re.escape, PRIVATE_ENDINGS)) + r")$"
     return ~F.col(column).rlike(folders) & ~F.col(column).rlike(endings)
 

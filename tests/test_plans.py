@@ -1,12 +1,15 @@
 """What the plans of hot queries must look like, and that every query runs over the smallest tables."""
 
+import os
 import re
+import shutil
 
 import pytest
 
 import __spark_entry__ as entry
 from codeloom.operators import orphans, skew
 from codeloom.session import read_table
+from codeloom.tables import SOURCES, from_driver, stored
 from conftest import SF
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
@@ -38,12 +41,27 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in text and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in text
 
 
+def test_projection_is_written_once(spark, tmp_path):
+    for name in SOURCES:
+        at = SF / f"{name}.parquet"
+        (shutil.copytree if at.is_dir() else shutil.copy)(at, tmp_path / at.name)
+    t = stored(spark, str(tmp_path))
+    assert stored(spark, str(tmp_path)) is t and t.files is t.files
+    plain = from_driver(spark, str(tmp_path))
+    assert sorted(map(tuple, t.edges.collect())) == sorted(map(tuple, plain.edges.collect())) and t.edges.schema == plain.edges.schema
+    assert "model-" in t.edges.inputFiles()[0] and t.once("n", lambda: 1) == t.once("n", lambda: 2) == 1
+    with pytest.raises(AttributeError):
+        t.nothing
+    os.utime(tmp_path / "scopes.parquet", (1, 1))  # another file: another projection
+    assert stored(spark, str(tmp_path)) is not t
+
+
 def test_every_sql_belongs_to_a_query():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
 
 
-GRAPH = [n for n in entry.queries() if re.match(r"(v_|find_|list_|impact|trace_c|module|sql_cube|merge_upsert|match_)", n)]
+GRAPH = [n for n in entry.queries() if re.match(r"(v_|find_|list_|impact|trace_|module|sql_cube|merge_|match_|check_|boundary|symbol_lines|embedding_g)", n)]
 
 
 @pytest.mark.parametrize("name", GRAPH)
