@@ -29,6 +29,8 @@ from codeloom.session import collect_bounded, cut, shuffle_partitions
 #: fragments of FRAGMENT_ROWS as far as there are tasks.
 TASK_ROWS = 200_000
 FRAGMENT_ROWS = 2_000
+#: Exits (ids alone) that are broadcast at most; more are joined by a shuffle.
+FEW_EXITS = 500_000
 _LEVEL = "pid int, id long, exit long, circle long, seg_ids array<long>, seg_names array<string>, seg_min long, size long"
 _NAMELESS = _LEVEL.replace(", seg_ids array<long>, seg_names array<string>", "")
 
@@ -156,10 +158,12 @@ def _solve(nodes: DataFrame, count: int, full: bool, by_coin: int | None = None,
     lists = ["seg_ids", "seg_names"] if full else []
     if parts == 1:
         return level.select("id", *lists, "size", "circle")
-    exits = level.select(F.col("exit").alias("id")).filter("id is not null").distinct()
+    exits = cut(level.select(F.col("exit").alias("id")).filter("id is not null").distinct())
+    if exits.count() <= FEW_EXITS:  # so the nodes, of which few are exits, needn't be moved to them
+        exits = F.broadcast(exits)
     # an exit without a row of its own finds no answer below, which makes its fragment a tree; one that
     # runs into a circle of its partition stays in the quotient, so that what hangs below learns it
-    quotient = cut(exits.join(level.select("id", *lists, "seg_min", "size", "circle", F.col("exit").alias("parent")), "id"))
+    quotient = cut(level.select("id", *lists, "seg_min", "size", "circle", F.col("exit").alias("parent")).join(exits, "id"))
     left = quotient.count()
     slow = left > 0.75 * count
     solved = _solve(quotient, left, full, (by_coin or 0) + 1 if slow else None, task_rows)
