@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.lookup import located, top_match
+from codeloom.session import cut
 from codeloom.tables import GraphTables
 
 PARAM = "struct<position:int,name:string,category:string,direction:string,pointer_depth:int,size:int,signed:boolean,encoding:string,array_length:int>"
@@ -188,6 +189,56 @@ def struct_verdict(checks: DataFrame) -> DataFrame:
     return checks.groupBy("scope", "managed_id", "native_id").agg(F.when(rank == 2, "incompatible").when(rank == 1, "unknown").otherwise("compatible").alias("verdict"))
 
 
+#: Levels of nested records that are followed; deeper ones are unknown (fixed value).
+NESTING = 32
+
+
+def compare_nested(checks: DataFrame, managed: DataFrame, native: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The checks of ``compare_structs`` with those of nested records.
+
+    managed and native: scope, record_id, ordinal, nested (the record that the field holds); mapping:
+    scope, managed_id, native_id of records that are known to be the same.  Adds for each pair and field
+    'nested identity' (incompatible if the managed one is known to be another native one, unknown if
+    nothing is known) and 'nested layout' (the worst verdict of the nested pair and all below it; unknown
+    below NESTING levels or where the pair has no checks), and 'cycle', incompatible, for pairs that
+    hold themselves.
+    """
+    pair, inner = ["scope", "managed_id", "native_id"], ["scope", "m", "n"]
+    a = managed.filter("nested is not null").select("scope", F.col("record_id").alias("managed_id"), "ordinal", F.col("nested").alias("m"))
+    b = native.filter("nested is not null").select("scope", F.col("record_id").alias("native_id"), "ordinal", F.col("nested").alias("n"))
+    known = checks.select(*pair).distinct()
+    links = cut(known.join(a, ["scope", "managed_id"]).join(b, ["scope", "native_id", "ordinal"]).select(*pair, "ordinal", "m", "n"))
+    same = mapping.select("scope", F.col("managed_id").alias("m"), F.col("native_id").alias("n")).distinct()
+    mapped = same.select("scope", "m").distinct().withColumn("_mapped", F.lit(True))
+    identity = links.join(same.withColumn("_same", F.lit(True)), inner, "left").join(mapped, ["scope", "m"], "left")
+    status = F.when(F.col("_same"), "compatible").when(F.col("_mapped"), "incompatible").otherwise("unknown")
+    out = checks.unionByName(identity.select(*pair, F.lit("nested identity").alias("aspect"), "ordinal", status.alias("status")))
+    # the worst of a pair and of those below it, level by level until nothing changes
+    rank = F.max(F.when(F.col("status") == "incompatible", 2).when(F.col("status") == "unknown", 1).otherwise(0)).alias("rank")
+    worst, settled = cut(out.groupBy(*pair).agg(rank)), False
+    for _ in range(NESTING):
+        below = links.join(worst.toDF("scope", "m", "n", "_rank"), inner, "left").groupBy(*pair).agg(F.max(F.coalesce("_rank", F.lit(1))).alias("_below"))
+        risen = cut(worst.join(below, pair, "left").select(*pair, F.greatest("rank", F.coalesce("_below", F.lit(0))).alias("rank"), (F.coalesce("_below", F.lit(0)) > F.col("rank")).alias("_rose")))
+        settled = risen.filter("_rose").isEmpty()
+        worst = risen.drop("_rose")
+        if settled:
+            break
+    layout = links.join(worst.toDF("scope", "m", "n", "_rank"), inner, "left")
+    word = F.when(F.col("_rank") == 2, "incompatible").when(F.col("_rank").isNull() | (F.col("_rank") == 1) | F.lit(not settled), "unknown").otherwise("compatible")
+    out = out.unionByName(layout.select(*pair, F.lit("nested layout").alias("aspect"), "ordinal", word.alias("status")))
+    # pairs that lead back to themselves
+    step = cut(links.select(*pair, "m", "n").distinct())
+    reach = seen = step
+    for _ in range(NESTING):
+        on = reach.join(step.toDF("scope", "m", "n", "_m", "_n"), inner).select(*pair, F.col("_m").alias("m"), F.col("_n").alias("n")).distinct()
+        reach = cut(on.join(seen, [*pair, "m", "n"], "left_anti"))
+        if reach.isEmpty():
+            break
+        seen = seen.unionByName(reach)
+    circles = seen.filter((F.col("managed_id") == F.col("m")) & (F.col("native_id") == F.col("n"))).select(*pair).distinct()
+    return out.unionByName(circles.select(*pair, F.lit("cycle").alias("aspect"), F.lit(None).cast("int").alias("ordinal"), F.lit("incompatible").alias("status")))
+
+
 def boundary_findings(imports: DataFrame, exports: DataFrame, retained: DataFrame | None = None, usages: DataFrame | None = None, releases: DataFrame | None = None, complete: bool = True) -> DataFrame:
     pairs = _pairs(imports, exports, match_imports(imports, exports, complete))
     out = rule_convention(pairs).unionByName(rule_parameters(pairs)).unionByName(rule_exceptions(pairs))

@@ -521,3 +521,21 @@ def test_records_map_where_they_stand_alone(spark):
     assert {(r.import_id, r.severity, r.detail) for r in interop.rule_structs(matches, managed, native, checks).collect()} == {(1, "error", "parameter 0: incompatible"), (2, "warning", "parameter 0: unknown")}
     _, both = interop.publish_boundary(spark.createDataFrame([], "scope string"), matches, spark.createDataFrame([], "scope string, import_id long, export_id long, rule string, severity string, detail string"), edges)
     assert sorted(r.kind_name for r in both.collect()) == ["pinvoke-maps-to", "pinvoke-maps-to", "struct-maps-to"]
+
+
+def test_nested_records(spark):
+    shape = "scope string, managed_id long, native_id long, aspect string, ordinal int, status string"
+    pairs = {(1, 11): "compatible", (2, 12): "compatible", (3, 13): "incompatible", (4, 14): "compatible", (5, 15): "compatible", (6, 16): "compatible"}
+    checks = spark.createDataFrame([("s", a, b, "size", None, status) for (a, b), status in pairs.items()], shape)
+    side = lambda rows: spark.createDataFrame([("s", r, k, n) for r, k, n in rows], "scope string, record_id long, ordinal int, nested long")
+    managed = side([(1, 0, 2), (2, 0, 3), (4, 0, 5), (5, 0, 4), (6, 0, 7), (6, 1, None)])
+    native = side([(11, 0, 12), (12, 0, 13), (14, 0, 15), (15, 0, 14), (16, 0, 17), (16, 1, 12)])
+    mapping = spark.createDataFrame([("s", 2, 12), ("s", 3, 99), ("s", 4, 14), ("s", 5, 15)], "scope string, managed_id long, native_id long")
+    got = {(r.managed_id, r.aspect): r.status for r in interop.compare_nested(checks, managed, native, mapping).collect()}
+    assert {k: v for k, v in got.items() if k[1] != "size"} == {
+        (1, "nested identity"): "compatible", (1, "nested layout"): "incompatible", (2, "nested identity"): "incompatible", (2, "nested layout"): "incompatible",
+        (4, "nested identity"): "compatible", (4, "nested layout"): "compatible", (5, "nested identity"): "compatible", (5, "nested layout"): "compatible", (4, "cycle"): "incompatible", (5, "cycle"): "incompatible",
+        (6, "nested identity"): "unknown", (6, "nested layout"): "unknown",
+    }
+    verdicts = {r.managed_id: r.verdict for r in interop.struct_verdict(interop.compare_nested(checks, managed, native, mapping)).collect()}
+    assert verdicts == {1: "incompatible", 2: "incompatible", 3: "incompatible", 4: "incompatible", 5: "incompatible", 6: "unknown"}
