@@ -22,8 +22,6 @@ from codeloom.tables import GraphTables
 EDGE = ["scope", "src", "dst", "kind_name"]
 #: Symbols that one impact walk starts from at most; more are an error.
 FRONTIER = 5_000
-#: Salts that a hot symbol's callers are ranked in first.
-SALTS = 64
 #: Kinds that one question may name, and rows it may ask for.
 MOST_KINDS, MOST_ROWS = 32, 1_024
 
@@ -131,12 +129,10 @@ def nodes_of(ids: str = "nodes") -> list[Column]:
 
 
 def _branches(edges: DataFrame, near: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """The first ``most`` edges of each frontier node.  A hot node's edges are ranked in salts first, so
-    no task sorts more than a salt's share of them."""
-    steps = edges.join(near, keys).withColumn("_salt", F.pmod(F.xxhash64("scope", "src"), F.lit(SALTS)))
-    for by in ([*keys, "_salt"], keys):
-        steps = steps.withColumn("branch", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("branch") <= most)
-    return steps.drop("_salt")
+    """The first ``most`` edges of each frontier node.  Spark keeps no more than ``most`` rows of a node per
+    task before it shuffles them (up to 1,000), so a hot node is no large group."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return edges.join(near, keys).withColumn("branch", rank).filter(F.col("branch") <= most)
 
 
 def impact(t: GraphTables, nodes: DataFrame, kind: str | None = "calls", max_depth: int = 4, limit: int = 100) -> Impact:
@@ -152,11 +148,11 @@ def impact(t: GraphTables, nodes: DataFrame, kind: str | None = "calls", max_dep
     order = ["kind_name", "path", "start_line", "start_col", "src", "scope"]
     place = located(t).select("scope", F.col("id").alias("src"), "path", "start_line", "start_col")
     edges = cut(with_target_scope(t, auditable(t, None if kind is None else [kind]).select(*EDGE).join(place, ["scope", "src"]), "dst", "dst_scope"))
-    start = nodes.select("scope", "id").distinct()
-    if start.limit(FRONTIER + 1).count() > FRONTIER:
-        raise ValueError(f"more than {FRONTIER} symbols to start from")
+    start = nodes.select("scope", "id").distinct().limit(FRONTIER + 1)
     node = F.struct("scope", "id")
     frontier = cut(start.select("scope", "id", F.lit(0).alias("depth"), F.row_number().over(W.orderBy("id", "scope")).alias("place"), F.lit(None).cast("long").alias("predecessor"), F.array(node).alias("nodes"), F.array().cast("array<string>").alias("kinds")))
+    if frontier.count() > FRONTIER:
+        raise ValueError(f"more than {FRONTIER} symbols to start from")
     done, left, truncated = frontier, limit, False
     for depth in itertools.count(1):
         # the frontier has at most FRONTIER or ``limit`` rows
