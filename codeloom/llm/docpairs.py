@@ -54,7 +54,7 @@ def _one_row(judged: DataFrame) -> DataFrame:
 def _ancestors(types: DataFrame, inherits: DataFrame) -> DataFrame:
     """(container_id, dst, distance): every base type of the types at its least distance, level by
     level until a level has nothing new, so circles end."""
-    links = cut(inherits.select(F.col("src").alias("via"), "dst"))
+    links = inherits.withColumnRenamed("src", "via")
     frontier = cut(types.join(links.withColumnRenamed("via", "container_id"), "container_id").select("container_id", "dst", F.lit(1).alias("distance")))
     seen, distance = frontier, 1
     while not frontier.isEmpty():
@@ -71,7 +71,7 @@ def overridden(functions: DataFrame, edges: DataFrame) -> DataFrame:
     to (1), the functions of the same name in base types, near or far (2)."""
     wanting = functions.filter("state = 'inherits'").select("id", "container_id", "name", "text")
     lending = functions.filter("state in ('own', 'inherits')")
-    inherits = edges.filter((normal_kind("kind_name") == "inherits") & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    inherits = cut(edges.filter((normal_kind("kind_name") == "inherits") & (F.col("src") != F.col("dst"))).select("src", "dst").distinct())
     ids = F.sort_array(F.collect_set("id")).alias("ids")
     by_name = lending.groupBy("container_id", "name").agg(ids)
     by_fqn = lending.filter("fqn is not null").groupBy("fqn").agg(ids)
@@ -154,7 +154,7 @@ def _ends(chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         choosers = left.select(F.col("id").alias("base"), F.col("base").alias("next")).unionByName(done.select(F.col("id").alias("base"), F.col("end").alias("next")))
 
 
-def pair_documentation(symbols: DataFrame, edges: DataFrame, inherited: bool = True) -> DataFrame:
+def pair_documentation(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kind, signature, documentation, source, documented_by): code-description pairs.
 
     source is 'own' or 'inherited'; documented_by is the function whose text it is.  Functions with
@@ -162,14 +162,10 @@ def pair_documentation(symbols: DataFrame, edges: DataFrame, inherited: bool = T
     unresolved (no base, bases without text, circles only) are left out.  First it is found which
     functions can have text at all; then each takes the best base that can (by rank, distance and
     id).  Where such choices run in a circle, the functions on it choose again among the bases of a
-    lower level; those can't make a circle by themselves, so this ends.  With ``inherited`` false only
-    pairs with the function's own text come out, and nothing is joined.
+    lower level; those can't make a circle by themselves, so this ends.
     """
-    functions = _one_row(judge_symbols(symbols))
+    functions = cut(_one_row(judge_symbols(symbols)))
     signed = F.col("signature").rlike(SIGNED)
-    if not inherited:
-        return functions.filter(signed & (F.col("state") == "own")).select("id", "kind", "signature", F.col("text").alias("documentation"), F.lit("own").alias("source"), F.col("id").alias("documented_by"))
-    functions = cut(functions)
     candidates = cut(overridden(functions, edges))
     own = functions.filter("state = 'own'").select("id", F.col("text").alias("documentation"), F.col("id").alias("documented_by"))
     levels = cut(_levels(own, candidates))
@@ -184,12 +180,15 @@ def pair_documentation(symbols: DataFrame, edges: DataFrame, inherited: bool = T
         again = usable.filter("base_level < level").join(circles, "id", "left_semi").groupBy("id").agg(best)
         chosen = cut(chosen.join(circles, "id", "left_anti").unionByName(again))
     texts = own.select(F.col("id").alias("end"), "documentation", "documented_by")
-    taken = skew_join(ends, texts, ["end"], ["id"], "inner").select("id", "documentation", "documented_by", F.lit("inherited").alias("source"))
-    pairs = own.withColumn("source", F.lit("own")).unionByName(taken)
-    return functions.filter(signed).select("id", "kind", "signature").join(pairs, "id").select("id", "kind", "signature", "documentation", "source", "documented_by")
+    taken = skew_join(ends, texts, ["end"], ["id"], "inner").select("id", "documentation", "documented_by")
+    inherited = functions.filter(signed & (F.col("state") == "inherits")).select("id", "kind", "signature").join(taken, "id")
+    said = functions.filter(signed & (F.col("state") == "own")).select("id", "kind", "signature", F.col("text").alias("documentation"), F.col("id").alias("documented_by"))
+    columns = ["id", "kind", "signature", "documentation", "source", "documented_by"]
+    return said.withColumn("source", F.lit("own")).unionByName(inherited.withColumn("source", F.lit("inherited"))).select(*columns)
 
 
 def find_documented(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """ids of functions whose own documentation isn't trivial (a statement beside an inheriting tag is
-    the function's own; text that is only inherited doesn't count here)."""
-    return pair_documentation(symbols, edges, inherited=False).select("id").distinct()
+    """ids of functions whose own documentation isn't trivial: of all resolved pairs those that each
+    function documents by itself (a statement beside an inheriting tag is its own; text that is only
+    inherited doesn't count here)."""
+    return pair_documentation(symbols, edges).filter(F.col("documented_by") == F.col("id")).select("id").distinct()

@@ -185,6 +185,20 @@ def test_documentation_comes_from_any_documented_base(spark):
     assert got == {13: (12, good), 23: (22, good), 33: (31, good), 43: (42, good), 52: (50, better), 53: (50, better), 61: (60, good), 62: (60, good), 63: (60, good), 71: (60, good)}
 
 
+def test_found_functions_are_resolved_pairs(spark, monkeypatch):
+    steps = {}
+    for name in ("overridden", "_levels", "_ends"):
+        step = getattr(docpairs, name)
+        monkeypatch.setattr(docpairs, name, lambda *a, name=name, step=step: steps.setdefault(name, step(*a)))
+    good, tag = "Waits until the lease expires.", "<inheritdoc/>"
+    rows = [function(1, "Run", 1, good), function(2, "Run", 2, tag), function(3, "Run", 3, tag + " Blocks until the peer answers."), function(4, "Run", 4, tag), function(5, "Stop", 1, "TODO"), function(6, "Stop", 2, tag)]
+    links = spark.createDataFrame([("s", a, b, "inherits", None) for a, b in ((2, 1), (3, 1), (4, 3))], "scope_id string, src long, dst long, kind_name string, payload string")
+    assert {r.id for r in docpairs.find_documented(spark.createDataFrame(rows, FUNCTION), links).collect()} == {1, 3}
+    assert {(r.id, r.base) for r in steps["overridden"].collect()} == {(2, 1), (4, 3), (4, 1)}
+    assert {(r.id, r.level) for r in steps["_levels"].collect()} == {(1, 0), (3, 0), (2, 1), (4, 1)}
+    assert {(r.id, r.end) for r in steps["_ends"][0].collect()} == {(2, 1), (4, 3)} and steps["_ends"][1] is None
+
+
 def test_documentation_from_far_above(spark):
     rows = [function(1, "Run", 1, "Waits until the lease expires.")] + [function(k, "Run", k, f'<inheritdoc cref="M:T{k - 1}.Run"/>') for k in range(2, 302)]
     rows += [function(k, "Run", k, f'<inheritdoc cref="M:T{k + 1 if k < 405 else 401}.Run"/>') for k in range(401, 406)]  # a circle without text
